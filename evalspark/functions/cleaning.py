@@ -21,9 +21,17 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+BLANKS = " \t\n\r\f\v"
+
+
+def strip(c: Column | str) -> Column:
+    """Text without leading and trailing white space of any kind."""
+    return F.btrim(as_col(c).cast("string"), F.lit(BLANKS))
+
+
 def null_clean(c: Column | str, tokens: Sequence[str] = NULL_TOKENS) -> Column:
     """Trimmed text, or null when it spells a missing value."""
-    text = F.trim(as_col(c).cast("string"))
+    text = strip(c)
     return F.when(~F.lower(text).isin(*tokens), text)
 
 
@@ -40,7 +48,7 @@ def finite(c: Column | str) -> Column:
 
 def to_number(c: Column | str) -> Column:
     """Text to double; unparsable text, NaN and infinities become null."""
-    return finite(F.trim(as_col(c).cast("string")).try_cast("double"))
+    return finite(strip(c).try_cast("double"))
 
 
 def finite_feature(c: Column | str) -> Column:
@@ -50,7 +58,7 @@ def finite_feature(c: Column | str) -> Column:
 
 
 def bool_like(c: Column | str) -> Column:
-    return F.coalesce(F.lower(F.trim(as_col(c).cast("string"))).isin(*TRUE_TOKENS), F.lit(False))
+    return F.coalesce(F.lower(strip(c)).isin(*TRUE_TOKENS), F.lit(False))
 
 
 def parse_first_float(c: Column | str) -> Column:
@@ -87,7 +95,7 @@ def stable_float_text(c: Column | str, digits: int = 12) -> Column:
 
 def format_value(mean: Column | str, std: Column | str) -> Column:
     """``mean +/- std``, or the mean alone when no spread is known."""
-    m, s = F.trim(as_col(mean)), F.trim(as_col(std))
+    m, s = strip(mean), strip(std)
     return F.when(F.coalesce(s, F.lit("")) != "", F.concat(m, F.lit(" +/- "), s)).otherwise(m)
 
 
@@ -114,7 +122,7 @@ def canonical_frame(df: DataFrame, key: str, target: str, split: str | None = No
     """
     keep = [c for c in df.columns if c not in {key, target, split, *aux}]
     norm = key_normalizer or (lambda c: c)
-    text = F.trim(F.col(key).cast("string"))
+    text = strip(key)
     out = df.select(
         *keep,
         text.alias("entity_key"),

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from evalspark.functions.cleaning import as_col
+from evalspark.functions.cleaning import as_col, strip
 
 Rule = tuple[Column, str]
 
@@ -24,7 +24,7 @@ def classify(rules: Sequence[Rule], default: Column | str | None = None) -> Colu
 
 
 def low(c: Column | str) -> Column:
-    return F.lower(F.trim(F.coalesce(as_col(c).cast("string"), F.lit(""))))
+    return F.lower(strip(F.coalesce(as_col(c).cast("string"), F.lit(""))))
 
 
 def has(text: Column, *parts: str) -> Column:
