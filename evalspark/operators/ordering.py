@@ -74,9 +74,9 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], value: str, sums: dict[str,
 
 def ranks(df: DataFrame, keys: Sequence[str], value: str, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """One row per (keys, value): ``n`` copies, lowest rank ``rank_min``, tie-averaged ``rank_avg``, group size."""
-    p = prefix_sums(df.where(F.col(value).isNotNull()), keys, value, {"n": F.lit(1)}, rows_per_bucket)
-    return p.select(*keys, value, "n", (F.col("n_before") + 1).alias("rank_min"),
-                    (F.col("n_before") + (F.col("n") + 1) / 2).alias("rank_avg"), F.col("n_total").alias("n_rows"))
+    p = prefix_sums(df.where(F.col(value).isNotNull()), keys, value, {"_c": F.lit(1)}, rows_per_bucket)
+    return p.select(*keys, value, F.col("_c").alias("n"), (F.col("_c_before") + 1).alias("rank_min"),
+                    (F.col("_c_before") + (F.col("_c") + 1) / 2).alias("rank_avg"), F.col("_c_total").alias("n_rows"))
 
 
 def descending(rank: Column | str, n_rows: Column | str) -> Column:
@@ -89,14 +89,14 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
               names: Sequence[str] | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Exact linear-interpolated quantiles per group, without holding any group in one task."""
     names = list(names or [f"q{i}" for i in range(len(probs))])
-    p = prefix_sums(df.where(F.col(value).isNotNull()), keys, value, {"n": F.lit(1)}, rows_per_bucket)
-    start, end = F.col("n_before"), F.col("n_before") + F.col("n")
+    p = prefix_sums(df.where(F.col(value).isNotNull()), keys, value, {"_c": F.lit(1)}, rows_per_bucket)
+    start, end = F.col("_c_before"), F.col("_c_before") + F.col("_c")
     aggs = []
     for i, q in enumerate(probs):
-        at = F.lit(float(q)) * (F.col("n_total") - 1)
+        at = F.lit(float(q)) * (F.col("_c_total") - 1)
         for tag, idx in (("lo", F.floor(at)), ("hi", F.ceil(at))):
             aggs.append(F.max(F.when((start <= idx) & (idx < end), F.col(value))).alias(f"_{tag}{i}"))
-    g = p.groupBy(*keys).agg(F.max("n_total").alias("n_rows"), *aggs)
+    g = p.groupBy(*keys).agg(F.max("_c_total").alias("n_rows"), *aggs)
     out = []
     for i, (q, name) in enumerate(zip(probs, names)):
         at = F.lit(float(q)) * (F.col("n_rows") - 1)
@@ -185,3 +185,14 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
     """First ``k`` rows per group; Spark trims each task to ``k`` rows per group before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rank_in_group", F.row_number().over(w)).where(F.col("rank_in_group") <= k)
+
+
+def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
+                rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Running maximum along ``order`` (unique within the group), carried over buckets."""
+    b = _bucketed(df, keys, order, rows_per_bucket)
+    by_bucket = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = b.groupBy(*keys, "_b").agg(F.max(value).alias("_m")).select(*keys, "_b", F.max("_m").over(by_bucket).alias("_carry"))
+    within = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    j = key_join(b, carry, [*keys, "_b"])
+    return j.withColumn("running_max", F.greatest(F.max(value).over(within), F.col("_carry"))).drop("_b", "_carry")

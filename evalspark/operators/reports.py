@@ -441,3 +441,21 @@ def cost_performance(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def sum_or_null(c: str) -> Column:
     """Null when every value is null (Spark's ``sum`` already is)."""
     return F.sum(c)
+
+
+def combine_references(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+    """Union of reference tables with unequal columns; the first table to name an entry wins, blank flags mean true."""
+    out = None
+    for i, f in enumerate(frames):
+        part = f.withColumns({k: strip(k) for k in keys}).withColumn("_frame", F.lit(i))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    one = best_row(out, keys, [F.col("_frame")]).drop("_frame")
+    return one.withColumn("is_top10_entry", F.coalesce("is_top10_entry", F.lit(True)))
+
+
+def complete_cases(df: DataFrame, keys: Sequence[str], model: str = "model") -> DataFrame:
+    """Datasets on which every model has a row."""
+    pairs = df.select(*keys, model).distinct()
+    n = pairs.select(model).distinct().agg(F.count(F.lit(1)).alias("_all"))
+    g = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("models"))
+    return g.crossJoin(F.broadcast(n)).where(F.col("models") == F.col("_all")).drop("_all")  # one-row side

@@ -27,7 +27,7 @@ def analysis(spark, d):
 
 AX = f"a AS (SELECT *, {FAMILY_SQL} AS family, {METHOD_SQL} AS method, {COMPONENT_SQL} AS component FROM v_analysis)"
 ORD_D1 = ("CASE WHEN lower(trim(error)) NOT IN ('', 'nan', 'none') THEN 1 ELSE 0 END, "
-          "CASE WHEN status LIKE 'skipped%' THEN 1 ELSE 0 END, coalesce(test_rmse, 'inf'::DOUBLE), attempt DESC, run_name")
+          "CASE WHEN status LIKE 'skipped%' THEN 1 ELSE 0 END, coalesce(test_rmse, 'inf'::DOUBLE), -last_order, run_name, attempt")
 
 
 # --- D: aggregations -------------------------------------------------------------------------------------------
@@ -39,8 +39,7 @@ SELECT dataset, model, workflow, arg_min(primary_metric_value, rn) AS primary_me
  arg_min(status, rn) AS status FROM o GROUP BY ALL""", VM)
 def d1(spark, d):
     """Composite row: every column takes its own first non-null value."""
-    newest = F.transform(F.split("attempt", ""), lambda ch: -F.ascii(ch))
-    out = R.dedupe_metric_rows(V.v_metrics(spark, d), [newest, F.col("run_name")])
+    out = R.dedupe_metric_rows(V.v_metrics(spark, d), [-F.col("last_order"), F.col("run_name"), F.col("attempt")])
     return out.select("dataset", "model", "workflow", "primary_metric_value", "test_rmse", "error", "status")
 
 

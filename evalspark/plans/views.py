@@ -72,7 +72,7 @@ SELECT concat('run_', o_orderstatus) AS run_name, n_name AS dataset, b.model AS
        CASE WHEN n_nationkey % 3 <> 1 THEN round(avg(l_extendedprice) / 9973, 6) END AS test_rmse,
        CASE WHEN n_nationkey % 3 = 1 THEN round(10 * sum(l_discount * l_extendedprice) / sum(l_extendedprice), 6) END
             AS test_roc_auc,
-       sum(l_quantity) AS elapsed_seconds, count(*) AS n_train,
+       sum(l_quantity) AS elapsed_seconds, count(*) AS n_train, max(l_orderkey) AS last_order,
        CASE WHEN b.model = 'SVR' AND p_type = 'ECONOMY' THEN 'timeout' WHEN b.model = 'XGBoost' THEN 'nan' END AS error,
        CASE WHEN p_type = 'PROMO' AND b.model = 'KNN' THEN 'skipped_small' ELSE 'completed' END AS status
 FROM lineitem JOIN part ON p_partkey = l_partkey
@@ -157,7 +157,7 @@ def v_metrics(spark: SparkSession, d: str) -> DataFrame:
          .agg(F.avg(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("_net"),
               F.avg("l_extendedprice").alias("_gross"),
               (10 * F.sum(F.col("l_discount") * F.col("l_extendedprice")) / F.sum("l_extendedprice")).alias("_rate"),
-              F.sum("l_quantity").alias("elapsed_seconds"), F.count(F.lit(1)).alias("n_train"))
+              F.sum("l_quantity").alias("elapsed_seconds"), F.count(F.lit(1)).alias("n_train"), F.max("l_orderkey").alias("last_order"))
          .where(F.element_at(names, F.col("p_brand")).isNotNull()))
     kind = F.col("n_nationkey") % 3
     model = F.element_at(names, F.col("p_brand"))
@@ -169,7 +169,7 @@ def v_metrics(spark: SparkSession, d: str) -> DataFrame:
         .alias("primary_metric_value"),
         F.when(kind != 1, F.round(F.col("_gross") / 9973, 6)).alias("test_rmse"),
         F.when(kind == 1, F.round("_rate", 6)).alias("test_roc_auc"),
-        "elapsed_seconds", "n_train",
+        "elapsed_seconds", "n_train", "last_order",
         F.when((F.col("model") == "SVR") & (F.col("p_type") == "ECONOMY"), "timeout")
         .when(F.col("model") == "XGBoost", "nan").alias("error"),
         F.when((F.col("p_type") == "PROMO") & (F.col("model") == "KNN"), "skipped_small").otherwise("completed")
