@@ -119,17 +119,20 @@ def cap_selection(coefs: DataFrame, keys: Sequence[str], train_rows: str, featur
 # --- hashed text features --------------------------------------------------------------------------------------
 
 def token_ngrams(text: Column | str, n: int, pattern: str = r"\s+") -> Column:
+    """Word n-grams. Built by zipping shifted copies of the token list, so the text is split once per copy, not per
+    gram (an outer expression inside a lambda would be evaluated for every element)."""
     tokens = F.filter(F.split(F.lower(text), pattern), lambda t: t != "")
-    last = F.size(tokens) - n
-    grams = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-                        lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))
-    return F.when(last >= 0, grams).otherwise(F.array().cast("array<string>"))
+    grams = tokens
+    for shift in range(1, n):
+        shifted = F.slice(tokens, F.lit(shift + 1), F.greatest(F.size(tokens), F.lit(0)))
+        grams = F.zip_with(grams, shifted, lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.filter(grams, lambda g: g.isNotNull()) if n > 1 else grams
 
 
 def hashed_presence(grams: Column, n_bits: int) -> Column:
     """Sorted distinct bit numbers."""
     bit = lambda g: F.pmod(F.conv(F.substring(F.sha1(g), 1, 12), 16, 10).cast("long"), F.lit(n_bits)).cast("int")
-    return F.array_sort(F.array_distinct(F.transform(grams, bit)))
+    return F.array_sort(F.array_distinct(F.transform(F.array_distinct(grams), bit)))
 
 
 def hashed_counts(df: DataFrame, keys: Sequence[str], grams: Column, n_bits: int) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.cleaning import ERROR_NULL_TOKENS, null_clean
 from evalspark.functions.taxonomy import error_transition
-from evalspark.operators.ordering import ROWS_PER_BUCKET, dedupe, key_join, row_numbers
+from evalspark.operators.ordering import ROWS_PER_BUCKET, dedupe, key_join, prefix_sums, row_numbers, top_rows
 
 
 def occurrence_align(expected: DataFrame, actual: DataFrame, keys: Sequence[str], entity: str, order: str, value: str,
@@ -131,18 +131,34 @@ def model_pairs(pred: DataFrame, keys: Sequence[str], row: Sequence[str], model:
                         F.col("_a.v").alias("value_a"), F.col("_b.v").alias("value_b"))
 
 
-def rank_against(df: DataFrame, refs: DataFrame, keys: Sequence[str], value: str, lower: Column) -> DataFrame:
-    """Rank = 1 + number of better reference values; gaps to the best and to the tenth (or worst).
+def better_counts(df: DataFrame, refs: DataFrame, keys: Sequence[str], score: str,
+                  rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Add ``n_better``: reference scores strictly below the row's (smaller is better).
 
-    ``refs`` holds one sorted list of a leaderboard's values (``vals``) per key.
+    A counting theta join as running sums: rows and references are stacked by score, so nothing is paired up and a
+    long reference list needs no array.
     """
-    n, v = F.size("vals"), F.col(value)
-    nth = lambda i: F.when(lower, F.get("vals", i)).otherwise(F.get("vals", n - 1 - i))
-    better = F.size(F.filter("vals", lambda x: F.when(lower, x < v).otherwise(x > v)))
-    gap = lambda ref: F.when(lower, v - ref).otherwise(ref - v)
-    j = key_join(df, refs.select(*keys, "vals"), keys)
-    return j.withColumns({"estimated_rank": better + 1, "in_top10": better < 10, "gap_to_best": gap(nth(F.lit(0))),
-                          "gap_to_tenth": gap(nth(F.least(F.lit(10), n) - 1))}).drop("vals")
+    both = (df.select(*keys, score).withColumn("_ref", F.lit(0))
+            .unionByName(refs.select(*keys, score).withColumn("_ref", F.lit(1))))
+    c = prefix_sums(both, keys, score, {"_r": F.col("_ref")}, rows_per_bucket)
+    return key_join(df, c.select(*keys, score, F.col("_r_before").alias("n_better")), [*keys, score])
+
+
+def reference_cutoffs(refs: DataFrame, keys: Sequence[str], score: str, tie: str) -> DataFrame:
+    """Best and tenth (or worst) reference score per key; each task sends at most ten rows per key."""
+    n = refs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_references"))
+    best = top_rows(refs.select(*keys, score, tie), keys, [F.col(score), F.col(tie)], 10)
+    ends = best.groupBy(*keys).agg(F.min(score).alias("best_score"), F.max(score).alias("tenth_score"))
+    return key_join(ends, n, keys)
+
+
+def rank_against(df: DataFrame, refs: DataFrame, keys: Sequence[str], score: str, tie: str,
+                 rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Rank = 1 + number of better references, membership in the top ten, gaps to the best and to the tenth."""
+    j = key_join(better_counts(df, refs, keys, score, rows_per_bucket), reference_cutoffs(refs, keys, score, tie), keys)
+    return j.withColumns({"estimated_rank": F.col("n_better") + 1, "in_top10": F.col("n_better") < 10,
+                          "gap_to_best": F.col(score) - F.col("best_score"),
+                          "gap_to_tenth": F.col(score) - F.col("tenth_score")}).drop("n_better")
 
 
 def missing_models(datasets: DataFrame, expected: DataFrame, done: DataFrame) -> DataFrame:

@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from evalspark.functions import columns as K
 from evalspark.functions import taxonomy as T
 from evalspark.functions.cleaning import ERROR_NULL_TOKENS, has_error, null_clean, safe_ratio, strip, to_number
+from evalspark.operators import joins as J
 from evalspark.operators.ordering import best_row, first_known, key_join
+from evalspark.session import durable
 
 EPS = 1e-12
 
@@ -217,29 +219,43 @@ def most_common(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
 
 # --- references ------------------------------------------------------------------------------------------------
 
-def reference_values(ref: DataFrame) -> DataFrame:
-    """Per dataset and metric kind: sorted reference values (a leaderboard is a short list), sources and counts."""
-    return (ref.where(F.col("kind").isNotNull() & F.col("value").isNotNull()).groupBy("dataset", "kind")
-            .agg(F.array_sort(F.collect_list("value")).alias("vals"),
-                 F.array_join(F.array_sort(F.collect_set("reference_source")), "; ").alias("reference_sources")))
+def reference_scores(ref: DataFrame) -> DataFrame:
+    """Reference rows with a parsed value and the smaller-is-better ``score`` of their metric kind."""
+    low = T.leaderboard_direction("kind") == "lower"
+    known = ref.where(F.col("kind").isNotNull() & F.col("value").isNotNull())
+    return known.withColumn("score", T.comparison_score("value", low))
+
+
+def reference_sources(ref: DataFrame) -> DataFrame:
+    return ref.where(F.col("kind").isNotNull()).groupBy("dataset", "kind").agg(
+        F.array_join(F.array_sort(F.collect_set("reference_source")), "; ").alias("reference_sources"))
+
+
+def reference_coverage(ref: DataFrame) -> DataFrame:
+    """Per dataset and kind: row count, best value, tenth-best (or worst) value, sources."""
+    s = reference_scores(ref)
+    src = reference_sources(ref)
+    cut = J.reference_cutoffs(s, ["dataset", "kind"], "score", "model")
+    low = T.leaderboard_direction("kind") == "lower"
+    back = lambda c: F.when(low, F.col(c)).otherwise(-F.col(c))
+    return cut.join(src, ["dataset", "kind"]).select(
+        "dataset", "kind", "n_references", back("best_score").alias("best"), back("tenth_score").alias("tenth_or_worst"),
+        "reference_sources")
 
 
-def compare_with_reference(best: DataFrame, refs: DataFrame) -> DataFrame:
-    """Rank, gaps and cutoffs of our value among the reference values of the same dataset and metric kind."""
-    j = best.join(refs, ["dataset", "kind"])
+def compare_with_reference(best: DataFrame, ref: DataFrame) -> DataFrame:
+    """Rank, gaps and cutoffs of our best value among the references of the same dataset and metric kind."""
     low = T.leaderboard_direction("kind") == "lower"
-    n = F.size("vals")
-    v = F.col("best_value")
-    nth = lambda i: F.when(low, F.get("vals", i)).otherwise(F.get("vals", n - 1 - i))
-    better = F.size(F.filter("vals", lambda x: F.when(low, x < v).otherwise(x > v)))
-    top1, cut = nth(F.lit(0)), nth(F.least(F.lit(10), n) - 1)
-    rank = better + 1
-    gap = lambda ref: F.when(low, v - ref).otherwise(ref - v)
-    return j.select(*best.columns, F.when(low, "lower").otherwise("higher").alias("direction"),
-                    top1.alias("leaderboard_top1"), cut.alias("leaderboard_top10_cutoff"),
-                    n.alias("known_reference_count"), "reference_sources",
-                    F.least(rank, F.lit(11)).alias("estimated_rank_vs_top10"), (rank <= 10).alias("in_top10_estimate"),
-                    gap(top1).alias("gap_to_top1"), gap(cut).alias("gap_to_top10_cutoff"))
+    mine = durable(best.withColumn("score", T.comparison_score("best_value", low)))  # one row per dataset, read thrice
+    j = J.rank_against(mine, reference_scores(ref), ["dataset", "kind"], "score", "model")
+    src = reference_sources(ref)
+    back = lambda c: F.when(low, F.col(c)).otherwise(-F.col(c))
+    return j.join(src, ["dataset", "kind"]).select(
+        *best.columns, F.when(low, "lower").otherwise("higher").alias("direction"),
+        back("best_score").alias("leaderboard_top1"), back("tenth_score").alias("leaderboard_top10_cutoff"),
+        F.col("n_references").alias("known_reference_count"), "reference_sources",
+        F.least("estimated_rank", F.lit(11)).alias("estimated_rank_vs_top10"), F.col("in_top10").alias("in_top10_estimate"),
+        F.col("gap_to_best").alias("gap_to_top1"), F.col("gap_to_tenth").alias("gap_to_top10_cutoff"))
 
 
 def leaderboard_comparison(df: DataFrame, seq: Sequence[str]) -> DataFrame:

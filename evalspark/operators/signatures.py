@@ -7,16 +7,29 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evalspark.operators.ordering import row_numbers
 
-def ordered_signature(df: DataFrame, keys: Sequence[str], seq: str, texts: dict[str, str]) -> DataFrame:
-    """sha256 over the newline-joined texts in ``seq`` order: the reproducible form, one list per dataset in memory.
 
-    Use it for datasets of benchmark size only; ``order_free_signature`` has no such limit.
+ROWS_PER_BLOCK = 100_000
+
+
+def ordered_signature(df: DataFrame, keys: Sequence[str], seq: str, texts: dict[str, str],
+                      rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
+    """sha256 over the newline-joined texts in ``seq`` order.
+
+    A dataset of more than ``rows_per_block`` rows is digested block by block and the signature is the digest of the
+    block digests, so no task ever holds more than one block.
     """
-    lists = F.array_sort(F.collect_list(F.struct(seq, *texts.values()))).alias("_l")
-    g = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), lists)
+    pos = row_numbers(df.select(*keys, seq, *texts.values()), keys, [seq], "_i")
+    block = F.floor(F.col("_i") / rows_per_block).alias("_blk")
+    lists = F.array_sort(F.collect_list(F.struct("_i", *texts.values()))).alias("_l")
     digest = lambda c: F.sha2(F.array_join(F.transform("_l", lambda s: s[c]), "\n"), 256)
-    return g.select(*keys, "n_rows", *[digest(c).alias(n) for n, c in texts.items()])
+    blocks = pos.groupBy(*keys, block).agg(F.count(F.lit(1)).alias("_n"), lists).select(
+        *keys, "_blk", "_n", *[digest(c).alias(n) for n, c in texts.items()])
+    g = blocks.groupBy(*keys).agg(F.sum("_n").alias("n_rows"), F.array_sort(F.collect_list(F.struct("_blk", *texts))).alias("_d"))
+    whole = lambda n: F.when(F.size("_d") == 1, F.col("_d")[0][n]).otherwise(
+        F.sha2(F.array_join(F.transform("_d", lambda s: s[n]), "\n"), 256))
+    return g.select(*keys, "n_rows", *[whole(n).alias(n) for n in texts])
 
 
 def order_free_signature(df: DataFrame, keys: Sequence[str], parts: Sequence[Column]) -> DataFrame:

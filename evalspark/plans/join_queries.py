@@ -14,6 +14,7 @@ from evalspark.operators import reports as R
 from evalspark.operators import signatures as S
 from evalspark.plans import views as V
 from evalspark.plans.registry import query, r, rounded
+from evalspark.session import durable
 from evalspark.plans.report_queries import RD, REFK, VA, VM, refs
 
 VP = ("v_pred",)
@@ -175,7 +176,7 @@ def c11(spark, d):
 WITH rf AS (SELECT dataset, {REFK} AS kind, metric_value_numeric AS v FROM v_ref),
 m AS (SELECT run_name, dataset, model, attempt, primary_metric_value AS x, CASE primary_metric WHEN 'RMSE' THEN 'rmse' WHEN 'ROC-AUC' THEN 'roc_auc' ELSE 'spearman' END AS kind FROM v_metrics),
 o AS (SELECT dataset, kind, v, row_number() OVER (PARTITION BY dataset ORDER BY CASE WHEN kind = 'rmse' THEN v ELSE -v END) AS i, count(*) OVER (PARTITION BY dataset) AS n FROM rf)
-SELECT m.run_name, m.dataset, m.model, m.attempt, CAST(1 + count(*) FILTER (CASE WHEN m.kind = 'rmse' THEN o.v < m.x ELSE o.v > m.x END) AS INT) AS estimated_rank,
+SELECT m.run_name, m.dataset, m.model, m.attempt, 1 + count(*) FILTER (CASE WHEN m.kind = 'rmse' THEN o.v < m.x ELSE o.v > m.x END) AS estimated_rank,
  count(*) FILTER (CASE WHEN m.kind = 'rmse' THEN o.v < m.x ELSE o.v > m.x END) < 10 AS in_top10,
  round(max(CASE WHEN i = 1 THEN CASE WHEN m.kind = 'rmse' THEN m.x - o.v ELSE o.v - m.x END END), 6) AS gap_to_best,
  round(max(CASE WHEN i = least(10, n) THEN CASE WHEN m.kind = 'rmse' THEN m.x - o.v ELSE o.v - m.x END END), 6) AS gap_to_tenth
@@ -183,9 +184,11 @@ FROM m JOIN o ON o.dataset = m.dataset AND o.kind = m.kind GROUP BY m.run_name,
 def c12(spark, d):
     m = V.v_metrics(spark, d).select("run_name", "dataset", "model", "attempt", "primary_metric_value",
                                      T.leaderboard_metric_kind("primary_metric").alias("kind"))
-    lists = R.reference_values(refs(spark, d))
-    out = J.rank_against(m, lists, ["dataset", "kind"], "primary_metric_value", T.leaderboard_direction("kind") == "lower")
-    return rounded(out.drop("primary_metric_value", "kind"), "gap_to_best", "gap_to_tenth")
+    low = T.leaderboard_direction("kind") == "lower"
+    m = durable(m.withColumn("score", T.comparison_score("primary_metric_value", low)))
+    out = J.rank_against(m, R.reference_scores(refs(spark, d)), ["dataset", "kind"], "score", "model")
+    return rounded(out.select("run_name", "dataset", "model", "attempt", "estimated_rank", "in_top10", "gap_to_best",
+                              "gap_to_tenth"), "gap_to_best", "gap_to_tenth")
 
 
 @query("c14_rows_with_known_key", """
@@ -282,10 +285,10 @@ def c21(spark, d):
 
 @query("e1_rank_ties_min", """
 SELECT dataset, model, row_id, rank() OVER (PARTITION BY dataset, model ORDER BY abs(observed - predicted)) AS error_rank
-FROM (SELECT dataset, model, row_id, observed, round(predicted, 2) AS predicted FROM v_pred)""", VP)
+FROM v_pred""", VP)
 def e1(spark, d):
     p = V.v_pred(spark, d).select("dataset", "model", "row_id",
-                                  F.abs(F.col("observed") - F.round("predicted", 2)).alias("err"))
+                                  F.abs(F.col("observed") - F.col("predicted")).alias("err"))
     k = O.ranks(p, ["dataset", "model"], "err").select("dataset", "model", "err", F.col("rank_min").alias("error_rank"))
     return O.key_join(p, k, ["dataset", "model", "err"]).drop("err")
 
@@ -341,9 +344,10 @@ SELECT dataset, model, CAST(coalesce(rank_given, row_number() OVER (PARTITION BY
 def e8(spark, d):
     k = V.v_ref(spark, d).withColumn("rank_given", F.when(
         (F.col("reference_source") == "board") & (F.length("model") == 18) & (F.col("metric_value_numeric") > 1.5), 3))
-    score = T.comparison_score("metric_value_numeric", F.col("leaderboard_metric_name") == "RMSE")
-    w = Window.partitionBy("dataset", "leaderboard_metric_name", F.col("rank_given").isNull()).orderBy(score, "model")
-    return k.select("dataset", "model", F.coalesce("rank_given", F.row_number().over(w)).alias("rank_filled"))
+    k = k.withColumns({"score": T.comparison_score("metric_value_numeric", F.col("leaderboard_metric_name") == "RMSE"),
+                       "given": F.col("rank_given").isNotNull()})
+    n = O.row_numbers(k, ["dataset", "leaderboard_metric_name", "given"], ["score", "model"], "_i")
+    return n.select("dataset", "model", F.coalesce("rank_given", (F.col("_i") + 1).cast("int")).alias("rank_filled"))
 
 
 @query("e9_running_maximum", """
@@ -391,7 +395,7 @@ g AS (SELECT user_id, count(nt) AS finished, avg(nt - t) AS mean_seconds FROM s
 SELECT user_id, finished, round(mean_seconds, 3) AS mean_seconds, round(mean_seconds * 10, 2) AS eta_seconds FROM g""")
 def e13(spark, d):
     """The mean gap between consecutive starts telescopes to (last - first) / (n - 1): no ordering is needed."""
-    t = F.unix_micros("ts") / F.lit(1e6)
+    t = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
     g = V.table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min(t).alias("a"), F.max(t).alias("b"))
     mean = C.safe_ratio(F.col("b") - F.col("a"), F.col("n") - 1)
     return g.select("user_id", (F.col("n") - 1).alias("finished"), r(mean, 3).alias("mean_seconds"), r(mean * 10, 2).alias("eta_seconds"))

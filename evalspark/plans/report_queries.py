@@ -11,6 +11,7 @@ from evalspark.operators import ordering as O
 from evalspark.operators import reports as R
 from evalspark.plans import views as V
 from evalspark.plans.registry import query, r, rounded
+from evalspark.session import durable
 from evalspark.plans.rule_queries import COMPONENT_SQL, FAMILY_SQL, METHOD_SQL
 
 VM = ("v_metrics",)
@@ -104,8 +105,8 @@ g AS (SELECT b.dataset, b.kind, best_model, CASE WHEN b.kind = 'rmse' THEN s ELS
   FROM b JOIN rf ON b.dataset = rf.dataset AND b.kind = rf.kind GROUP BY b.dataset, b.kind, best_model, s)
 SELECT dataset, kind, best_model, best_value, CASE WHEN kind = 'rmse' THEN 'lower' ELSE 'higher' END AS direction,
  abs(vals[1]) AS leaderboard_top1, abs(vals[least(10, len(vals))]) AS leaderboard_top10_cutoff,
- CAST(len(vals) AS INT) AS known_reference_count, sources AS reference_sources,
- CAST(least(1 + len(list_filter(vals, lambda x: x < s)), 11) AS INT) AS estimated_rank_vs_top10,
+ len(vals) AS known_reference_count, sources AS reference_sources,
+ least(1 + len(list_filter(vals, lambda x: x < s)), 11) AS estimated_rank_vs_top10,
  1 + len(list_filter(vals, lambda x: x < s)) <= 10 AS in_top10_estimate,
  round(s - vals[1], 6) AS gap_to_top1, round(s - vals[least(10, len(vals))], 6) AS gap_to_top10_cutoff FROM g""",
        ("v_metrics", "v_ref"))
@@ -114,7 +115,7 @@ def d5(spark, d):
     s = T.comparison_score("primary_metric_value", T.leaderboard_direction("kind") == "lower")
     best = O.best_row(m, ["dataset", "kind"], [s, F.col("model"), F.col("run_name"), F.col("attempt")]).select(
         "dataset", "kind", F.col("model").alias("best_model"), F.col("primary_metric_value").alias("best_value"))
-    out = R.compare_with_reference(best, R.reference_values(refs(spark, d)))
+    out = R.compare_with_reference(best, refs(spark, d))
     return rounded(out, "gap_to_top1", "gap_to_top10_cutoff")
 
 
@@ -382,14 +383,10 @@ def d21(spark, d):
 @query("d22_reference_coverage", f"""
 WITH rf AS (SELECT dataset, {REFK} AS kind, CASE WHEN leaderboard_metric_name = 'RMSE' THEN metric_value_numeric
   ELSE -metric_value_numeric END AS v, reference_source FROM v_ref)
-SELECT dataset, kind, CAST(count(*) AS INT) AS n_rows, abs(min(v)) AS best, abs(list_sort(list(v))[least(10, count(*))]) AS tenth_or_worst,
+SELECT dataset, kind, count(*) AS n_rows, abs(min(v)) AS best, abs(list_sort(list(v))[least(10, count(*))]) AS tenth_or_worst,
  string_agg(DISTINCT reference_source, '; ' ORDER BY reference_source) AS sources FROM rf GROUP BY ALL""", ("v_ref",))
 def d22(spark, d):
-    g = R.reference_values(refs(spark, d))
-    low, n = T.leaderboard_direction("kind") == "lower", F.size("vals")
-    nth = lambda i: F.when(low, F.get("vals", i)).otherwise(F.get("vals", n - 1 - i))
-    return g.select("dataset", "kind", n.alias("n_rows"), nth(F.lit(0)).alias("best"),
-                    nth(F.least(F.lit(10), n) - 1).alias("tenth_or_worst"), F.col("reference_sources").alias("sources"))
+    return R.reference_coverage(refs(spark, d)).withColumnsRenamed({"n_references": "n_rows", "reference_sources": "sources"})
 
 
 TUNED = """t AS (SELECT *, replace(model, ' GA', '') AS base FROM v_metrics WHERE ends_with(model, ' GA')),
@@ -631,7 +628,7 @@ SELECT family, task_kind, size_quartile, count(DISTINCT dataset) AS datasets, qu
 def d36(spark, d):
     from evalspark.operators.splits import quartile_bins
     w = R.best_by_score(analysis(spark, d), RD).withColumns({"_all": F.lit(0), "n": F.col("n_train").cast("double")})
-    q = quartile_bins(w, ["_all"], "n", "size_quartile")
+    q = quartile_bins(durable(w), ["_all"], "n", "size_quartile")
     return q.groupBy("family", "task_kind", "size_quartile").agg(
         F.count_distinct("dataset").alias("datasets"), R.median("n").alias("median_rows"),
         r(R.median("analysis_metric_value")).alias("median_best"))

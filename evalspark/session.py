@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,18 +33,33 @@ def build_session(app: str = "evalspark", master: str | None = None, shuffle_par
     return builder.getOrCreate()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint so that lost executors never force recomputation of an iteration.
+_LOCAL_FOLDERS: dict[str, str] = {}
+
 
-    The folder comes from ``spark.checkpoint.dir`` when the cluster names one; a local folder is set only for
-    local-mode sessions that have none.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
+
+    Only a local-mode session without that setting (tests) gets a folder of its own.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="spark-evalspark-", dir=os.environ.get("TMPDIR", "/tmp"))
+    return _LOCAL_FOLDERS[app]
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A new, unused path below the shared folder."""
+    return f"{shared_folder(spark)}/evalspark/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint, so that a lost executor never forces an iteration to be recomputed."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder before running iterative jobs")
-            folder = tempfile.mkdtemp(prefix="spark-evalspark-", dir=os.environ.get("TMPDIR", "/tmp"))
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

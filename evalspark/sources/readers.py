@@ -16,9 +16,15 @@ KEY_COLUMNS = ("smiles", "SMILES", "Smiles", "canonical_smiles", "Drug", "X")
 TARGET_COLUMNS = ("target", "Target", "y", "Y", "label", "value")
 
 
+def file_path() -> Column:
+    """Path of the file a row came from, with URL escapes undone."""
+    raw = F.col("_metadata.file_path")
+    return F.url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
+
+
 def folder_name(level: int = 1) -> Column:
     """Name of the folder ``level`` steps above the file a row came from."""
-    return F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1 - level)
+    return F.element_at(F.split(file_path(), "/"), -1 - level)
 
 
 def read_text_table(spark: SparkSession, path: str | Sequence[str], sep: str = ",") -> DataFrame:
@@ -40,7 +46,7 @@ def read_keyed_table(spark: SparkSession, path: str, dataset: str, sep: str = "\
 
 def read_by_header(spark: SparkSession, paths: Sequence[str], sep: str = ",") -> DataFrame:
     """Union of files whose headers differ: files are grouped by header line first, one scan per header."""
-    heads = (spark.read.text(list(paths), wholetext=False).select(F.col("_metadata.file_path").alias("p"),
+    heads = (spark.read.text(list(paths), wholetext=False).select(file_path().alias("p"),
                                                                   F.col("_metadata.file_block_start").alias("b"), "value")
              .where("b = 0").groupBy("p").agg(F.first("value").alias("h")))
     groups: dict[str, list[str]] = {}
