@@ -210,12 +210,12 @@ def group_kfold(df: DataFrame, keys: Sequence[str], group: str, folds: int = 5,
     """
     sizes = group_sizes(df, keys, group)
     runs = sizes.groupBy(*keys, "size").agg(F.count(F.lit(1)).alias("m"))
-    schema = runs.schema.add("loads", T.ArrayType(T.LongType()))
+    schema = T.StructType([*runs.schema.fields, T.StructField("loads", T.ArrayType(T.LongType()))])
     loads = runs.groupBy(*keys).applyInPandas(_loads_before_runs(folds), schema).drop("m")
     ordered = row_numbers(sizes, [*keys, "size"], [group], "_i", rows_per_bucket)
     j = key_join(ordered, loads, [*keys, "size"])
     out = j.select(*keys, group, "size", "_i", "loads", F.size("loads").alias("folds"))
-    schema = out.drop("loads", "_i").schema.add("fold", T.LongType())
+    schema = T.StructType([*out.drop("loads", "_i").schema.fields, T.StructField("fold", T.LongType())])
     assigned = out.mapInPandas(_assign_folds, schema)
     return key_join(df, assigned.drop("size"), [*keys, group])
 
