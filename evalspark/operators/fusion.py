@@ -82,14 +82,14 @@ def subset_weights(strengths: DataFrame, keys: Sequence[str], min_models: int =
     """(keys, mask, variant) with the weight array by model index: one row per candidate, none of them on the driver."""
     entry = F.struct("idx", "model", "performance_strength", "diversity_strength")
     m = strengths.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_m")).withColumn("_n", F.size("_m"))
-    masks = m.withColumn("mask", F.explode(F.sequence(F.lit(1).cast("long"), F.shiftleft(F.lit(1).cast("long"), F.col("_n")) - 1)))
+    masks = m.withColumn("mask", F.explode(F.expr("sequence(1L, shiftleft(1L, _n) - 1L)")))
     size = F.bit_count("mask").cast("int")
     high = F.col("_n") if max_models is None else F.least(F.lit(max_models), F.col("_n"))
     masks = masks.where((size >= min_models) & (size <= F.greatest(high, F.lit(min_models)))).withColumn("n_models", size)
     inside = lambda e: F.getbit(F.col("mask"), e["idx"]) == 1
     raw = {"ac": lambda e: F.lit(1.0), "wcp": lambda e: e["performance_strength"], "wcds": lambda e: e["diversity_strength"]}
-    options = F.array(*[F.struct(F.lit(v).alias("variant"), F.transform(
-        "_m", lambda e, f=f: F.when(inside(e), f(e)).otherwise(0.0)).alias("w")) for v, f in raw.items()])
+    masked = lambda f: F.transform("_m", lambda e: F.when(inside(e), f(e)).otherwise(0.0))
+    options = F.array(*[F.struct(F.lit(v).alias("variant"), masked(f).alias("w")) for v, f in raw.items()])
     out = masks.withColumn("_v", F.explode(options))
     w = F.col("_v.w")
     total = F.aggregate(w, F.lit(0.0), lambda a, x: a + x)

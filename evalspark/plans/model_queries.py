@@ -199,13 +199,13 @@ def k9(spark, d):
 @query("k10_member_filter", """
 WITH s AS (SELECT dataset, model, 1 - sum((observed - predicted) ** 2) / (var_pop(observed) * count(*)) AS r2 FROM u WHERE split = 'test' GROUP BY ALL)
 SELECT dataset, model, CASE WHEN model IN ('m_lin', 'm_near') THEN true ELSE false END AS kept, CASE WHEN r2 <= 0 THEN 'non_positive_r2' WHEN model = 'm_lin2' THEN 'highly_correlated' END AS reason FROM s"""
-       .replace("WITH s AS", "WITH u AS (SELECT dataset, model, split, observed, predicted FROM v_pred UNION ALL SELECT dataset, 'm_lin2', split, observed, predicted * 1.1 FROM v_pred WHERE model = 'm_lin' "
+       .replace("WITH s AS", "WITH u AS (SELECT dataset, model, split, observed, predicted FROM v_pred UNION ALL SELECT dataset, 'm_lin2', split, observed, predicted * 1.5 FROM v_pred WHERE model = 'm_lin' "
                 "UNION ALL SELECT dataset, 'm_near', split, observed, predicted + 3 * (CAST('0x' || substr(sha1(CAST(row_id AS VARCHAR)), 1, 4) AS BIGINT) % 41 - 20)::DOUBLE FROM v_pred WHERE model = 'm_lin'), s AS"), VP)
 def k10(spark, d):
     p = V.v_pred(spark, d)
     lin = p.where("model = 'm_lin'")
     noise = 3.0 * (F.conv(F.substring(F.sha1(F.col("row_id").cast("string")), 1, 4), 16, 10).cast("long") % 41 - 20)
-    extra = lin.withColumns({"model": F.lit("m_lin2"), "predicted": F.col("predicted") * 1.1}).unionByName(
+    extra = lin.withColumns({"model": F.lit("m_lin2"), "predicted": F.col("predicted") * 1.5}).unionByName(
         lin.withColumns({"model": F.lit("m_near"), "predicted": F.col("predicted") + noise}))
     return E.member_filter(p.unionByName(extra))
 
