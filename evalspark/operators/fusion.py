@@ -17,6 +17,7 @@ from evalspark.operators import metrics as M
 from evalspark.operators.ensemble import member_vectors
 from evalspark.operators.joins import model_pairs
 from evalspark.operators.ordering import ROWS_PER_BUCKET, best_row, key_join, ranks, row_numbers
+from evalspark.session import durable
 
 EPS = 1e-12
 VARIANTS = ("ac", "wcp", "wcds")
@@ -132,10 +133,10 @@ def squared_losses(train: DataFrame, candidates: DataFrame, keys: Sequence[str],
     both = g.select(*keys, "observed", F.explode("_e").alias("a"), "_e").select(
         *keys, "observed", "a", F.explode("_e").alias("b"))
     y = F.col("observed")
-    mom = both.groupBy(*keys, F.col("a.idx").alias("i"), F.col("b.idx").alias("j")).agg(
+    mom = durable(both.groupBy(*keys, F.col("a.idx").alias("i"), F.col("b.idx").alias("j")).agg(
         F.avg((F.col("a.predicted") - y) * (F.col("b.predicted") - y)).alias("err"),
         F.covar_pop("a.rank_down", "b.rank_down").alias("rcov"), F.covar_pop("a.rank_down", "observed").alias("ry"),
-        F.avg("a.rank_down").alias("rmean"), F.var_pop("observed").alias("yvar"), F.avg("observed").alias("ymean"))
+        F.avg("a.rank_down").alias("rmean"), F.var_pop("observed").alias("yvar"), F.avg("observed").alias("ymean")))
     diag = mom.where("i = j").groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "ry"))), lambda s: s["ry"]).alias("ry"),
         F.transform(F.array_sort(F.collect_list(F.struct("i", "rmean"))), lambda s: s["rmean"]).alias("rmean"),
@@ -171,10 +172,11 @@ def candidate_table(pred: DataFrame, keys: Sequence[str], row: Sequence[str], me
                     discount: float = 0.98, table: DataFrame | None = None,
                     rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[DataFrame, DataFrame]:
     """(candidates with train and adjusted loss, base strengths). ``metric``: rmse, mse or mae."""
-    t = table if table is not None else fusion_table(pred, keys, row, rows_per_bucket)
+    t = table if table is not None else durable(fusion_table(pred, keys, row, rows_per_bucket))
     train = t.where("split = 'train'")
-    div = profile_diversity(train, keys, row, rows_per_bucket)
-    base = base_strengths(train, keys, div, metric)
+    # One row per model (pair), read by several later steps: stored once instead of recomputed from the rows.
+    div = durable(profile_diversity(train, keys, row, rows_per_bucket))
+    base = durable(base_strengths(train, keys, div, metric))
     cand = subset_weights(base, keys, min_models, max_models)
     losses = squared_losses(train, cand, keys, row)
     if metric == "mae":

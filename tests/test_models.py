@@ -15,6 +15,7 @@ from evalspark.operators import fusion as U
 from evalspark.operators import linear as L
 from evalspark.operators import neighbours as N
 from evalspark.operators import stats as Z
+from evalspark.session import durable
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +34,7 @@ def pred(spark):
 def brute_fusion(g, metric):
     """All candidates of one dataset by direct evaluation on the train matrix."""
     w = g[g.split == "train"].pivot(index="row_id", columns="model", values="predicted")
-    y = g[g.split == "train"].groupby("row_id").observed.first().to_numpy()
+    y = g[g.split == "train"].groupby("row_id")["observed"].first().to_numpy()
     mat, names = w.to_numpy(), list(w.columns)
     loss = {"rmse": lambda p: math.sqrt(np.mean((y - p) ** 2)), "mae": lambda p: np.mean(np.abs(y - p))}[metric]
     base = np.array([loss(mat[:, i]) for i in range(len(names))])
@@ -76,9 +77,9 @@ def test_fusion_candidates_match_brute_force(pred, metric):
 
 def test_fusion_winner_predictions(pred):
     pdf, df = pred
-    t = U.fusion_table(df, ["dataset"], ["row_id"])
+    t = durable(U.fusion_table(df, ["dataset"], ["row_id"]))
     cand, _ = U.candidate_table(df, ["dataset"], ["row_id"], "rmse", table=t)
-    best = U.choose(cand, ["dataset"])
+    best = durable(U.choose(cand, ["dataset"]))
     out = U.fuse(t, best, ["dataset"], ["row_id"]).toPandas()
     b = best.toPandas().set_index("dataset")
     for ds, g in out[out.split == "train"].groupby("dataset"):
@@ -104,7 +105,7 @@ def test_stacking_matches_direct_ridge(pred):
     np.testing.assert_allclose(w.groupby("dataset").abs_normalized_contribution.sum(), 1.0)
     for ds, g in pdf.groupby("dataset"):
         x = g.pivot(index="row_id", columns="model", values="predicted")
-        y = g.groupby("row_id").observed.first()
+        y = g.groupby("row_id")["observed"].first()
         fold = g.groupby("row_id").fold.first()
         tr = x.index < 60
         mine = got[got.dataset == ds].set_index("row_id").predicted
