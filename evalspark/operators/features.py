@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.cleaning import finite_feature
-from evalspark.operators.ordering import ROWS_PER_BUCKET, key_join, quantiles, row_numbers, top_rows
+from evalspark.operators.ordering import ROWS_PER_BUCKET, checked_join, quantiles, row_numbers, top_rows
 
 
 def to_long(df: DataFrame, features: str, position: str = "pos", value: str = "x") -> DataFrame:
@@ -20,11 +20,11 @@ def fill_with_medians(long: DataFrame, keys: Sequence[str], value: str,
                       rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Out-of-range values become missing, then the exact column median, then 0.
 
-    The median table has one row per feature; joins go by feature, where AQE splits or broadcasts by measured size.
+    The median table has one row per feature; it is broadcast after its size was checked, so cells do not move.
     """
     clean = long.withColumn(value, finite_feature(value))
     med = quantiles(clean, keys, value, [0.5], ["_med"], rows_per_bucket).select(*keys, "_med")
-    return (key_join(clean, med, keys, "left")
+    return (checked_join(clean, med, keys, "left")
             .withColumn(value, F.coalesce(F.col(value), F.col("_med"), F.lit(0.0))).drop("_med"))
 
 

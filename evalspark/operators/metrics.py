@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.cleaning import finite
-from evalspark.operators.ordering import ROWS_PER_BUCKET, key_join, prefix_sums, ranks
+from evalspark.operators.ordering import ROWS_PER_BUCKET, checked_join, key_join, prefix_sums, ranks
 
 
 def rmse(y: str, p: str) -> Column:
@@ -68,7 +68,7 @@ def binary_frame(df: DataFrame, keys: Sequence[str], y: str = "observed", p: str
     """
     stats = df.groupBy(*keys).agg(F.min(y).alias("_y0"), F.max(y).alias("_y1"),
                                   F.min(p).alias("_p0"), F.max(p).alias("_p1"))
-    j = key_join(df, stats, keys)
+    j = checked_join(df, stats, keys)
     unit = (F.col("_p0") >= 0) & (F.col("_p1") <= 1)
     clipped = F.greatest(F.least(F.col(p), F.lit(30.0)), F.lit(-30.0))
     score = F.when(unit, F.col(p)).otherwise(1 / (1 + F.exp(-clipped)))
@@ -77,12 +77,6 @@ def binary_frame(df: DataFrame, keys: Sequence[str], y: str = "observed", p: str
     return j.withColumns({"label": label, "score": score}).drop("_y0", "_y1", "_p0", "_p1")
 
 
-def _two_valued(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Groups whose every row has a label."""
-    ok = scored.groupBy(*keys).agg(F.count_if(F.col("label").isNull()).alias("_bad"))
-    return ok.where(F.col("_bad") == 0).select(*keys)
-
-
 def ranking_metrics(df: DataFrame, keys: Sequence[str], y: str = "observed", p: str = "predicted",
                     rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """ROC-AUC (rank form) and average precision (step form) from cumulative counts over distinct scores."""

@@ -14,8 +14,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalspark.session import durable
+
 ROWS_PER_BUCKET = 1_000_000
-_SEARCH_STEPS = [1 << i for i in range(20, -1, -1)]
+MAX_SPLITTERS = 1_024  # the array rides along with every row of its group up to the bucket lookup
+BROADCAST_ROWS = 200_000
+_SEARCH_STEPS = [1 << i for i in range(10, -1, -1)]
 
 
 def key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
@@ -30,18 +34,33 @@ def key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return out if how in ("left_semi", "left_anti") else out.drop(*names.values())
 
 
+def checked_join(left: DataFrame, summary: DataFrame, keys: Sequence[str], how: str = "inner",
+                 limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Join wide rows with a per-group summary without moving the rows, if the summary is really small.
+
+    The summary is stored first (it is read again by the join in any case) and counted; up to ``limit`` rows it is
+    broadcast, beyond that the join shuffles and AQE splits hot keys.
+    """
+    stored = durable(summary)
+    return key_join(left, stored, keys, how, bounded=stored.count() <= limit)
+
+
 def _bucketed(d: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_bucket: int,
               source: DataFrame | None = None) -> DataFrame:
     """Add ``_b``: an order-preserving bucket number within each key group.
 
     A value becomes a splitter when its hash falls on one of ``rows_per_bucket`` residues, so a group of n distinct
     values gets about n / rows_per_bucket of them and most groups below that size get none. The broadcast table
-    therefore holds about (rows / rows_per_bucket) values in all, however the rows are spread over groups.
+    therefore holds about (rows / rows_per_bucket) values in all, however the rows are spread over groups, and at most
+    ``MAX_SPLITTERS`` per group.
     ``source`` may be a cheaper frame holding the same (keys, order) tuples as ``d``.
     """
     here = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
     picked = (source if source is not None else d).where(F.pmod(F.xxhash64(*order), F.lit(rows_per_bucket)) == 0)
     splits = picked.groupBy(*keys).agg(F.array_sort(F.collect_set(here)).alias("_splits"))
+    step = F.ceil(F.size("_splits") / MAX_SPLITTERS)  # thinning only widens buckets; it never changes a result
+    splits = splits.withColumn("_splits", F.when(step > 1, F.filter("_splits", lambda x, i: i % step == 0))
+                               .otherwise(F.col("_splits")))
     out = key_join(d, splits, keys, "left", bounded=True)
     found = F.aggregate(
         F.array(*[F.lit(s) for s in _SEARCH_STEPS]), F.lit(0),

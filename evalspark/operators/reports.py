@@ -16,7 +16,7 @@ from evalspark.functions import columns as K
 from evalspark.functions import taxonomy as T
 from evalspark.functions.cleaning import ERROR_NULL_TOKENS, has_error, null_clean, safe_ratio, strip, to_number
 from evalspark.operators import joins as J
-from evalspark.operators.ordering import best_row, first_known, key_join
+from evalspark.operators.ordering import best_row, checked_join, first_known, key_join
 from evalspark.session import durable
 
 EPS = 1e-12
@@ -27,7 +27,7 @@ EPS = 1e-12
 def target_profile(df: DataFrame, keys: Sequence[str], target: str) -> DataFrame:
     """Row count, 0/1 test, two-value test, task type and default metric per dataset, without a distinct count."""
     ends = df.groupBy(*keys).agg(F.min(target).alias("_lo"), F.max(target).alias("_hi"))
-    j = key_join(df.select(*keys, target), ends, keys)
+    j = checked_join(df.select(*keys, target), ends, keys)
     t = F.col(target)
     other = F.count_if((t != F.col("_lo")) & (t != F.col("_hi")))
     g = j.groupBy(*keys, "_lo", "_hi").agg(F.count(F.lit(1)).alias("n_rows"), other.alias("_other"))
@@ -41,7 +41,7 @@ def target_profile(df: DataFrame, keys: Sequence[str], target: str) -> DataFrame
 def log10_target(df: DataFrame, keys: Sequence[str], target: str = "target") -> DataFrame:
     """log10 where every target of the dataset is positive, raw otherwise; one small aggregate joined back."""
     low = df.groupBy(*keys).agg((F.min(target) > 0).alias("_pos"))
-    j = key_join(df, low, keys)
+    j = checked_join(df, low, keys)
     return (j.withColumn(target, F.when(F.col("_pos"), F.log10(target)).otherwise(F.col(target)))
             .withColumn("target_transform", F.when(F.col("_pos"), "log10").otherwise("raw")).drop("_pos"))
 

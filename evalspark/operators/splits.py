@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalspark.functions.taxonomy import predefined_side
-from evalspark.operators.ordering import ROWS_PER_BUCKET, key_join, nth_smallest, quantiles, row_numbers
+from evalspark.operators.ordering import ROWS_PER_BUCKET, checked_join, key_join, nth_smallest, quantiles, row_numbers
 
 
 def sha1_score(key: Column | str) -> Column:
@@ -31,7 +31,7 @@ def seeded_order(key: str, seed: int) -> Column:
 def _mark_below(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: Column, rows_per_bucket: int) -> DataFrame:
     """``_below``: true for the first ``n`` rows of the group in ``order``."""
     cuts = nth_smallest(df, keys, order, n, rows_per_bucket).drop("n_rows")
-    j = key_join(df, cuts, keys, "left")
+    j = checked_join(df, cuts, keys, "left")
     return j.withColumn("_below", F.coalesce(F.struct(*order) <= F.col("cut"), F.lit(False))).drop("cut")
 
 
@@ -48,7 +48,7 @@ def quartile_bins(df: DataFrame, keys: Sequence[str], target: str, name: str = "
     """Quartile bin of the target, right-closed with the lowest included; equal edges merge into one bin."""
     edges = quantiles(df.select(*keys, target), keys, target, [0.25, 0.5, 0.75], ["_e1", "_e2", "_e3"], rows_per_bucket)
     ends = df.groupBy(*keys).agg(F.min(target).alias("_e0"), F.max(target).alias("_e4"))
-    j = key_join(key_join(df, edges.drop("n_rows"), keys), ends, keys)
+    j = checked_join(df, key_join(edges.drop("n_rows"), ends, keys), keys)
     inner = F.array_distinct(F.array("_e0", "_e1", "_e2", "_e3", "_e4"))
     above = F.size(F.filter(F.slice(inner, 2, 3), lambda e: (e < F.col(target)) & (e < F.col("_e4"))))
     return j.withColumn(name, above).drop("_e0", "_e1", "_e2", "_e3", "_e4")
@@ -63,7 +63,7 @@ def stratified_holdout(df: DataFrame, keys: Sequence[str], row_id: str, target:
     binned = quartile_bins(df, keys, target, "_bin", rows_per_bucket)
     sizes = binned.groupBy(*keys, "_bin").agg(F.count(F.lit(1)).alias("_n"))
     ok = sizes.groupBy(*keys).agg((F.count(F.lit(1)).alias("k") >= 2).alias("_two"), (F.min("_n") >= 2).alias("_full"))
-    j = key_join(binned, ok, keys).withColumn("_use", F.col("_two") & F.col("_full"))
+    j = checked_join(binned, ok, keys).withColumn("_use", F.col("_two") & F.col("_full"))
     j = j.withColumn("_bin", F.when(F.col("_use"), F.col("_bin")).otherwise(0)).drop("_two", "_full")
     out = random_holdout(j, [*keys, "_bin"], row_id, fraction, seed, rows_per_bucket)
     return (out.withColumn("split_strategy", F.when(F.col("_use"), "target_quartiles").otherwise("random"))
@@ -90,7 +90,7 @@ def predefined_split(df: DataFrame, keys: Sequence[str], column: str) -> DataFra
     marked = df.withColumn("split", predefined_side(column))
     sides = marked.groupBy(*keys).agg((F.count_if(F.col("split") == "train") > 0).alias("_tr"),
                                       (F.count_if(F.col("split") == "test") > 0).alias("_te"))
-    j = key_join(marked, sides, keys).where(F.col("split").isNotNull())
+    j = checked_join(marked, sides, keys).where(F.col("split").isNotNull())
     return j.withColumn("usable", F.col("_tr") & F.col("_te")).drop("_tr", "_te")
 
 
