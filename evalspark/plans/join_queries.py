@@ -140,12 +140,13 @@ def c7(spark, d):
 
 
 @query("c8_rounded_key_lookup", """
-WITH l AS (SELECT event_type, round(value, 1) AS v, min(event_id) AS first_id FROM events WHERE user_id < 75 GROUP BY ALL)
-SELECT e.event_id, l.first_id FROM events e JOIN l ON l.event_type = e.event_type AND l.v = round(e.value, 1) WHERE e.user_id >= 75""")
+WITH l AS (SELECT event_type, floor(value) AS v, min(event_id) AS first_id FROM events WHERE CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) < 50 GROUP BY ALL)
+SELECT e.event_id, l.first_id FROM events e JOIN l ON l.event_type = e.event_type AND l.v = floor(e.value) WHERE CAST(regexp_extract(e.props, '([0-9]+)', 1) AS INT) >= 50""")
 def c8(spark, d):
-    e = V.table(spark, d, "events").select("event_id", "event_type", "value", "user_id")
-    lookup = e.where("user_id < 75").select("event_type", "value", F.col("event_id").alias("first_id"))
-    return J.lookup_by_rounded_key(e.where("user_id >= 75").drop("user_id"), lookup, "event_type", "value", "first_id", 1).select(
+    e = V.table(spark, d, "events").select("event_id", "event_type", F.floor("value").cast("double").alias("value"),
+                                           F.regexp_extract("props", "([0-9]+)", 1).cast("int").alias("k"))
+    lookup = e.where("k < 50").select("event_type", "value", F.col("event_id").alias("first_id"))
+    return J.lookup_by_rounded_key(e.where("k >= 50").drop("k"), lookup, "event_type", "value", "first_id").select(
         "event_id", "first_id")
 
 

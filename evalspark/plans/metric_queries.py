@@ -71,7 +71,7 @@ LABELLED = """
 s AS (SELECT dataset, model, row_id, observed, predicted,
         min(observed) OVER w AS y0, max(observed) OVER w AS y1, min(predicted) OVER w AS p0, max(predicted) OVER w AS p1
       FROM v_binary WINDOW w AS (PARTITION BY dataset, model)),
-b AS (SELECT dataset, model, row_id, CASE WHEN observed = y1 THEN 1 ELSE 0 END AS label,
+b AS (SELECT dataset, model, row_id, CASE WHEN y0 = y1 THEN NULL WHEN observed = y1 THEN 1 ELSE 0 END AS label,
         CASE WHEN p0 >= 0 AND p1 <= 1 THEN predicted
              ELSE 1 / (1 + exp(-greatest(least(predicted, 30.0), -30.0))) END AS score FROM s)"""
 
@@ -93,7 +93,7 @@ def h6(spark, d):
 k AS (SELECT dataset, model, label, {AVG_RANK.format(p='dataset, model', v='score')} AS rk FROM b)
 SELECT dataset, model, count(*) FILTER (label = 1) AS n_pos, count(*) FILTER (label = 0) AS n_neg,
  round((sum(CASE WHEN label = 1 THEN rk END) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0)
-  / CAST(count(*) FILTER (label = 1) * count(*) FILTER (label = 0) AS DOUBLE), 6) AS roc_auc
+  / nullif(CAST(count(*) FILTER (label = 1) * count(*) FILTER (label = 0) AS DOUBLE), 0), 6) AS roc_auc
 FROM k GROUP BY dataset, model""", ("v_binary",))
 def h7(spark, d):
     g = M.ranking_metrics(V.v_binary(spark, d), ["dataset", "model"])
@@ -104,7 +104,7 @@ def h7(spark, d):
 g AS (SELECT dataset, model, score, sum(label) AS pos, sum(1 - label) AS neg FROM b GROUP BY ALL),
 c AS (SELECT *, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER (PARTITION BY dataset, model) AS p FROM g
       WINDOW w AS (PARTITION BY dataset, model ORDER BY score DESC))
-SELECT dataset, model, round(sum(pos * (tp / (tp + fp)) / p), 6) AS auprc FROM c GROUP BY dataset, model""",
+SELECT dataset, model, round(sum(pos * (tp / nullif(tp + fp, 0)) / nullif(p, 0)), 6) AS auprc FROM c GROUP BY dataset, model""",
        ("v_binary",))
 def h8(spark, d):
     g = M.ranking_metrics(V.v_binary(spark, d), ["dataset", "model"])
@@ -119,16 +119,16 @@ c AS (SELECT dataset, model, CAST(count(*) FILTER (label = 1 AND score >= 0.5) A
 
 
 @query("h9_accuracy", f"""{CONFUSION}
-SELECT dataset, model, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy,
-  round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy FROM c""", ("v_binary",))
+SELECT dataset, model, round((tp + tn) / nullif(tp + tn + fp + fn, 0), 6) AS accuracy,
+  round((tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2, 6) AS balanced_accuracy FROM c""", ("v_binary",))
 def h9(spark, d):
     g = M.confusion_metrics(V.v_binary(spark, d), ["dataset", "model"])
     return g.select("dataset", "model", r("accuracy").alias("accuracy"), r("balanced_accuracy").alias("balanced_accuracy"))
 
 
 @query("h10_matthews", f"""{CONFUSION}
-SELECT dataset, model, coalesce(round((tp * tn - fp * fn)
-  / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 6), 0) AS mcc FROM c""", ("v_binary",))
+SELECT dataset, model, CASE WHEN tp + tn + fp + fn > 0 THEN coalesce(round((tp * tn - fp * fn)
+  / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 6), 0) END AS mcc FROM c""", ("v_binary",))
 def h10(spark, d):
     g = M.confusion_metrics(V.v_binary(spark, d), ["dataset", "model"])
     return g.select("dataset", "model", r("mcc").alias("mcc"))

@@ -197,10 +197,15 @@ def k9(spark, d):
 
 
 @query("k10_member_filter", """
-WITH s AS (SELECT dataset, model, 1 - sum((observed - predicted) ** 2) / (var_pop(observed) * count(*)) AS r2 FROM u WHERE split = 'test' GROUP BY ALL)
-SELECT dataset, model, CASE WHEN model IN ('m_lin', 'm_near') THEN true ELSE false END AS kept, CASE WHEN r2 <= 0 THEN 'non_positive_r2' WHEN model = 'm_lin2' THEN 'highly_correlated' END AS reason FROM s"""
-       .replace("WITH s AS", "WITH u AS (SELECT dataset, model, split, observed, predicted FROM v_pred UNION ALL SELECT dataset, 'm_lin2', split, observed, predicted * 1.5 FROM v_pred WHERE model = 'm_lin' "
-                "UNION ALL SELECT dataset, 'm_near', split, observed, predicted + 3 * (CAST('0x' || substr(sha1(CAST(row_id AS VARCHAR)), 1, 4) AS BIGINT) % 41 - 20)::DOUBLE FROM v_pred WHERE model = 'm_lin'), s AS"), VP)
+WITH u AS (SELECT dataset, model, split, observed, predicted FROM v_pred
+ UNION ALL SELECT dataset, 'm_lin2', split, observed, predicted * 1.5 FROM v_pred WHERE model = 'm_lin'
+ UNION ALL SELECT dataset, 'm_near', split, observed, predicted + 3 * (CAST('0x' || substr(sha1(CAST(row_id AS VARCHAR)), 1, 4) AS BIGINT) % 41 - 20)::DOUBLE FROM v_pred WHERE model = 'm_lin'),
+s AS (SELECT dataset, model, 1 - sum((observed - predicted) ** 2) / (var_pop(observed) * count(*)) AS r2, sqrt(avg((observed - predicted) ** 2)) AS e FROM u WHERE split = 'test' GROUP BY ALL),
+g AS (SELECT *, count(*) FILTER (r2 > 0) OVER w >= 2 AS use_r2, max(e) FILTER (model IN ('m_lin', 'm_lin2')) OVER w AS worse FROM s WINDOW w AS (PARTITION BY dataset)),
+a AS (SELECT *, r2 > 0 OR NOT use_r2 AS active FROM g),
+c AS (SELECT *, count(*) FILTER (active) OVER w > 2 AND count(*) FILTER (active AND model IN ('m_lin', 'm_lin2')) OVER w = 2 AND model IN ('m_lin', 'm_lin2') AND e = worse AS alike
+ FROM a WINDOW w AS (PARTITION BY dataset))
+SELECT dataset, model, active AND NOT alike AS kept, CASE WHEN NOT active THEN 'non_positive_r2' WHEN alike THEN 'highly_correlated' END AS reason FROM c""", VP)
 def k10(spark, d):
     p = V.v_pred(spark, d)
     lin = p.where("model = 'm_lin'")
@@ -283,7 +288,7 @@ def k13c(spark, d):
 
 
 @query("k14_subset_budget", """
-SELECT event_type AS dataset, count(DISTINCT user_id) // 15 AS n_models, CAST(1023 - 10 AS BIGINT) AS subsets FROM events GROUP BY event_type""")
+SELECT event_type AS dataset, count(DISTINCT user_id) // 15 AS n_models, CAST(2 ** (count(DISTINCT user_id) // 15) AS BIGINT) - 1 - count(DISTINCT user_id) // 15 AS subsets FROM events GROUP BY event_type""")
 def k14(spark, d):
     g = V.table(spark, d, "events").groupBy(F.col("event_type").alias("dataset")).agg(F.count_distinct("user_id").alias("u"))
     n = F.floor(F.col("u") / 15)

@@ -399,7 +399,7 @@ k AS (SELECT *, CASE WHEN primary_metric = 'RMSE' THEN bv - tv ELSE tv - bv END
 
 @query("c10_tuned_vs_baseline", f"""WITH {TUNED}
 SELECT run_name, dataset, model, attempt, baseline_model, tv AS tuned_value, bv AS baseline_value, round(delta, 6) AS delta,
- round(delta / abs(bv), 6) AS relative_delta, delta > 0 AS tuned_better FROM k""", VM)
+ round(CASE WHEN abs(bv) > 1e-12 THEN delta / abs(bv) END, 6) AS relative_delta, delta > 0 AS tuned_better FROM k""", VM)
 def c10(spark, d):
     out = R.tuned_vs_baseline(V.v_metrics(spark, d), RD, ["attempt"])
     return rounded(out.select(*RD, "model", "attempt", "baseline_model", "tuned_value", "baseline_value", "delta",
@@ -408,7 +408,7 @@ def c10(spark, d):
 
 @query("d23_tuning_summary", f"""WITH {TUNED}
 SELECT run_name, model, count(DISTINCT dataset) AS datasets_compared, count(*) FILTER (delta > 0) AS wins, round(avg(delta), 6) AS mean_delta,
- round(quantile_cont(delta, 0.5), 6) AS median_delta, round(avg(delta / abs(bv)), 6) AS mean_relative_delta,
+ round(quantile_cont(delta, 0.5), 6) AS median_delta, round(avg(CASE WHEN abs(bv) > 1e-12 THEN delta / abs(bv) END), 6) AS mean_relative_delta,
  round(count(*) FILTER (delta > 0) / nullif(count(DISTINCT dataset), 0), 6) AS win_rate FROM k GROUP BY run_name, model""", VM)
 def d23(spark, d):
     t = R.tuned_vs_baseline(V.v_metrics(spark, d), RD, ["attempt"])

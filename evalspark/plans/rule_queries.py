@@ -283,7 +283,7 @@ def b16(spark, d):
 
 
 @query("b17_task_inference", """
-SELECT d.lang AS dataset, count(*) AS n_rows, true AS strict_binary, 'classification' AS task_type
+SELECT d.lang AS dataset, count(*) AS n_rows, count(DISTINCT l.quality) = 2 AS strict_binary, CASE WHEN count(DISTINCT l.quality) = 2 THEN 'classification' ELSE 'regression' END AS task_type
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.lang
 UNION ALL SELECT event_type, count(*), false, 'regression' FROM events GROUP BY event_type""")
 def b17(spark, d):
