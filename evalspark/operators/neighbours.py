@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalspark.operators.ordering import top_rows
+from evalspark.session import durable
 
 QUERY_CHUNK = 2_048
 CANDIDATE_BLOCK = 20_000
@@ -38,10 +39,13 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def choose_pivots(train: DataFrame, features: str, n: int) -> np.ndarray:
-    """A fixed number of distinct vectors, picked by hash (n vectors reach the driver)."""
-    rows = train.select(features).distinct().orderBy(F.xxhash64(features), features).limit(n).collect()
-    return np.asarray([r[0] for r in rows], dtype=np.float64)
+def choose_pivots(train: DataFrame, row_id: str, features: str, n: int) -> np.ndarray:
+    """A fixed number of vectors, picked by hash of (id, vector).
+
+    Each task offers its n smallest, so nothing is shuffled and n vectors reach the driver; copies among them merge.
+    """
+    rows = train.select(features, row_id).orderBy(F.xxhash64(row_id, features), row_id).limit(n).collect()
+    return np.unique(np.asarray([r[0] for r in rows], dtype=np.float64), axis=0)
 
 
 def assign_cells(df: DataFrame, features: str, pivots: np.ndarray) -> DataFrame:
@@ -81,8 +85,9 @@ def nearest_neighbours(queries: DataFrame, train: DataFrame, query_id: str, trai
     spark = queries.sparkSession
     q0 = queries.select(F.col(query_id).alias("qid"), F.col(features).cast("array<double>").alias("v"))
     t0 = train.select(F.col(train_id).alias("tid"), F.col(features).cast("array<double>").alias("v"))
-    pivots = choose_pivots(t0, "v", n_pivots)
-    q, t = assign_cells(q0, "v", pivots), assign_cells(t0, "v", pivots)
+    pivots = choose_pivots(t0, "tid", "v", n_pivots)
+    # Stored once: both sides are read by the bounds, the counts and the final join.
+    q, t = durable(assign_cells(q0, "v", pivots)), durable(assign_cells(t0, "v", pivots))
     near = top_rows(t.select("cell", "tid", "pivot_distance"), ["cell"], [F.col("pivot_distance"), F.col("tid")], k)
     nearest: dict[int, list[float]] = {}
     for row in near.select("cell", "pivot_distance").collect():
