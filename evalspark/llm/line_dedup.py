@@ -157,7 +157,7 @@ def dropped_lines(docs: DataFrame, min_chars: int, min_docs: int, keep_first: bo
     return decided.filter(F.col("kind") == DROP).select(*columns).unionByName(border.select(*columns))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def pack_bits(positions: pd.Series) -> pd.Series:
     """Compressed bitmap with the given bits set."""
     def one(p):

@@ -181,8 +181,8 @@ def _block_pairs(least: int):
     def fn(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
         if left.num_rows and right.num_rows:
-            a, b = (_token_matrix(t.column("tokens").combine_chunks()) for t in (left, right))
-            ka, kb = ([t.column(c).to_numpy() for c in ("k1", "k2")] for t in (left, right))
+            a, b = (_token_matrix(t.column(c).combine_chunks()) for t, c in ((left, "tokens"), (right, "r_tokens")))
+            ka, kb = ([t.column(c).to_numpy() for c in names] for t, names in ((left, ("k1", "k2")), (right, ("r_k1", "r_k2"))))
             for i in range(len(a)):
                 agree = (b == a[i]).sum(axis=1)
                 keep = np.flatnonzero((agree >= least) & ((kb[0] != ka[0][i]) | (kb[1] != ka[1][i])))
@@ -314,7 +314,8 @@ class ChosenPathJoin:
             right = (self.centred.join(lone.select("node").distinct(), "node", "left_semi").join(sizes, "node").join(tokens, ["k1", "k2"])
                      .withColumn("block", F.pmod(F.xxhash64("k1", "k2"), F.col("blocks")).cast("int")))
             keep = ["node", "block", "k1", "k2", "tokens"]
-            more = left.select(*keep).groupBy("node", "block").cogroup(right.select(*keep).groupBy("node", "block")).applyInArrow(_block_pairs(self.least), _PAIR)
+            right = right.select(*[F.col(c).alias(c if c in ("node", "block") else f"r_{c}") for c in keep])
+            more = left.select(*keep).groupBy("node", "block").cogroup(right.groupBy("node", "block")).applyInArrow(_block_pairs(self.least), _PAIR)
             pairs = stored(pairs.unionByName(more).dropDuplicates(["a1", "a2", "b1", "b2"]), "near-pairs")
         rest = self._open(pairs, links)
         return stored(links.unionByName(self.confirm(rest)), "near-links")

@@ -67,8 +67,8 @@ FROM k LEFT JOIN often o ON k.key = o.key GROUP BY doc_id
 """
 
 OP6_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS q FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
       FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
@@ -102,7 +102,7 @@ WITH c AS (SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY
 g AS (SELECT turns, len(turns) AS n_turns, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY turns),
 p AS (SELECT DISTINCT a.conv_id FROM g a JOIN g b ON a.turns[1] = b.turns[1] AND a.n_turns < b.n_turns AND b.turns[1:a.n_turns] = a.turns)
 SELECT conv_id, n_turns, n_copies,
-       list_aggregate(list_transform(turns, t -> concat('<|', coalesce(t.role, ''), '|>', chr(10), coalesce(t.text, ''), chr(10), '<|end|>', chr(10))), 'string_agg', '') AS rendered
+       list_aggregate(list_transform(turns, lambda t: concat('<|', coalesce(t.role, ''), '|>', chr(10), coalesce(t.text, ''), chr(10), '<|end|>', chr(10))), 'string_agg', '') AS rendered
 FROM g WHERE conv_id NOT IN (SELECT conv_id FROM p)
 """
 
