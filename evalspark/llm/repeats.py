@@ -7,7 +7,8 @@
    partitions. Equal contexts side by side are repeats already. Contexts that share only their anchor go on.
 4. Those are dealt to shards by anchor. A shard builds the Burrows-Wheeler transform of its contexts and expands
    intervals breadth-first up to the minimum length (``bwt``): suffixes whose common prefix is still open are repeats.
-   Anchors with more contexts than a shard should hold are counted window by window with 128-bit hashes instead.
+   An anchor with more contexts than a shard should hold is dealt anew by cores, strings just short of the minimum
+   length: a shared window holds a shared core at one of nine places. Cores still crowded then are counted window by window.
 5. Marked windows meet their texts once more; runs of removed bytes, the kept text and its checksum are made there.
 
 Defined cases: a null text is empty; texts below the minimum length have no window; windows never cross texts; a text that
@@ -32,6 +33,7 @@ from evalspark.session import work_path
 ANCHOR = 32
 SHARD_BYTES = 1 << 20
 CROWDED = 2000
+CORE_STEP = 21  # windows of a core start at most this far before it
 _MIXER = np.uint64(0xD6E8FEB86659FD93)
 _ANCHOR_FIELDS = ["a", "o1", "o2", "c", "t1", "t2", "p"]
 _ANCHOR_SCHEMA = "a long, o1 int, o2 int, c long, t1 long, t2 long, p int"
@@ -208,11 +210,57 @@ def _window_rows(length: int):
     return fn
 
 
-def _crowded_marks(contexts: DataFrame, length: int) -> DataFrame:
-    """Windows of crowded anchors that occur twice, counted by hash with map-side sums."""
-    windows = stored(contexts.select(*_CONTEXT, "piece").mapInArrow(_window_rows(length), "a long, o1 int, o2 int, c long, at int, w1 long, w2 long"), "repeat-windows")
+def _core_rows(length: int):
+    """Every context cut around each core in it: windows that start 0 to ``CORE_STEP`` bytes before the core."""
+    def fn(batches: Iterator[pa.RecordBatch]):
+        for batch in slices(batches, "piece", 1 << 18):
+            data, off = utf8(batch.column("piece"))
+            sums, back = prefix_hash(data), inverse_powers(len(data) + 1)
+            before, last = (batch.column(k).to_numpy().astype(np.int64) for k in ("o1", "o2"))
+            last = before - last
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            for i in range((length - ANCHOR) // CORE_STEP + 2):
+                core = before - i * CORE_STEP  # a window from s needs this core when s is in [core - CORE_STEP, core]
+                lo, hi = np.maximum(0, core - CORE_STEP), np.minimum(last, core)
+                at = np.flatnonzero(lo <= hi)
+                x, y, z = off[at] + lo[at], off[at] + hi[at] + length, off[at] + core[at]
+                h = (sums[z + length - CORE_STEP] - sums[z]) * back[z]
+                whole = (sums[y] - sums[x]) * back[x]
+                for column, value in zip(out, (at, lo[at], mix64(h ^ np.uint64(i)).view(np.int64), mix64(whole ^ (y - x).astype(np.uint64)).view(np.int64), np.stack([x, y], 1))):
+                    column.append(value)
+            row, lo, core, d, cut = (np.concatenate(c) for c in out)
+            raw = data.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(batch.column(k).to_numpy()[row]) for k in _CONTEXT] + [
+                pa.array(lo, pa.int32()), pa.array(core), pa.array(d), pa.array([raw[x:y] for x, y in cut.tolist()], pa.binary())], [*_CONTEXT, "at", "core", "d", "part"])
+    return fn
+
+
+_MARK_SCHEMA = "a long, o1 int, o2 int, c long, lo int, hi int"
+
+
+def _by_shards(pieces: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+    """Marked windows of contexts, shard by shard; equal ``a`` stay together."""
+    total = pieces.agg(F.sum(F.length("piece") + 1).alias("b")).first()["b"] or 0
+    shards = max(1, -(-total // shard_bytes))
+    return pieces.withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards))).groupBy("shard").applyInArrow(_shard(length), _MARK_SCHEMA)
+
+
+def _crowded_marks(contexts: DataFrame, length: int, shard_bytes: int, crowded: int) -> DataFrame:
+    """The same for crowded anchors, by cores; equal cuts collapse first, with map-side sums."""
+    cuts = stored(contexts.select(*_CONTEXT, "piece").mapInArrow(
+        _core_rows(length), "a long, o1 int, o2 int, c long, at int, core long, d long, part binary"), "repeat-cuts")
+    distinct = cuts.groupBy(F.col("core").alias("a"), F.col("d").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.first("part").alias("piece"))
+    distinct = stored(distinct.select("a", F.lit(0).alias("o1"), F.lit(0).alias("o2"), "c", "n", "piece"), "repeat-cores")
+    sizes = distinct.groupBy("a").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1")
+    shared = stored(distinct.join(sizes, "a"), "repeat-shared-cores")
+    windows = stored(shared.filter(F.col("contexts") > crowded).select(*_CONTEXT, "piece").mapInArrow(
+        _window_rows(length), "a long, o1 int, o2 int, c long, at int, w1 long, w2 long"), "repeat-windows")
     twice = windows.groupBy("a", "w1", "w2").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
-    return windows.join(twice, ["a", "w1", "w2"], "left_semi").select(*_CONTEXT, F.col("at").alias("lo"), F.col("at").alias("hi"))
+    marks = (distinct.filter("n > 1").select("a", "c", F.lit(0).alias("lo"), (F.length("piece") - length).alias("hi"))
+             .unionByName(_by_shards(shared.filter(F.col("contexts") <= crowded), length, shard_bytes).select("a", "c", "lo", "hi"))
+             .unionByName(windows.join(twice, ["a", "w1", "w2"], "left_semi").select("a", "c", F.col("at").alias("lo"), F.col("at").alias("hi"))))
+    marks = marks.select(F.col("a").alias("core"), F.col("c").alias("d"), "lo", "hi")
+    return cuts.drop("part").join(marks, ["core", "d"]).select(*_CONTEXT, (F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi"))
 
 
 def _cut(length: int, with_text: bool):
@@ -271,11 +319,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, with_text: bool = True, s
     wanted = heads.join(many, "a").groupBy("place.t1", "place.t2").agg(F.collect_list(F.struct(*_CONTEXT, F.col("place.p").alias("p"))).alias("wanted"))
     pieces = stored(texts.join(wanted, ["t1", "t2"]).select("text", "wanted").mapInArrow(
         _contexts(length), "a long, o1 int, o2 int, c long, piece binary").join(many, "a"), "repeat-pieces")
-    total = pieces.filter(F.col("contexts") <= crowded).agg(F.sum(F.length("piece") + 1).alias("b")).first()["b"] or 0
-    shards = max(1, -(-total // shard_bytes))
-    marked = (pieces.filter(F.col("contexts") <= crowded).withColumn("shard", F.pmod(F.xxhash64("a"), F.lit(shards)))
-              .groupBy("shard").applyInArrow(_shard(length), "a long, o1 int, o2 int, c long, lo int, hi int"))
-    marked = marked.unionByName(_crowded_marks(pieces.filter(F.col("contexts") > crowded), length))
+    marked = _by_shards(pieces.filter(F.col("contexts") <= crowded), length, shard_bytes).unionByName(
+        _crowded_marks(pieces.filter(F.col("contexts") > crowded), length, shard_bytes, crowded))
     # Spans: whole contexts that occur twice, marked parts of the others.
     start = F.col("p") - F.col("o1")
     whole = (start.alias("lo"), (F.col("p") - F.col("o2") + length).alias("hi"))
