@@ -9,7 +9,8 @@
    are repeated until the chance to miss a pair at the threshold is below 1 - ``recall``.
 3. Nodes still crowded at the last level hold classes that agree on every chosen token. Each is compared with the node's
    centre (the class nearest to the commonest token of each position); classes that this links are in one component, the
-   others are compared with all classes of the node. So no node emits all its pairs and nothing is left out.
+   others meet all classes of the node in blocks and name their most agreeing partners in each other component, one at
+   first and eight times as many each round, until none is left to try. So no node emits all its pairs and nothing is left out.
 4. Candidate pairs (filtered by the 64 tokens, five standard deviations wide) are confirmed on the full sets: first the best
    partner of each class, then all pairs whose ends are still in different components.
 
@@ -177,20 +178,28 @@ def _agreeing(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def _block_pairs(least: int):
+def _block_pairs(least: int, k: int):
+    """For each class on the left, its ``k`` most agreeing partners in every other component; ``more`` if there are others."""
     def fn(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows = []
+        rows, more = [], []
         if left.num_rows and right.num_rows:
             a, b = (_token_matrix(t.column(c).combine_chunks()) for t, c in ((left, "tokens"), (right, "r_tokens")))
             ka, kb = ([t.column(c).to_numpy() for c in names] for t, names in ((left, ("k1", "k2")), (right, ("r_k1", "r_k2"))))
+            ga, gb = left.column("g").to_numpy(), right.column("r_g").to_numpy()
             for i in range(len(a)):
                 agree = (b == a[i]).sum(axis=1)
-                keep = np.flatnonzero((agree >= least) & ((kb[0] != ka[0][i]) | (kb[1] != ka[1][i])))
+                keep = np.flatnonzero((agree >= least) & (gb != ga[i]))
+                keep = keep[np.lexsort((kb[1][keep], kb[0][keep], -agree[keep], gb[keep]))]
+                rank = np.arange(len(keep)) - np.searchsorted(gb[keep], gb[keep])
+                cut = bool((rank >= k).any())
+                keep = keep[rank < k]
                 first = (kb[0][keep] > ka[0][i]) | ((kb[0][keep] == ka[0][i]) & (kb[1][keep] > ka[1][i]))
-                own = [np.full(len(keep), k[i]) for k in ka]
+                own = [np.full(len(keep), x[i]) for x in ka]
                 rows.append((np.where(first, own[0], kb[0][keep]), np.where(first, own[1], kb[1][keep]),
                              np.where(first, kb[0][keep], own[0]), np.where(first, kb[1][keep], own[1]), agree[keep]))
-        return pa.Table.from_batches([_pair_batch(rows)])
+                more.append(np.full(len(keep), cut))
+        out = pa.Table.from_batches([_pair_batch(rows)])
+        return out.append_column("more", pa.array(np.concatenate(more) if more else np.zeros(0, bool), pa.bool_()))
     return fn
 
 
@@ -304,21 +313,38 @@ class ChosenPathJoin:
         back = pairs.groupBy("b1", "b2").agg(F.max(other).alias("m")).select("m.a1", "m.a2", "b1", "b2")
         best = forth.unionByName(back).unionByName(self._best(self.centred).drop("agree")).distinct()
         links = stored(self.confirm(best), "near-links")
-        # Classes of crowded nodes that no confirmed pair holds meet every class of their node, block by block.
-        linked = links.select("a.*").unionByName(links.select("b.*")).distinct()
-        lone = stored(self.centred.join(linked, ["k1", "k2"], "left_anti").select("node", "k1", "k2").distinct(), "near-lone")
-        if lone.limit(1).count():
-            tokens = self.classes.select("k1", "k2", "tokens")
-            sizes = self.centred.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+        rest = self._open(pairs, links)
+        links = stored(links.unionByName(self.confirm(rest)), "near-links")
+        return self._crowded_links(links, pairs.select("a1", "a2", "b1", "b2"))
+
+    def _crowded_links(self, links: DataFrame, tried: DataFrame) -> DataFrame:
+        """Adds the links of classes of crowded nodes that are not in the component of their node's centre."""
+        tokens, ends, k = self.classes.select("k1", "k2", "tokens"), ["a1", "a2", "b1", "b2"], 1
+        names = ["node", "block", "k1", "k2", "tokens", "g"]
+        while True:
+            labels = components(links)
+            group = labels.select("node.k1", "node.k2", F.xxhash64("label.k1", "label.k2").alias("g"))
+            centre = group.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("g").alias("gc"))
+            rows = (self.centred.select("node", "k1", "k2", "c1", "c2").join(group, ["k1", "k2"], "left").join(centre, ["c1", "c2"], "left")
+                    .select("node", "k1", "k2", F.coalesce("g", F.xxhash64("k1", "k2")).alias("g"), F.coalesce("gc", F.xxhash64("c1", "c2")).alias("gc")))
+            rows = stored(rows, "near-members")
+            lone = rows.filter("g <> gc")
+            if not lone.limit(1).count():
+                return links
+            sizes = rows.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
             left = lone.join(sizes, "node").join(tokens, ["k1", "k2"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            right = (self.centred.join(lone.select("node").distinct(), "node", "left_semi").join(sizes, "node").join(tokens, ["k1", "k2"])
+            right = (rows.join(lone.select("node").distinct(), "node", "left_semi").join(sizes, "node").join(tokens, ["k1", "k2"])
                      .withColumn("block", F.pmod(F.xxhash64("k1", "k2"), F.col("blocks")).cast("int")))
-            keep = ["node", "block", "k1", "k2", "tokens"]
-            right = right.select(*[F.col(c).alias(c if c in ("node", "block") else f"r_{c}") for c in keep])
-            more = left.select(*keep).groupBy("node", "block").cogroup(right.groupBy("node", "block")).applyInArrow(_block_pairs(self.least), _PAIR)
-            pairs = stored(pairs.unionByName(more).dropDuplicates(["a1", "a2", "b1", "b2"]), "near-pairs")
-        rest = self._open(pairs, links)
-        return stored(links.unionByName(self.confirm(rest)), "near-links")
+            right = right.select(*[F.col(c).alias(c if c in ("node", "block") else f"r_{c}") for c in names])
+            found = stored(left.select(*names).groupBy("node", "block").cogroup(right.groupBy("node", "block"))
+                           .applyInArrow(_block_pairs(self.least, k), _PAIR + ", more boolean"), "near-blocks")
+            new = stored(found.select(*ends).distinct().join(tried, ends, "left_anti"), "near-new")
+            if new.limit(1).count():
+                links = stored(links.unionByName(self.confirm(new)), "near-links")
+                tried = tried.unionByName(new)
+            elif not found.filter("more").limit(1).count():
+                return links
+            k *= 8
 
     def membership(self) -> DataFrame:
         """(doc_id, n_shingles, k1, k2, component_id): one row per input row."""
