@@ -191,19 +191,17 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Columns ``row`` (the input row), ``lang_pred`` and ``score``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def guess(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang_pred string, score double")
+    def guess(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
-        for series in texts:
+        for column in texts:
             names, scores = [], []
-            column = pa.array(series, pa.large_string(), from_pandas=True)
             for part in slices(iter([pa.RecordBatch.from_arrays([column], ["text"])]), "text"):
+                letters = [has_letter(t) and bool(own.families) for t in part.column("text").to_pylist()]
                 got, sure = own.predict(*utf8(part.column("text"))) if own.families else ([None] * part.num_rows, np.zeros(part.num_rows))
-                names += got
-                scores.append(sure)
-            letters = np.array([has_letter(t) for t in series], bool) & bool(own.families)
-            score = np.clip(np.concatenate(scores), 0, 1) if scores else np.zeros(0)
-            yield pd.DataFrame({"lang_pred": np.where(letters, np.array(names, object), "und"), "score": np.where(letters, score, 0.0)})
+                names += [g if ok else "und" for g, ok in zip(got, letters)]
+                scores += [min(1.0, max(0.0, float(x))) if ok else 0.0 for x, ok in zip(sure, letters)]
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
     got = guess("row.text")
     return docs.select(F.struct(*docs.columns).alias("row")).select("row", got.alias("out")).select(

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from evalspark.llm.common import LOWER, SPACE, UPPER, hash_pair, stored
+from evalspark.llm.common import LOWER, SPACE, UPPER, hash_pair, slices, stored
 
 DROP, PENDING, MARK = 0, 1, 2
 _DECIDED = "kind int, h1 long, h2 long, id long, t1 long, t2 long, pos int"
@@ -175,31 +175,36 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 1, min_docs: int = 10, keep_f
 
 
 _KEPT = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()),
-                      T.StructField("kept_sha256", T.StringType()), T.StructField("kept", T.StringType())])
+                      T.StructField("kept_sha256", T.StringType()), T.StructField("changed", T.StringType())])
 
 
 def _keep(with_text: bool):
-    @F.pandas_udf(_KEPT)
-    def keep(text: pd.Series, bitmap: pd.Series) -> pd.DataFrame:
-        out = []
-        for t, b in zip(text, bitmap):
-            t = t or ""
-            if b is None:
-                n, k, kept = t.count("\n") + 1, 0, t
-            else:
-                lines = t.split("\n")
-                bits = np.unpackbits(np.frombuffer(zlib.decompress(b), np.uint8), bitorder="little")[:len(lines)]
-                gone = np.zeros(len(lines), bool)
-                gone[:len(bits)] = bits
-                n, k = len(lines), int(gone.sum())
-                kept = "\n".join(x for x, g in zip(lines, gone) if not g)
-            out.append((n, k, hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest(), kept if with_text else None))
-        return pd.DataFrame(out, columns=["n_lines", "n_dropped", "kept_sha256", "kept"])
+    @F.arrow_udf(_KEPT)
+    def keep(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for text, bitmap in columns:
+            out: list[list] = [[], [], [], []]
+            for part in slices(iter([pa.RecordBatch.from_arrays([text, bitmap], ["text", "bitmap"])]), "text"):
+                for t, b in zip(part.column("text").to_pylist(), part.column("bitmap").to_pylist()):
+                    t = t or ""
+                    if b is None:
+                        n, k, kept = t.count("\n") + 1, 0, t
+                    else:
+                        lines = t.split("\n")
+                        bits = np.unpackbits(np.frombuffer(zlib.decompress(b), np.uint8), bitorder="little")[:len(lines)]
+                        gone = np.zeros(len(lines), bool)
+                        gone[:len(bits)] = bits
+                        n, k = len(lines), int(gone.sum())
+                        kept = "\n".join(x for x, g in zip(lines, gone) if not g)
+                    shown = kept if with_text and k else None
+                    for column, value in zip(out, (n, k, hashlib.sha256(kept.encode()).hexdigest(), shown)):
+                        column.append(value)
+            yield pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.string(), pa.string()))],
+                                             ["n_lines", "n_dropped", "kept_sha256", "changed"])
     return keep
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 1, min_docs: int = 10, keep_first: bool = False, with_text: bool = True) -> DataFrame:
-    """Columns ``row`` (the input row as a struct) and ``out`` (n_lines, n_dropped, kept_sha256, kept text).
+    """Columns ``row`` (the input row as a struct) and ``out`` (n_lines, n_dropped, kept_sha256, and ``changed``: the kept text of a document that lost lines).
 
     A line goes from every document (or, with ``keep_first``, from all but its first document) when its key occurs in
     ``min_docs`` documents or more.

@@ -27,7 +27,7 @@ from evalspark.llm.common import slices, stored
 
 CAPACITY = 2048
 GROUP_ROWS = 20_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _TOKENIZERS: dict[str, "WordCache"] = {}
 
