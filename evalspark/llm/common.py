@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,16 +15,26 @@ from evalspark.session import work_path
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+BATCH_ROWS = 2000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Rows of texts are long: at most ``BATCH_ROWS`` of them go to a Python worker at a time (a setting of the session)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: lineage ends here, and a lost executor costs one stage at most."""
     spark = df.sparkSession
+    modest_batches(spark)
     path = work_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -47,6 +59,13 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
+def give_back() -> None:
+    """Return freed memory of this worker to the system; allocators keep it otherwise, and workers live long."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a column's bytes stay below ``limit`` (a longer single text comes alone): bounds memory."""
     for batch in batches:
@@ -56,6 +75,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             j = max(i + 1, int(np.searchsorted(off, off[i] + limit, side="right")) - 1)
             yield batch.slice(i, j - i)
             i = j
+        give_back()
 
 
 def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
