@@ -24,6 +24,14 @@ def average(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
                                    F.avg("predicted").alias("predicted"))
 
 
+def aligned_rows(pred: DataFrame, keys: Sequence[str], row: Sequence[str]) -> DataFrame:
+    """Predictions of the rows that every member of the dataset predicts; one row per member and row."""
+    members = pred.select(*keys, "model").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_members"))
+    full = pred.groupBy(*keys, *row).agg(F.count(F.lit(1)).alias("_n"))
+    full = key_join(full, members, keys).where("_n = _members").select(*keys, *row)
+    return pred.join(full, [*keys, *row], "left_semi")
+
+
 def inverse_error_weights(pred: DataFrame, keys: Sequence[str], floor: float = 1e-8) -> DataFrame:
     """Weights proportional to 1 / train RMSE per dataset and model."""
     e = pred.where("split = 'train'").groupBy(*keys, "model").agg(

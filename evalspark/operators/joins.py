@@ -163,7 +163,7 @@ def rank_against(df: DataFrame, refs: DataFrame, keys: Sequence[str], score: str
 
 def missing_models(datasets: DataFrame, expected: DataFrame, done: DataFrame) -> DataFrame:
     """Expected (dataset, model) pairs not done yet; ``expected`` is the fixed list of requested models."""
-    return datasets.join(F.broadcast(expected)).join(done, ["dataset", "model"], "left_anti")
+    return datasets.crossJoin(expected).join(done, ["dataset", "model"], "left_anti")
 
 
 def validated_join(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str, other: str,

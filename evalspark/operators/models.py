@@ -106,7 +106,7 @@ def evaluate_model(name: str, estimator: Estimator, df: DataFrame, fold: str, ro
     except Exception as exc:  # the stage reports the failure and the run goes on
         schema = df.select(*keep).schema.simpleString()[7:-1]
         return spark.createDataFrame([], schema.replace(":", " ") + ", observed double, predicted double, part string").unionByName(
-            spark.createDataFrame([(name, str(exc)[:500])], "model string, error string"), allowMissingColumns=True).withColumn(
+            spark.createDataFrame([(name, str(exc))], "model string, error string"), allowMissingColumns=True).withColumn(
             "fit_seconds", F.lit(None).cast("double"))
 
 

@@ -15,10 +15,9 @@ ROWS_PER_BLOCK = 100_000
 
 def ordered_signature(df: DataFrame, keys: Sequence[str], seq: str, texts: dict[str, str],
                       rows_per_block: int = ROWS_PER_BLOCK) -> DataFrame:
-    """sha256 over the newline-joined texts in ``seq`` order.
+    """sha256 over the newline-joined digests of blocks of ``rows_per_block`` texts in ``seq`` order.
 
-    A dataset of more than ``rows_per_block`` rows is digested block by block and the signature is the digest of the
-    block digests, so no task ever holds more than one block.
+    One rule for any number of rows, and no task holds more than one block. Pass short texts (row digests).
     """
     pos = row_numbers(df.select(*keys, seq, *texts.values()), keys, [seq], "_i")
     block = F.floor(F.col("_i") / rows_per_block).alias("_blk")
@@ -27,8 +26,7 @@ def ordered_signature(df: DataFrame, keys: Sequence[str], seq: str, texts: dict[
     blocks = pos.groupBy(*keys, block).agg(F.count(F.lit(1)).alias("_n"), lists).select(
         *keys, "_blk", "_n", *[digest(c).alias(n) for n, c in texts.items()])
     g = blocks.groupBy(*keys).agg(F.sum("_n").alias("n_rows"), F.array_sort(F.collect_list(F.struct("_blk", *texts))).alias("_d"))
-    whole = lambda n: F.when(F.size("_d") == 1, F.col("_d")[0][n]).otherwise(
-        F.sha2(F.array_join(F.transform("_d", lambda s: s[n]), "\n"), 256))
+    whole = lambda n: F.sha2(F.array_join(F.transform("_d", lambda s: s[n]), "\n"), 256)
     return g.select(*keys, "n_rows", *[whole(n).alias(n) for n in texts])
 
 

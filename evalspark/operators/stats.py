@@ -108,13 +108,13 @@ def friedman(scores: DataFrame, block: str, model: str) -> DataFrame:
     ties = r.agg((F.sum(F.col("_t") * F.col("_t") - 1)).alias("_ties"))
     g = by_model.agg(F.count(F.lit(1)).alias("models"), F.max("_b").alias("blocks"), F.sum(F.col("_sum") * F.col("_sum")).alias("_ss"))
     k, n = F.col("models"), F.col("blocks")
-    corr = 1 - F.col("_ties") / (n * k * (k * k - 1))
-    chi = (12.0 / (n * k * (k + 1)) * F.col("_ss") - 3 * n * (k + 1)) / corr
+    corr = 1 - F.try_divide(F.col("_ties"), n * k * (k * k - 1))
+    chi = F.try_divide(F.try_divide(F.lit(12.0), n * k * (k + 1)) * F.col("_ss") - 3 * n * (k + 1), corr)  # null below two models
     one = g.crossJoin(ties).select("blocks", "models", chi.alias("statistic"))  # one row each
 
     @F.pandas_udf("double")
     def tail(x: pd.Series, m: pd.Series) -> pd.Series:
-        return pd.Series([chi2_sf(float(a), float(b) - 1) for a, b in zip(x, m)], dtype="float64")
+        return pd.Series([None if pd.isna(a) else chi2_sf(float(a), float(b) - 1) for a, b in zip(x, m)], dtype="float64")
     return one.withColumn("p_value", tail("statistic", "models"))
 
 

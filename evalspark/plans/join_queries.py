@@ -511,11 +511,13 @@ def g5(spark, d):
 
 
 @query("g6_content_signatures", """
-SELECT source AS dataset, count(*) AS n_rows, sha256(string_agg(md5(text), e'\\n' ORDER BY doc_id)) AS key_hash,
- sha256(string_agg(concat(md5(text), '|', printf('%.12g', CAST(n_chars AS DOUBLE))), e'\\n' ORDER BY doc_id)) AS row_hash
-FROM documents GROUP BY source""")
+WITH r AS (SELECT source, doc_id, md5(text) AS k, n_chars, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 100000 AS blk FROM documents),
+b AS (SELECT source, blk, count(*) AS n, sha256(string_agg(k, e'\\n' ORDER BY doc_id)) AS kh,
+ sha256(string_agg(concat(k, '|', printf('%.12g', CAST(n_chars AS DOUBLE))), e'\\n' ORDER BY doc_id)) AS rh FROM r GROUP BY ALL)
+SELECT source AS dataset, CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(kh, e'\\n' ORDER BY blk)) AS key_hash,
+ sha256(string_agg(rh, e'\\n' ORDER BY blk)) AS row_hash FROM b GROUP BY source""")
 def g6(spark, d):
-    """Ordered signature; meant for datasets whose key list fits one row (see ``order_free_signature`` beyond)."""
+    """Ordered signature in blocks of 100,000 rows (see ``order_free_signature`` for one without order)."""
     e = V.table(spark, d, "documents").select(F.col("source").alias("dataset"), "doc_id", F.md5("text").alias("key"), "n_chars")
     row = F.concat_ws("|", "key", C.stable_float_text("n_chars"))
     return S.ordered_signature(e.withColumn("row", row), ["dataset"], "doc_id", {"key_hash": "key", "row_hash": "row"})

@@ -216,11 +216,14 @@ def k10(spark, d):
 
 
 @query("k11_inverse_rmse_weights", """
-WITH e AS (SELECT dataset, model, 1 / greatest(sqrt(avg((observed - predicted) ** 2)), 1e-8) AS w FROM v_pred WHERE split = 'train' GROUP BY ALL),
+WITH n AS (SELECT dataset, count(DISTINCT model) AS k FROM v_pred GROUP BY dataset),
+f AS (SELECT p.dataset, row_id FROM v_pred p JOIN n ON n.dataset = p.dataset GROUP BY p.dataset, row_id HAVING count(*) = max(k)),
+a AS (SELECT p.* FROM v_pred p JOIN f ON f.dataset = p.dataset AND f.row_id = p.row_id),
+e AS (SELECT dataset, model, 1 / greatest(sqrt(avg((observed - predicted) ** 2)), 1e-8) AS w FROM a WHERE split = 'train' GROUP BY ALL),
 g AS (SELECT dataset, model, w / sum(w) OVER (PARTITION BY dataset) AS weight FROM e)
-SELECT p.dataset, p.row_id, min(observed) AS observed, round(sum(weight * predicted), 6) AS predicted FROM v_pred p JOIN g ON g.dataset = p.dataset AND g.model = p.model GROUP BY p.dataset, p.row_id""", VP)
+SELECT p.dataset, p.row_id, min(observed) AS observed, round(sum(weight * predicted), 6) AS predicted FROM a p JOIN g ON g.dataset = p.dataset AND g.model = p.model GROUP BY p.dataset, p.row_id""", VP)
 def k11(spark, d):
-    p = V.v_pred(spark, d)
+    p = E.aligned_rows(V.v_pred(spark, d), DS, ["row_id"])
     return rounded(E.weighted_average(p, E.inverse_error_weights(p, DS), DS, ["row_id"]), "predicted")
 
 
@@ -311,7 +314,7 @@ WITH rf AS (SELECT dataset, CASE leaderboard_metric_name WHEN 'RMSE' THEN 'rmse'
 m AS (SELECT run_name, dataset, model, attempt, primary_metric_value AS x, CASE primary_metric WHEN 'RMSE' THEN 'rmse' WHEN 'ROC-AUC' THEN 'roc_auc' ELSE 'spearman' END AS kind FROM v_metrics),
 t AS (SELECT dataset, kind, arg_min(model, (CASE WHEN kind = 'rmse' THEN v ELSE -v END, model)) AS leaderboard_model, min(CASE WHEN kind = 'rmse' THEN v ELSE -v END) AS s FROM rf GROUP BY ALL)
 SELECT m.run_name, m.dataset, m.model, m.attempt, t.leaderboard_model, abs(t.s) AS leaderboard_metric_reference,
- round(m.x - abs(t.s), 6) AS leaderboard_delta_primary FROM m JOIN t ON t.dataset = m.dataset AND t.kind = m.kind""", ("v_metrics", "v_ref"))
+ round(m.x - abs(t.s), 6) AS leaderboard_delta_primary FROM m LEFT JOIN t ON t.dataset = m.dataset AND t.kind = m.kind""", ("v_metrics", "v_ref"))
 def k17(spark, d):
     from evalspark.functions import taxonomy as T
     from evalspark.plans.report_queries import refs
@@ -319,7 +322,7 @@ def k17(spark, d):
                                      T.leaderboard_metric_kind("primary_metric").alias("kind"))
     top = O.best_row(R.reference_scores(refs(spark, d)), ["dataset", "kind"], [F.col("score"), F.col("model")]).select(
         "dataset", "kind", F.col("model").alias("leaderboard_model"), F.col("value").alias("leaderboard_metric_reference"))
-    j = m.join(top, ["dataset", "kind"])
+    j = m.join(top, ["dataset", "kind"], "left")
     return j.select("run_name", "dataset", "model", "attempt", "leaderboard_model", "leaderboard_metric_reference",
                     r(F.col("primary_metric_value") - F.col("leaderboard_metric_reference")).alias("leaderboard_delta_primary"))
 

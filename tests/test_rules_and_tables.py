@@ -51,6 +51,8 @@ def test_column_roles():
     assert K.pick_column(["Dataset", "Test RMSE"], K.REGRESSION_COLUMNS["rmse"]) == "Test RMSE"
     assert K.infer_column(["DRUG", "drug"], ["Drug"]) is None
     assert K.infer_column(["Id", "x", "Y"], ["X"]) == "x"
+    assert K.infer_column(["DRUG", "x"], ["Drug", "X"]) == "DRUG"
+    assert K.infer_column(["drug", "DRUG", " x "], ["Drug", "X"]) == " x "
     assert K.model_metric_column(["mae", "test_rmse"], "mse") == "test_rmse"
 
 
@@ -101,10 +103,12 @@ def test_validated_join_raises(spark):
 def test_signatures(spark):
     import hashlib
     df = spark.createDataFrame([("d", i, f"k{i}") for i in range(10)], "ds string, i int, k string")
-    one = S.ordered_signature(df, ["ds"], "i", {"h": "k"}).first()
-    assert one.h == hashlib.sha256("\n".join(f"k{i}" for i in range(10)).encode()).hexdigest()
-    blocks = S.ordered_signature(df, ["ds"], "i", {"h": "k"}, rows_per_block=4).first()
-    assert blocks.n_rows == 10 and blocks.h != one.h
+    sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    keys = [f"k{i}" for i in range(10)]
+    for size in (3, 4, 100_000):
+        blocks = [sha("\n".join(keys[i:i + size])) for i in range(0, 10, size)]
+        got = S.ordered_signature(df, ["ds"], "i", {"h": "k"}, rows_per_block=size).first()
+        assert got.n_rows == 10 and got.h == sha("\n".join(blocks))
     x = S.order_free_signature(df, ["ds"], [F.col("k")]).first()
     y = S.order_free_signature(df.orderBy(F.desc("i")), ["ds"], [F.col("k")]).first()
     assert x == y
