@@ -10,7 +10,7 @@
 3. Nodes still crowded at the last level hold classes that agree on every chosen token. Each is compared with the node's
    centre (the class nearest to the commonest token of each position); classes that this links are in one component, the
    others meet all classes of the node in blocks and name their most agreeing partners in each other component, one at
-   first and eight times as many each round, until none is left to try. So no node emits all its pairs and nothing is left out.
+   first and 32 times as many each round, until none is left to try. So no node emits all its pairs and nothing is left out.
 4. Candidate pairs (filtered by the 64 tokens, five standard deviations wide) are confirmed on the full sets: first the best
    partner of each class, then all pairs whose ends are still in different components.
 
@@ -294,15 +294,14 @@ class ChosenPathJoin:
         return both.filter(_confirm(self.percent)("sa", "sb")).select(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2")).alias("a"),
                                                                       F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2")).alias("b"))
 
-    def _open(self, pairs: DataFrame, links: DataFrame) -> DataFrame:
+    def _open(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs whose ends are not yet in one component."""
-        labels = components(links)
         a = labels.select(F.col("node.k1").alias("a1"), F.col("node.k2").alias("a2"), F.col("label").alias("la"))
         b = labels.select(F.col("node.k1").alias("b1"), F.col("node.k2").alias("b2"), F.col("label").alias("lb"))
         return pairs.join(a, ["a1", "a2"], "left").join(b, ["b1", "b2"], "left").filter("la is null or lb is null or la <> lb").drop("la", "lb")
 
-    def links(self) -> DataFrame:
-        """Confirmed links between classes, enough of them to join all that any chain of links joins."""
+    def labels(self) -> DataFrame:
+        """(node, label): component of each class that has a link, from enough confirmed links to join all that any chain of links joins."""
         pairs = self.candidates()
         ends = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).unionByName(pairs.select(F.col("b1").alias("k1"), F.col("b2").alias("k2")))
         loose = self.centred.select("k1", "k2")
@@ -313,16 +312,16 @@ class ChosenPathJoin:
         back = pairs.groupBy("b1", "b2").agg(F.max(other).alias("m")).select("m.a1", "m.a2", "b1", "b2")
         best = forth.unionByName(back).unionByName(self._best(self.centred).drop("agree")).distinct()
         links = stored(self.confirm(best), "near-links")
-        rest = self._open(pairs, links)
+        labels = components(links)
+        rest = self._open(pairs, labels)
         links = stored(links.unionByName(self.confirm(rest)), "near-links")
-        return self._crowded_links(links, pairs.select("a1", "a2", "b1", "b2"))
+        return self._crowded_labels(links, components(links, known=labels), pairs.select("a1", "a2", "b1", "b2"))
 
-    def _crowded_links(self, links: DataFrame, tried: DataFrame) -> DataFrame:
-        """Adds the links of classes of crowded nodes that are not in the component of their node's centre."""
+    def _crowded_labels(self, links: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
+        """Adds the links of classes of crowded nodes that are not in the component of their node's centre; the labels after that."""
         tokens, ends, k = self.classes.select("k1", "k2", "tokens"), ["a1", "a2", "b1", "b2"], 1
         names = ["node", "block", "k1", "k2", "tokens", "g"]
         while True:
-            labels = components(links)
             group = labels.select("node.k1", "node.k2", F.xxhash64("label.k1", "label.k2").alias("g"))
             centre = group.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("g").alias("gc"))
             rows = (self.centred.select("node", "k1", "k2", "c1", "c2").join(group, ["k1", "k2"], "left").join(centre, ["c1", "c2"], "left")
@@ -330,7 +329,7 @@ class ChosenPathJoin:
             rows = stored(rows, "near-members")
             lone = rows.filter("g <> gc")
             if not lone.limit(1).count():
-                return links
+                return labels
             sizes = rows.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
             left = lone.join(sizes, "node").join(tokens, ["k1", "k2"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             right = (rows.join(lone.select("node").distinct(), "node", "left_semi").join(sizes, "node").join(tokens, ["k1", "k2"])
@@ -340,15 +339,18 @@ class ChosenPathJoin:
                            .applyInArrow(_block_pairs(self.least, k), _PAIR + ", more boolean"), "near-blocks")
             new = stored(found.select(*ends).distinct().join(tried, ends, "left_anti"), "near-new")
             if new.limit(1).count():
-                links = stored(links.unionByName(self.confirm(new)), "near-links")
+                added = stored(self.confirm(new), "near-links")
                 tried = tried.unionByName(new)
-            elif not found.filter("more").limit(1).count():
-                return links
-            k *= 8
+                if added.limit(1).count():
+                    links = links.unionByName(added)
+                    labels = components(links, known=labels)
+            if not found.filter("more").limit(1).count():
+                return labels
+            k *= 32
 
     def membership(self) -> DataFrame:
         """(doc_id, n_shingles, k1, k2, component_id): one row per input row."""
-        labels = components(self.links()).select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), "label")
+        labels = self.labels().select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), "label")
         named = self.classes.select("k1", "k2", "doc_id").join(labels, ["k1", "k2"], "left").withColumn(
             "label", F.coalesce("label", F.struct("k1", "k2")))
         names = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
