@@ -10,7 +10,7 @@
 3. Nodes still crowded at the last level hold classes that agree on every chosen token. Each is compared with the node's
    centre (the class nearest to the commonest token of each position); classes that this links are in one component, the
    others meet all classes of the node in blocks and name their most agreeing partners in each other component, one at
-   first and 32 times as many each round, until none is left to try. So no node emits all its pairs and nothing is left out.
+   first and eight times as many each round, until none is left to try. So no node emits all its pairs and nothing is left out.
 4. Candidate pairs (filtered by the 64 tokens, five standard deviations wide) are confirmed on the full sets: first the best
    partner of each class, then all pairs whose ends are still in different components.
 
@@ -346,7 +346,7 @@ class ChosenPathJoin:
                     labels = components(links, known=labels)
             if not found.filter("more").limit(1).count():
                 return labels
-            k *= 32
+            k *= 8
 
     def membership(self) -> DataFrame:
         """(doc_id, n_shingles, k1, k2, component_id): one row per input row."""
