@@ -80,13 +80,29 @@ def base_strengths(train: DataFrame, keys: Sequence[str], diversity: DataFrame,
 
 
 def subset_weights(strengths: DataFrame, keys: Sequence[str], min_models: int = 2, max_models: int | None = None) -> DataFrame:
-    """(keys, mask, variant) with the weight array by model index: one row per candidate, none of them on the driver."""
+    """(keys, mask, variant) with the weight array by model index: one row per candidate, none of them on the driver.
+
+    Subsets grow one model at a time (each takes a model after its last one), up to ``max_models``: only subsets of the
+    wanted sizes are ever made, spread over rows. A mask has 63 bits; more models in one dataset raise.
+    """
     entry = F.struct("idx", "model", "performance_strength", "diversity_strength")
-    m = strengths.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_m")).withColumn("_n", F.size("_m"))
-    masks = m.withColumn("mask", F.explode(F.expr("sequence(1L, shiftleft(1L, _n) - 1L)")))
-    size = F.bit_count("mask").cast("int")
-    high = F.col("_n") if max_models is None else F.least(F.lit(max_models), F.col("_n"))
-    masks = masks.where((size >= min_models) & (size <= F.greatest(high, F.lit(min_models)))).withColumn("n_models", size)
+    m = durable(strengths.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_m")).withColumn("_n", F.size("_m")))
+    most = m.agg(F.max("_n")).first()[0] or 0
+    if most > 63:
+        raise ValueError(f"{most} models in one dataset: a subset mask holds 63")
+    low = max(1, min_models)
+    high = max(low, most if max_models is None else min(max_models, most))
+    grown = m.withColumns({"mask": F.lit(0).cast("long"), "_next": F.lit(0)})
+    levels = []
+    for size in range(1, high + 1):
+        last = F.explode(F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: i >= F.col("_next")))
+        grown = grown.withColumn("_i", last).withColumns({
+            "mask": F.col("mask").bitwiseOR(F.expr("shiftleft(1L, _i)")), "_next": F.col("_i") + 1}).drop("_i")
+        if size >= low:
+            levels.append(grown.drop("_next").withColumn("n_models", F.lit(size)))
+    masks = levels[0]
+    for level in levels[1:]:
+        masks = masks.unionByName(level)
     inside = lambda e: F.getbit(F.col("mask"), e["idx"]) == 1
     raw = {"ac": lambda e: F.lit(1.0), "wcp": lambda e: e["performance_strength"], "wcds": lambda e: e["diversity_strength"]}
     masked = lambda f: F.transform("_m", lambda e: F.when(inside(e), f(e)).otherwise(0.0))
@@ -171,7 +187,9 @@ def candidate_table(pred: DataFrame, keys: Sequence[str], row: Sequence[str], me
                     max_models: int | None = None, rank_space: bool = True, diverse_from: float = 0.15,
                     discount: float = 0.98, table: DataFrame | None = None,
                     rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[DataFrame, DataFrame]:
-    """(candidates with train and adjusted loss, base strengths). ``metric``: rmse, mse or mae."""
+    """(candidates with train and adjusted loss, base strengths). ``metric``: rmse, mse or mae; any other name raises."""
+    if metric not in ("rmse", "mse", "mae"):
+        raise ValueError(f"fusion has no losses for metric {metric!r}")
     t = table if table is not None else durable(fusion_table(pred, keys, row, rows_per_bucket))
     train = t.where("split = 'train'")
     # One row per model (pair), read by several later steps: stored once instead of recomputed from the rows.

@@ -67,7 +67,8 @@ def fold_coefficients(df: DataFrame, keys: Sequence[str], fold: str, features: s
                       alphas: Sequence[float]) -> DataFrame:
     """Per key: coefficients with each fold left out (``fold`` >= 0) and on all rows (``fold`` = -1).
 
-    Only moment matrices (one per key and fold) meet in a task, never rows.
+    The penalty of a fit is chosen among the folds of that fit alone, so a fold left out takes no part in it. Only moment
+    matrices (one per key and fold) meet in a task, never rows.
     """
     gram = grouped_gram(with_intercept(df, features, target), [*keys, fold], "_x")
     key_fields = [f for f in df.schema.fields if f.name in keys]
@@ -77,12 +78,11 @@ def fold_coefficients(df: DataFrame, keys: Sequence[str], fold: str, features: s
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         mats = {f: np.vstack(g.sort_values("i")["row"].to_list()) for f, g in pdf.groupby(fold)}
-        names = list(mats)
-        alpha = pick_alpha([mats[f] for f in names], alphas) if len(names) > 1 else alphas[0]
-        total = sum(mats.values())
-        rows = [(-1, alpha, solve_ridge(total, alpha))]
-        if len(names) > 1:
-            rows += [(int(f), alpha, solve_ridge(total - mats[f], alpha)) for f in names]
+        names, rows = list(mats), []
+        for left_out in [-1, *(names if len(names) > 1 else [])]:
+            used = [mats[f] for f in names if f != left_out]
+            alpha = pick_alpha(used, alphas) if len(used) > 1 else alphas[0]
+            rows.append((int(left_out), alpha, solve_ridge(sum(used), alpha)))
         res = pd.DataFrame(rows, columns=["fold", "alpha", "coef"])
         for k in keys:
             res.insert(0, k, pdf[k].iloc[0])

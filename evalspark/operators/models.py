@@ -160,15 +160,13 @@ def _selected(train: DataFrame, values: list[float], source: str, threshold: flo
     return coef.join(kept, "feature", "left").withColumns({"source": F.lit(source), "is_selected": F.col("selection_rank").isNotNull()})
 
 
-def select_features(df: DataFrame, fold: str, folds: int, predicted_seconds: float, budget_seconds: float = 7200.0,
-                    **kwargs) -> DataFrame:
-    """Elastic net within the time budget, forest importance beyond it or when the fit fails."""
-    if predicted_seconds <= budget_seconds:
-        try:
-            return elastic_net_selection(df, fold, folds, **kwargs)
-        except Exception:  # fall through to the cheaper selector
-            pass
-    return forest_selection(df)
+def select_features(df: DataFrame, fold: str, folds: int, selector: str = "elastic_net", **kwargs) -> DataFrame:
+    """The selection by the named ``selector``: ``elastic_net`` or ``random_forest``; a failing fit raises."""
+    if selector == "elastic_net":
+        return elastic_net_selection(df, fold, folds, **kwargs)
+    if selector == "random_forest":
+        return forest_selection(df, **kwargs)
+    raise ValueError(f"unknown selector {selector!r}")
 
 
 def principal_components(df: DataFrame, k: int = 2) -> DataFrame:

@@ -50,18 +50,19 @@ def _bucketed(d: DataFrame, keys: Sequence[str], order: Sequence[str], rows_per_
     """Add ``_b``: an order-preserving bucket number within each key group.
 
     A value becomes a splitter when its hash falls on one of ``rows_per_bucket`` residues, so a group of n distinct
-    values gets about n / rows_per_bucket of them and most groups below that size get none. The broadcast table
+    values gets about n / rows_per_bucket of them and most groups below that size get none. The splitter table
     therefore holds about (rows / rows_per_bucket) values in all, however the rows are spread over groups, and at most
-    ``MAX_SPLITTERS`` per group.
+    ``MAX_SPLITTERS`` per group; it grows with the data, so AQE decides on its broadcast by measured bytes.
     ``source`` may be a cheaper frame holding the same (keys, order) tuples as ``d``.
     """
     here = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    picked = (source if source is not None else d).where(F.pmod(F.xxhash64(*order), F.lit(rows_per_bucket)) == 0)
+    # Keys are hashed along, so that one value shared by many groups does not become a splitter in all of them.
+    picked = (source if source is not None else d).where(F.pmod(F.xxhash64(*keys, *order), F.lit(rows_per_bucket)) == 0)
     splits = picked.groupBy(*keys).agg(F.array_sort(F.collect_set(here)).alias("_splits"))
     step = F.ceil(F.size("_splits") / MAX_SPLITTERS)  # thinning only widens buckets; it never changes a result
     splits = splits.withColumn("_splits", F.when(step > 1, F.filter("_splits", lambda x, i: i % step == 0))
                                .otherwise(F.col("_splits")))
-    out = key_join(d, splits, keys, "left", bounded=True)
+    out = key_join(d, splits, keys, "left")
     found = F.aggregate(
         F.array(*[F.lit(s) for s in _SEARCH_STEPS]), F.lit(0),
         lambda acc, step: F.when(F.get(F.col("_splits"), acc + step - 1) <= here, acc + step).otherwise(acc))

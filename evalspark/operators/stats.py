@@ -120,10 +120,11 @@ def friedman(scores: DataFrame, block: str, model: str) -> DataFrame:
 
 # --- Wilcoxon + Holm ---------------------------------------------------------------------------------------------
 
-def wilcoxon_vs_best(scores: DataFrame, block: str, model: str, alpha: float = 0.05) -> DataFrame:
+def wilcoxon_vs_best(scores: DataFrame, block: str, model: str, alpha: float = 0.05, exact_up_to: int = 50) -> DataFrame:
     """Every model against the one with the lowest median: one-sided signed-rank test, Holm-adjusted.
 
-    Zero differences are dropped. Exact tail up to 50 untied differences, otherwise the tie-corrected normal tail.
+    Zero differences are dropped. ``exact_up_to`` is the reference's automatic rule: exact tail up to that many untied,
+    non-zero differences, otherwise the tie-corrected normal tail (0: always normal). ``tail_method`` says which was used.
     """
     med = scores.groupBy(model).agg(median("score").alias("median_score"))
     best = med.agg(F.min_by(model, F.struct("median_score", model)).alias("best_model"))
@@ -139,12 +140,12 @@ def wilcoxon_vs_best(scores: DataFrame, block: str, model: str, alpha: float = 0
                                 median("diff").alias("median_delta"))
 
     @F.pandas_udf("double")
-    def tail(n: pd.Series, w: pd.Series, ties: pd.Series, total: pd.Series) -> pd.Series:
+    def tail(method: pd.Series, n: pd.Series, w: pd.Series, ties: pd.Series) -> pd.Series:
         out = []
-        for m, s, t, all_rows in zip(n, w, ties, total):
-            if m == 0:
+        for how, m, s, t in zip(method, n, w, ties):
+            if how == "none":
                 out.append(1.0)
-            elif m <= 50 and t == 0 and m == all_rows:
+            elif how == "exact":
                 out.append(signed_rank_sf(s, int(m)))
             else:
                 var = m * (m + 1) * (2 * m + 1) / 24.0 - t
@@ -152,7 +153,9 @@ def wilcoxon_vs_best(scores: DataFrame, block: str, model: str, alpha: float = 0
         return pd.Series(out, dtype="float64")
 
     t = all_.join(sums, model, "left").fillna(0, ["_n", "statistic", "_ties"])
-    t = t.withColumn("raw_p_value", tail("_n", "statistic", "_ties", "blocks"))
+    untied = (F.col("_ties") == 0) & (F.col("_n") == F.col("blocks"))
+    method = F.when(F.col("_n") == 0, "none").when((F.col("_n") <= exact_up_to) & untied, "exact").otherwise("normal")
+    t = t.withColumn("tail_method", method).withColumn("raw_p_value", tail("tail_method", "_n", "statistic", "_ties"))
     return holm(t.drop("_n", "_ties"), "raw_p_value", model, alpha)
 
 

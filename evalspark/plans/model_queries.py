@@ -96,7 +96,7 @@ def m3(spark, d):
 @query("m3_wilcoxon_holm_p_values")
 def m3b(spark, d):
     w = Z.wilcoxon_vs_best(scores(spark, d), "block", "model")
-    return rounded(w.select("model", "raw_p_value", "holm_p_value", "significantly_worse"), "raw_p_value", "holm_p_value", digits=9)
+    return rounded(w.select("model", "tail_method", "raw_p_value", "holm_p_value", "significantly_worse"), "raw_p_value", "holm_p_value", digits=9)
 
 
 DESC = """f AS (SELECT CAST(c_custkey AS VARCHAR) AS k, CAST(c_nationkey AS DOUBLE) AS nation, c_acctbal AS balance, o.n AS orders, o.total, o.biggest FROM customer
@@ -172,8 +172,7 @@ def m9(spark, d):
 # --- K: ensembles ----------------------------------------------------------------------------------------------------
 
 @query("k3_knn_predictor", """
-WITH z AS (SELECT a.vec_id, b.vec_id AS tid, b.label AS y, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.vec_id >= b.vec_id - 1000000000
- AND a.label < 2 AND b.label >= 2), o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, tid) AS rk FROM z)
+WITH z AS (SELECT a.vec_id, b.vec_id AS tid, b.label AS y, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS d FROM embeddings a JOIN embeddings b ON a.label < 2 AND b.label >= 2), o AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, tid) AS rk FROM z)
 SELECT vec_id, round(coalesce(avg(y) FILTER (d = 0), sum(y / nullif(d, 0)) / sum(1 / nullif(d, 0))), 6) AS predicted FROM o WHERE rk <= 15 GROUP BY vec_id""")
 def k3(spark, d):
     e = V.table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("features"))
@@ -252,7 +251,7 @@ t AS (SELECT p.* FROM v_pred p JOIN c USING (dataset, split, row_id)),
 l AS (SELECT dataset, model, sqrt(avg((observed - predicted) ** 2)) AS loss FROM t WHERE split = 'train' GROUP BY ALL),
 o AS (SELECT dataset, model, (predicted - min(predicted) OVER w) / (max(predicted) OVER w - min(predicted) OVER w) AS z,
   row_number() OVER (PARTITION BY dataset, model ORDER BY predicted, row_id) AS i FROM t WHERE split = 'train' WINDOW w AS (PARTITION BY dataset, model)),
-v AS (SELECT a.dataset, a.model, avg(CASE WHEN true THEN (a.z - b.z) ** 2 END) AS cd FROM o a JOIN o b ON a.dataset = b.dataset AND a.i = b.i AND a.model <> b.model GROUP BY a.dataset, a.model)"""
+v AS (SELECT a.dataset, a.model, avg((a.z - b.z) ** 2) AS cd FROM o a JOIN o b ON a.dataset = b.dataset AND a.i = b.i AND a.model <> b.model GROUP BY a.dataset, a.model)"""
 
 
 @query("k13_base_strengths", f"""WITH {FUSION_SQL}
@@ -422,7 +421,7 @@ def j5(spark, d):
 @query("j6_forest_selection")
 def j6(spark, d):
     from evalspark.operators.models import select_features
-    return rounded(select_features(vectors(spark, d), "fold", 3, predicted_seconds=9999.0), "coefficient", digits=3)
+    return rounded(select_features(vectors(spark, d), "fold", 3, "random_forest"), "coefficient", digits=3)
 
 
 @query("j11_principal_components")

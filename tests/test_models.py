@@ -93,8 +93,36 @@ def test_subset_budget():
     assert U.max_models_for_budget(4, 2, None, 1) == (2, 6)
 
 
-def test_strength_literal():
-    assert abs(1 / 0.036699698937518795 - 27.24817992928223) < 1e-9
+def test_subsets_of_many_models(spark):
+    rows = [("d", i, f"m{i:02d}", 1.0 + i, 2.0) for i in range(40)]
+    s = spark.createDataFrame(rows, "dataset string, idx int, model string, performance_strength double, diversity_strength double")
+    got = U.subset_weights(s, ["dataset"], 2, 2).where("variant = 'wcp'").toPandas()
+    assert len(got) == math.comb(40, 2) and got["mask"].nunique() == len(got)
+    for mask, names, w in got[["mask", "models", "weights"]].itertuples(index=False):
+        inside = [i for i in range(40) if mask >> i & 1]
+        assert names == "|".join(f"m{i:02d}" for i in inside)
+        np.testing.assert_allclose([w[i] for i in inside], [(1 + i) / sum(1 + j for j in inside) for i in inside])
+
+
+def test_unknown_fusion_metric_raises(pred):
+    with pytest.raises(ValueError):
+        U.candidate_table(pred[1], ["dataset"], ["row_id"], "roc_auc")
+
+
+def test_penalty_is_chosen_without_the_left_out_fold(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 2))
+    y = x @ np.array([1.0, -1.0]) + rng.normal(size=40)
+    rows = [("k", i % 4, x[i].tolist(), float(y[i])) for i in range(40)]
+    alphas = (0.01, 1.0, 100.0)
+    df = spark.createDataFrame(rows, "k string, f long, features array<double>, y double")
+    got = L.fold_coefficients(df, ["k"], "f", "features", "y", alphas).toPandas().set_index("fold")
+    full = np.column_stack([np.ones(40), x, y])
+    gram = {f: full[f::4].T @ full[f::4] for f in range(4)}
+    for left_out in (-1, 0, 1, 2, 3):
+        used = [gram[f] for f in range(4) if f != left_out]
+        assert got.alpha[left_out] == L.pick_alpha(used, alphas)
+        np.testing.assert_allclose(got.coef[left_out], L.solve_ridge(sum(used), got.alpha[left_out]))
 
 
 def test_stacking_matches_direct_ridge(pred):
