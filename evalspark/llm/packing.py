@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import os
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -55,6 +56,7 @@ class WordCache(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.merges = self.tokenizer.model
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -64,6 +66,9 @@ class WordCache(dict):
             self.clear()
         if len(word) > 1 and word[-1] in ".,;:!?|" and word[-2].isalnum():  # such a mark is a token of its own
             ids = self[word[:-1]] + self[word[-1]]
+        elif word.isascii() and word.isalpha():  # one piece as it stands: only the merges are left to do
+            found = self.merges.tokenize(word)
+            ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
         else:
             ids = self.whole(word)
         self[word] = ids
