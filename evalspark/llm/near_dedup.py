@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import mix64, slices, stored, utf8, words
+from evalspark.llm.common import SPACE, mix64, slices, stored, utf8, words
 from evalspark.llm.components import components
 
 TOKENS = 64
@@ -348,11 +348,20 @@ class ChosenPathJoin:
                 return labels
             k *= 8
 
-    def membership(self) -> DataFrame:
-        """(doc_id, n_shingles, k1, k2, component_id): one row per input row."""
+    def named(self) -> DataFrame:
+        """(k1, k2, doc_id, label): component of every class, its own key if it has no link."""
         labels = self.labels().select(F.col("node.k1").alias("k1"), F.col("node.k2").alias("k2"), "label")
-        named = self.classes.select("k1", "k2", "doc_id").join(labels, ["k1", "k2"], "left").withColumn(
+        return self.classes.select("k1", "k2", "doc_id").join(labels, ["k1", "k2"], "left").withColumn(
             "label", F.coalesce("label", F.struct("k1", "k2")))
+
+    def chosen(self) -> DataFrame:
+        """(id, k1, k2) of each component: its smallest doc_id, null only if it has none, then the smallest key."""
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")).alias("m")
+        return self.named().groupBy("label").agg(first).select(F.col("m.doc_id").alias("id"), "m.k1", "m.k2")
+
+    def membership(self) -> DataFrame:
+        """(doc_id, n_shingles, k1, k2, component_id): one row per input row."""
+        named = self.named()
         names = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
         ids = named.join(names, "label").select("k1", "k2", "component_id")
         filled = self.members.filter("n > 0").select("doc_id", "n", "k1", "k2").join(ids, ["k1", "k2"])
@@ -366,9 +375,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, recall: f
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _set_keys(size: int):
+    @F.arrow_udf("k1 long, k2 long")
+    def keys(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            k1, k2 = [], []
+            for part in slices(iter([pa.RecordBatch.from_arrays([column], ["text"])]), "text"):
+                _, _, _, a, b = sets(*utf8(part.column("text")), size)
+                k1.append(a)
+                k2.append(b)
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate(k) if k else np.zeros(0, np.int64)) for k in (k1, k2)], ["k1", "k2"])
+    return keys
+
+
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, recall: float = RECALL) -> DataFrame:
-    """The input rows without near duplicates: of each component the smallest doc_id stays, once."""
-    kept = near_duplicates(docs, size, percent, recall).filter("kept").select(F.col("doc_id").alias("id")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("row_id"))
-    chosen = rows.join(kept, F.col("row_id").eqNullSafe(F.col("id")), "left_semi")
-    return chosen.dropDuplicates(["row_id"]).select("row.*")
+    """The input rows without near duplicates: one row of each component, with its smallest doc_id.
+
+    Rows are told apart by doc_id and set key, so a null or repeated id costs no text; rows without words all stay.
+    """
+    chosen = stored(ChosenPathJoin(docs, size, percent, recall).chosen(), "near-chosen")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    blank = F.trim(F.coalesce("row.text", F.lit("")), F.lit(SPACE)) == ""
+    keyed = rows.filter(~blank).withColumn("key", _set_keys(size)("row.text")).select("row", F.col("row.doc_id").cast("long").alias("row_id"), "key.k1", "key.k2")
+    same = keyed["row_id"].eqNullSafe(chosen["id"]) & (keyed["k1"] == chosen["k1"]) & (keyed["k2"] == chosen["k2"])
+    kept = keyed.join(chosen, same, "left_semi").dropDuplicates(["row_id", "k1", "k2"])
+    return kept.select("row.*").unionByName(rows.filter(blank).select("row.*"))

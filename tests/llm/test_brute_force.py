@@ -179,6 +179,15 @@ def test_keep_one(spark):
     assert len(ids) == len(set(ids)) and set(ids) == {r[0] for r in near_brute(near_rows(), 4, 80) if r[3]}
 
 
+def test_keep_one_null_and_repeated_ids(spark):
+    a, b, c, d, e = (" ".join(f"{x}{j}" for j in range(50)) for x in "abcde")
+    rows = [(None, a), (None, b), (None, b + " more"), (None, ""), (None, None), (5, c), (5, d), (5, d), (6, e), (None, e + " more")]
+    got = [tuple(r) for r in near_dedup.keep_one(docs(spark, rows), 4, 80).select("doc_id", "text").collect()]
+    assert sorted(r[1][0] for r in got if r[1]) == ["a", "b", "c", "d", "e"]
+    assert (6, e) in got and (5, c) in got and (5, d) in got and (None, a) in got
+    assert sorted(str(r) for r in got if not r[1]) == ["(None, '')", "(None, None)"]
+
+
 # packing
 
 def test_packing_round_trip(spark):
