@@ -354,6 +354,21 @@ def test_language_edges(spark):
     assert {r[0] for r in one.select("lang_pred").collect()} == {"en"}
 
 
+def test_pipeline_drops_unlearned_languages_and_junk(spark):
+    import corpus_pipeline
+
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = np.random.default_rng(5)
+    junk = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(30)) for _ in range(4)]
+    other = ["Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan.", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.",
+             "Все люди рождаются свободными и равными в своем достоинстве и правах."]
+    added = docs(spark, [(10**7 + i, t, None) for i, t in enumerate(junk + other)]).select([F.col(c).cast(t).alias(c) for c, t in df.dtypes])
+    kept = [r[0] for r in corpus_pipeline.identify_language(spark, df.unionByName(added), SF).select("doc_id").collect()]
+    clean = df.filter(F.col("text").rlike("[A-Za-z]")).groupBy("lang").agg(F.count_if(F.col("doc_id").isin(kept)), F.count(F.lit(1))).collect()
+    assert max(kept) < 10**7
+    assert len(clean) == 4 and all(n >= 0.995 * total for _, n, total in clean)
+
+
 def test_several_languages_in_a_family(spark):
     words = {"en": "the and of house", "de": "der und das haus", "nl": "het en van huis", "xx": "zork blip quux"}
     rng = np.random.default_rng(1)
