@@ -353,15 +353,13 @@ def reported(spark, d, models, binary):
 @query("k1_regression_models")
 def k1(spark, d):
     from evalspark.operators.models import regression_models
-    models = regression_models(trees=20)
-    return reported(spark, d, {n: models[n] for n in ("ElasticNetCV", "Random Forest", "Decision Tree")}, False)
+    return reported(spark, d, regression_models(), False)
 
 
 @query("k2_classification_models")
 def k2(spark, d):
     from evalspark.operators.models import classification_models
-    models = classification_models(64, trees=20)
-    return reported(spark, d, {n: models[n] for n in ("Logistic Regression", "Random Forest", "Linear SVM")}, True)
+    return reported(spark, d, classification_models(64), True)
 
 
 @query("k5_evaluate_failing_model")
@@ -394,7 +392,7 @@ def k7(spark, d):
     from evalspark.operators.models import evolve
     space = {"reg": ("uniform", (0.0, 1.0)), "l1": ("choice", (0.0, 0.5, 1.0))}
     build = lambda p: LinearRegression(regParam=p["reg"], elasticNetParam=p["l1"])
-    h = evolve(vectors(spark, d), build, space, "fold", population=4, generations=2, elites=1)
+    h = evolve(vectors(spark, d), build, space, "fold")
     return rounded(h, "loss", digits=4)
 
 
@@ -414,7 +412,7 @@ def k16(spark, d):
 @query("j5_elastic_net_selection")
 def j5(spark, d):
     from evalspark.operators.models import elastic_net_selection
-    s = elastic_net_selection(vectors(spark, d), "fold", 3, alphas=(1e-3, 1e-2, 1e-1), l1_ratios=(0.5, 1.0))
+    s = elastic_net_selection(vectors(spark, d), "fold", 3)
     return rounded(s, "coefficient", digits=3)
 
 

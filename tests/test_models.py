@@ -304,3 +304,21 @@ def test_evolution_history(spark):
     h = evolve(df, lambda p: LinearRegression(regParam=p["r"]), {"r": ("choice", (0.0, 0.1))}, "fold", 3, 2, 1).toPandas()
     assert len(h) == 6 and h.groupby("params").loss.nunique().max() == 1
     assert h[h.generation == 1].loss.min() <= h[h.generation == 0].loss.min()
+
+
+def test_model_queries_run_the_whole_job(spark, monkeypatch):
+    """K1 and K2 hand over every model with the default number of trees, J5 the full grid, K7 the default search."""
+    from evalspark.operators import models as ops
+    from evalspark.plans import model_queries as Q
+
+    seen = {}
+    monkeypatch.setattr(Q, "vectors", lambda *a: None)
+    monkeypatch.setattr(Q, "rounded", lambda df, *a, **k: df)
+    monkeypatch.setattr(Q, "reported", lambda spark, d, models, binary: seen.update({binary: models}))
+    monkeypatch.setattr(ops, "elastic_net_selection", lambda *a, **k: seen.update(j5=(a[1:], k)))
+    monkeypatch.setattr(ops, "evolve", lambda *a, **k: seen.update(k7=(a[3:], k)))
+    for build in (Q.k1, Q.k2, Q.j5, Q.k7):
+        build(None, None)
+    assert set(seen[False]) == set(ops.regression_models()) and set(seen[True]) == set(ops.classification_models(64))
+    assert seen[False]["Random Forest"].getNumTrees() == seen[True]["Random Forest"].getNumTrees() == 400
+    assert seen["j5"] == (("fold", 3), {}) and seen["k7"] == (("fold",), {})
