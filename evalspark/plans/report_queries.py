@@ -183,6 +183,13 @@ def d11(spark, d):
     return p.withColumnsRenamed({m: m.lower().replace(" ", "_") for m in PIVOT_MODELS})
 
 
+@query("d11b_all_model_means", """
+SELECT run_name, dataset, model, round(avg(value), 6) AS mean_value FROM v_analysis GROUP BY run_name, dataset, model""", VA)
+def d11b(spark, d):
+    """The values of d11 for every model of v_analysis, in long form."""
+    return V.v_analysis(spark, d).groupBy(*RD, "model").agg(F.round(F.avg("analysis_metric_value"), 6).alias("mean_value"))
+
+
 @query("d12_presence_and_best_rank", f"""WITH {AX},
 k AS (SELECT run_name || dataset AS run_dataset, family, rank() OVER (PARTITION BY run_name, dataset ORDER BY delta) AS rk FROM a),
 b AS (SELECT run_dataset, family, min(rk) AS best_rank FROM k GROUP BY ALL),

@@ -42,6 +42,14 @@ def test_query(spark, con, name):
             assert x == y or all(u == v or close(u, v) for u, v in zip(x, y)), (x, y)
 
 
+def test_all_models_have_means(spark):
+    from evalspark.plans import views as V
+
+    models = {r[0] for r in V.v_analysis(spark, SF).select("model").distinct().collect()}
+    got = {r[0] for r in all_queries()["d11b_all_model_means"].build(spark, SF).select("model").distinct().collect()}
+    assert got == models and len(models) > 4
+
+
 def close(u, v):
     try:
         return math.isclose(float(u), float(v), rel_tol=1e-6, abs_tol=2e-6)
