@@ -118,27 +118,29 @@ class Model:
         self.column = {p: i for i, p in enumerate(self.names)}
         self.weights = np.stack([fitted[p][0] for p in self.names]) if fitted else np.zeros((0, DIMENSIONS), np.float32)
         self.bias = np.array([fitted[p][1] for p in self.names])
+        self.strength = np.abs(self.weights).max(axis=0, initial=0)
 
     def margins(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """One column per problem; the last is the evidence: mean strength of a text's trigrams, whichever side they speak for."""
         buckets, starts = trigrams(data, off)
         if len(off) < 2:
-            return np.zeros((0, len(self.names)))
+            return np.zeros((0, len(self.names) + 1))
         ends = np.append(starts[1:], len(buckets) + 2) - 2
         cuts = np.stack([starts, ends], 1).ravel()
         scale = SCALE / np.maximum(1, ends - starts)
         buckets = np.append(buckets, np.uint32(0))  # so that the last end is a valid place
-        out = [np.add.reduceat(w[buckets], cuts, dtype=np.float64)[::2] * scale + b for w, b in zip(self.weights, self.bias)]
-        return np.stack(out, 1) if out else np.zeros((len(starts), 0))
+        out = [np.add.reduceat(w[buckets], cuts, dtype=np.float64)[::2] * scale + b for w, b in zip([*self.weights, self.strength], [*self.bias, 0.0])]
+        return np.stack(out, 1)
 
     def predict(self, data: np.ndarray, off: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Names, scores, and the smallest margin by which each winner won (infinite when only one language is learned)."""
+        """Names, scores and evidence (infinite when only one language is learned)."""
         m, n = self.margins(data, off), len(off) - 1
         if len(self.families) > 1:
             f = np.stack([m[:, self.column[f"family {name}"]] for name, _ in self.families], 1)
             e = np.exp(2 * (f - f.max(1, keepdims=True)))
-            family, trust, margin = f.argmax(1), e.max(1) / e.sum(1), f.max(1)
+            family, trust = f.argmax(1), e.max(1) / e.sum(1)
         else:
-            family, trust, margin = np.zeros(n, int), np.ones(n), np.full(n, np.inf)
+            family, trust = np.zeros(n, int), np.ones(n)
         names, score = np.empty(n, object), trust.copy()
         for k, (_, langs) in enumerate(self.families):
             at = np.flatnonzero(family == k)
@@ -146,7 +148,6 @@ class Model:
                 names[at] = langs[0]
                 continue
             votes, total, sure = (np.zeros((len(at), len(langs))) for _ in range(3))
-            least = np.full((len(at), len(langs)), np.inf)
             for i, j in itertools.combinations(range(len(langs)), 2):
                 x = m[at, self.column[f"pair {langs[i]} {langs[j]}"]]
                 p = 1 / (1 + np.exp(-np.clip(2 * x, -50, 50)))
@@ -154,12 +155,10 @@ class Model:
                     votes[:, to] += y > 0
                     total[:, to] += np.clip(y, -5, 5)
                     sure[:, to] += q
-                    least[:, to] = np.minimum(least[:, to], y)
             best = np.lexsort((np.tile(-np.arange(len(langs)), (len(at), 1)), total, votes), axis=1)[:, -1]
             names[at] = np.array(langs, object)[best]
             score[at] *= sure[np.arange(len(at)), best] / (len(langs) - 1)
-            margin[at] = np.minimum(margin[at], least[np.arange(len(at)), best])
-        return list(names), score, margin
+        return list(names), score, m[:, -1] if self.names else np.full(n, np.inf)
 
 
 def _drawn(sizes: dict[str, int], per_language: int, seed: int) -> Column:
@@ -198,26 +197,26 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 17) -
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Columns ``row`` (the input row), ``lang_pred``, ``score`` and ``margin`` (0 for ``und``)."""
+    """Columns ``row`` (the input row), ``lang_pred``, ``score`` and ``evidence`` (0 for ``und``)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("lang_pred string, score double, margin double")
+    @F.arrow_udf("lang_pred string, score double, evidence double")
     def guess(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
         for column in texts:
-            names, scores, margins = [], [], []
+            names, scores, evidence = [], [], []
             for part in slices(iter([pa.RecordBatch.from_arrays([column], ["text"])]), "text"):
                 letters = [has_letter(t) and bool(own.families) for t in part.column("text").to_pylist()]
                 got, sure, won = own.predict(*utf8(part.column("text"))) if own.families else ([None] * part.num_rows, *np.zeros((2, part.num_rows)))
                 names += [g if ok else "und" for g, ok in zip(got, letters)]
                 scores += [min(1.0, max(0.0, float(x))) if ok else 0.0 for x, ok in zip(sure, letters)]
-                margins += [float(x) if ok else 0.0 for x, ok in zip(won, letters)]
-            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(margins, pa.float64())],
-                                             ["lang_pred", "score", "margin"])
+                evidence += [float(x) if ok else 0.0 for x, ok in zip(won, letters)]
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(evidence, pa.float64())],
+                                             ["lang_pred", "score", "evidence"])
 
     got = guess("row.text")
     return docs.select(F.struct(*docs.columns).alias("row")).select("row", got.alias("out")).select(
-        "row", F.col("out.lang_pred").alias("lang_pred"), F.col("out.score").alias("score"), F.col("out.margin").alias("margin"))
+        "row", F.col("out.lang_pred").alias("lang_pred"), F.col("out.score").alias("score"), F.col("out.evidence").alias("evidence"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -230,26 +229,26 @@ def learn_and_predict(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Data
     return predict(docs, model).withColumn("held_out", held_out(F.col("row.doc_id")))
 
 
-def least_margins(labelled: DataFrame, model: Model, per_language: int = PER_LANGUAGE, seed: int = 17) -> dict[str, float]:
-    """Margin below which a text is in none of the learned languages, for each language with rows the model gets right.
+def least_evidence(labelled: DataFrame, model: Model, per_language: int = PER_LANGUAGE, seed: int = 17) -> dict[str, float]:
+    """Evidence below which a text is in none of the learned languages, for each language with rows the model gets right.
 
-    Half the margin that ``CLEAN`` of about ``per_language`` labelled rows reach, which the model must not have learned from.
+    Half the evidence that ``CLEAN`` of about ``per_language`` labelled rows reach, which the model must not have learned from.
     """
     labelled = labelled.filter(F.col("lang").isNotNull())
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return {}
     right = predict(labelled.filter(_drawn(sizes, per_language, seed)), model).filter(F.col("lang_pred") == F.col("row.lang"))
-    low = right.groupBy("lang_pred").agg(F.percentile("margin", F.lit(1 - CLEAN)).alias("m")).collect()
-    return {r["lang_pred"]: min(r["m"], r["m"] / 2) for r in low}
+    low = right.groupBy("lang_pred").agg(F.percentile("evidence", F.lit(1 - CLEAN)).alias("m")).collect()
+    return {r["lang_pred"]: r["m"] / 2 for r in low}
 
 
 def learn_and_reject(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """Columns of ``predict`` for the rows that are in a learned language: others win by a margin near 0, however many classes there are."""
+    """Columns of ``predict`` for the rows that are in a learned language: others have trigrams of little weight, however many classes there are."""
     labelled = docs.select("doc_id", "text", "lang")
     model = fit(labelled.filter(~held_out(F.col("doc_id"))), per_language)
-    least = least_margins(labelled.filter(held_out(F.col("doc_id"))), model, per_language)
+    least = least_evidence(labelled.filter(held_out(F.col("doc_id"))), model, per_language)
     known = F.lit(True)
     for lang, m in sorted(least.items()):
-        known = F.when(F.col("lang_pred") == lang, F.col("margin") >= m).otherwise(known)
+        known = F.when(F.col("lang_pred") == lang, F.col("evidence") >= m).otherwise(known)
     return predict(docs, model).filter((F.col("lang_pred") != "und") & known)
