@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalspark.llm import ann, chat, exact_topk, language_id, line_dedup, mixing, near_dedup, packing, repeats, url_rules
+from evalspark.llm import (ann, chat, exact_topk, filter_audit, language_id, line_dedup, mixing, near_dedup, packing, repeats, simhash, spelling,
+                           url_rules)
 from evalspark.llm.common import table
 
 Build = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +56,18 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_prints(table(spark, sf_dir, "documents"), size=3, distance=2).select("doc_id", "fingerprint", "component_id")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), every=31, min_length=7, min_count=2, ratio=10)
+
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 l AS (SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM d),
@@ -106,6 +119,29 @@ SELECT conv_id, n_turns, n_copies,
 FROM g WHERE conv_id NOT IN (SELECT conv_id FROM p)
 """
 
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first_id FROM t),
+l AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INTEGER)) AS good, max(CAST(coalesce(toxic = 1, false) AS INTEGER)) AS bad FROM labels GROUP BY doc_id),
+m AS (SELECT w.part, coalesce(l.good, 0) AS good, coalesce(l.bad, 0) AS bad,
+             CASE WHEN len(words) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 2 ELSE 0 END
+             + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 4 ELSE 0 END
+             + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN w.doc_id > first_id THEN 16 ELSE 0 END AS mask
+      FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+cell AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM m GROUP BY part, mask),
+f AS (SELECT chr(65 + i) AS letter, 1 << i AS bit FROM range(5) r(i)),
+o AS (SELECT concat(a.letter, b.letter, c.letter, d.letter, e.letter) AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+      FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
+s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, bits[step] AS bit, CAST(list_sum(bits[1:step]) AS BIGINT) - bits[step] AS past FROM o, range(1, 6) r(step)),
+x AS (SELECT part, filter_order, step, bit, n, good, bad, mask, mask & past = 0 AND mask & bit <> 0 AS hit, mask & past <> 0 AND mask & bit <> 0 AS late, mask & (past + bit) = 0 AS clean FROM cell, s),
+g AS (SELECT part, filter_order, step, bit, CAST(sum(CASE WHEN clean THEN n ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN hit THEN n ELSE 0 END) AS BIGINT) AS removed,
+             CAST(sum(CASE WHEN late THEN n ELSE 0 END) AS BIGINT) AS redundant, CAST(sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+             CAST(sum(CASE WHEN hit THEN good ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN hit THEN bad ELSE 0 END) AS BIGINT) AS toxic_lost
+      FROM x GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM g
+"""
+
 QUERIES: dict[str, tuple[Build, str | None]] = {
     "op1_language_id": (op1_language_id, None),
     "op2_line_dedup": (op2_line_dedup, OP2_SQL),
@@ -117,4 +153,7 @@ QUERIES: dict[str, tuple[Build, str | None]] = {
     "op8_mixing": (op8_mixing, OP8_SQL),
     "op9_chat_format": (op9_chat_format, OP9_SQL),
     "op10_near_dedup": (op10_near_dedup, None),
+    "op11_simhash_dedup": (op11_simhash_dedup, None),
+    "op12_filter_audit": (op12_filter_audit, OP12_SQL),
+    "op13_spelling_variants": (op13_spelling_variants, None),
 }
