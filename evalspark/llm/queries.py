@@ -129,7 +129,7 @@ m AS (SELECT w.part, coalesce(l.good, 0) AS good, coalesce(l.bad, 0) AS bad,
              + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN w.doc_id > first_id THEN 16 ELSE 0 END AS mask
       FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
 cell AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM m GROUP BY part, mask),
-f AS (SELECT chr(65 + i) AS letter, 1 << i AS bit FROM range(5) r(i)),
+f AS (SELECT chr(CAST(65 + i AS INTEGER)) AS letter, 1 << i AS bit FROM range(5) r(i)),
 o AS (SELECT concat(a.letter, b.letter, c.letter, d.letter, e.letter) AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
       FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5),
 s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, bits[step] AS bit, CAST(list_sum(bits[1:step]) AS BIGINT) - bits[step] AS past FROM o, range(1, 6) r(step)),
