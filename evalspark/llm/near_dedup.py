@@ -7,12 +7,13 @@
    with up to ``NODE_LIMIT`` classes are compared exhaustively; larger ones branch again, down to ``DEPTH`` levels.
    A pair of similarity s survives a level with probability 1 - (1 - s q)**BRANCH, q being that of the levels below; trees
    are repeated until the chance to miss a pair at the threshold is below 1 - ``recall``.
-3. Nodes still crowded at the last level hold classes that agree on every chosen token. Each is compared with the node's
-   centre (the class nearest to the commonest token of each position); classes that this links are in one component, the
-   others meet all classes of the node in blocks and name their most agreeing partners in each other component, one at
-   first and eight times as many each round, until none is left to try. So no node emits all its pairs and nothing is left out.
-4. Candidate pairs (filtered by the 64 tokens, five standard deviations wide) are confirmed on the full sets: first the best
-   partner of each class, then all pairs whose ends are still in different components.
+3. Comparing a node gives groups, not pairs: classes joined by chains of pairs that agree on enough of the 64 tokens (five
+   standard deviations wide). A group is named by its members, so the same group found in many nodes is confirmed once.
+4. Nodes still crowded at the last level are checked against their centre (the class nearest to the commonest token of each
+   position). A node that is one linked component then is done; in others the classes outside the centre's component meet
+   all classes of the node, as one group.
+5. Groups are confirmed on full sets, in blocks of bounded size: each pair of blocks works out all its exact similarities
+   and returns links that join what its linked pairs join, at most one per class. So no step returns all pairs of a group.
 
 Defined cases: texts without words (null, empty, blank) have size 0 and are linked with nothing; texts with fewer words
 than a shingle are one shingle of all their words; rows sharing a doc_id are separate texts of that id; a null doc_id never
@@ -35,10 +36,11 @@ from evalspark.llm.components import components
 
 TOKENS = 64
 BRANCH = 2
-NODE_LIMIT = 64
+NODE_LIMIT = 2048
 DEPTH = 3
 RECALL = 0.9999
-BLOCK = 2000
+BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1 << 21
+OFTEN = 64  # shingles in more sets of a block than this are multiplied as matrix columns
 _MULTIPLIERS = mix64(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
 _ADDENDS = mix64(np.arange(1001, TOKENS + 1001, dtype=np.uint64))
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
@@ -90,15 +92,15 @@ def _features(size: int):
             flat, bounds, n, k1, k2 = sets(*utf8(batch.column("text")), size)
             tokens = minwise(flat, bounds, n).view(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(k1), pa.array(k2),
+                [batch.column("doc_id"), batch.column("h"), pa.array(n), pa.array(k1), pa.array(k2),
                  pa.FixedSizeListArray.from_arrays(pa.array(tokens.ravel()), TOKENS).cast(pa.list_(pa.int32()))],
-                ["doc_id", "n", "k1", "k2", "tokens"])
+                ["doc_id", "h", "n", "k1", "k2", "tokens"])
     return fn
 
 
 def features(docs: DataFrame, size: int) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(_features(size), "doc_id long, n long, k1 long, k2 long, tokens array<int>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    return rows.mapInArrow(_features(size), "doc_id long, h long, n long, k1 long, k2 long, tokens array<int>")
 
 
 def trees_for(recall: float, threshold: float, depth: int = DEPTH, branch: int = BRANCH) -> int:
@@ -120,24 +122,37 @@ def _least_agreeing(threshold: float) -> int:
     return max(1, math.floor(TOKENS * threshold - 5 * math.sqrt(TOKENS * threshold * (1 - threshold))))
 
 
-_PAIR = "a1 long, a2 long, b1 long, b2 long, agree int"
+_GROUP = "gid long, k1 long, k2 long"
 
 
-def _pair_batch(rows: list) -> pa.RecordBatch:
-    cols = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in zip(*rows)] if rows else [np.zeros(0, np.int64)] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:4]] + [pa.array(cols[4].astype(np.int32))],
-                                      ["a1", "a2", "b1", "b2", "agree"])
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest member of the component of each of ``n`` places, under the pairs (a, b)."""
+    label = np.arange(n)
+    while len(a):
+        new = label.copy()
+        np.minimum.at(new, b, label[a])
+        np.minimum.at(new, a, label[b])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
 
 
-def _compare(k1, k2, tokens, least: int):
-    """All pairs inside one small node that agree on enough tokens, smaller key first."""
-    order = np.lexsort((k2, k1))
-    k1, k2, tokens = k1[order], k2[order], tokens[order]
-    i, j = np.triu_indices(len(k1), 1)
-    agree = (tokens[i] == tokens[j]).sum(axis=1)
-    keep = agree >= least
-    i, j = i[keep], j[keep]
-    return k1[i], k2[i], k1[j], k2[j], agree[keep]
+def _agreeing_groups(k1, k2, tokens, least: int) -> pa.RecordBatch:
+    """Classes of one node that chains of agreeing pairs join, each group under a name made of its members."""
+    left, right = [], []
+    for i in range(len(k1) - 1):
+        j = np.flatnonzero((tokens[i + 1:] == tokens[i]).sum(axis=1) >= least) + i + 1
+        left.append(np.full(len(j), i))
+        right.append(j)
+    label = _joined(len(k1), np.concatenate(left), np.concatenate(right)) if left else np.arange(len(k1))
+    own = mix64(k1.view(np.uint64) ^ mix64(k2.view(np.uint64)))
+    name, size = np.zeros(len(k1), np.uint64), np.bincount(label, minlength=len(k1))
+    np.add.at(name, label, own)
+    keep = np.flatnonzero(size[label] > 1)
+    gid = mix64(name[label[keep]] + size[label[keep]].astype(np.uint64))
+    return pa.RecordBatch.from_arrays([pa.array(gid.view(np.int64)), pa.array(k1[keep]), pa.array(k2[keep])], ["gid", "k1", "k2"])
 
 
 def _token_matrix(column: pa.Array) -> np.ndarray:
@@ -145,7 +160,7 @@ def _token_matrix(column: pa.Array) -> np.ndarray:
 
 
 def _node_runs(least: int):
-    """Rows sorted by node; compares each node's classes as it passes."""
+    """Rows sorted by node; finds the groups of each node as it passes."""
     def fn(batches: Iterator[pa.RecordBatch]):
         held = None
         for batch in batches:
@@ -154,14 +169,12 @@ def _node_runs(least: int):
             now = (batch.column("node").to_numpy(), batch.column("k1").to_numpy(), batch.column("k2").to_numpy(), _token_matrix(batch.column("tokens")))
             if held is not None:
                 now = tuple(np.concatenate(p) for p in zip(held, now))
-            cut = np.flatnonzero(now[0][1:] != now[0][:-1]) + 1
-            bounds = np.concatenate([[0], cut])
-            out = [_compare(now[1][a:b], now[2][a:b], now[3][a:b], least) for a, b in zip(bounds[:-1], bounds[1:])]
+            bounds = np.concatenate([[0], np.flatnonzero(now[0][1:] != now[0][:-1]) + 1])
+            for a, b in zip(bounds[:-1], bounds[1:]):
+                yield _agreeing_groups(now[1][a:b], now[2][a:b], now[3][a:b], least)
             held = tuple(x[bounds[-1]:] for x in now)
-            if out:
-                yield _pair_batch(out)
         if held is not None:
-            yield _pair_batch([_compare(*held[1:], least)])
+            yield _agreeing_groups(*held[1:], least)
     return fn
 
 
@@ -178,28 +191,63 @@ def _agreeing(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
 
 
-def _block_pairs(least: int, k: int):
-    """For each class on the left, its ``k`` most agreeing partners in every other component; ``more`` if there are others."""
-    def fn(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows, more = [], []
-        if left.num_rows and right.num_rows:
-            a, b = (_token_matrix(t.column(c).combine_chunks()) for t, c in ((left, "tokens"), (right, "r_tokens")))
-            ka, kb = ([t.column(c).to_numpy() for c in names] for t, names in ((left, ("k1", "k2")), (right, ("r_k1", "r_k2"))))
-            ga, gb = left.column("g").to_numpy(), right.column("r_g").to_numpy()
-            for i in range(len(a)):
-                agree = (b == a[i]).sum(axis=1)
-                keep = np.flatnonzero((agree >= least) & (gb != ga[i]))
-                keep = keep[np.lexsort((kb[1][keep], kb[0][keep], -agree[keep], gb[keep]))]
-                rank = np.arange(len(keep)) - np.searchsorted(gb[keep], gb[keep])
-                cut = bool((rank >= k).any())
-                keep = keep[rank < k]
-                first = (kb[0][keep] > ka[0][i]) | ((kb[0][keep] == ka[0][i]) & (kb[1][keep] > ka[1][i]))
-                own = [np.full(len(keep), x[i]) for x in ka]
-                rows.append((np.where(first, own[0], kb[0][keep]), np.where(first, own[1], kb[1][keep]),
-                             np.where(first, kb[0][keep], own[0]), np.where(first, kb[1][keep], own[1]), agree[keep]))
-                more.append(np.full(len(keep), cut))
-        out = pa.Table.from_batches([_pair_batch(rows)])
-        return out.append_column("more", pa.array(np.concatenate(more) if more else np.zeros(0, bool), pa.bool_()))
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """[i, j]: number of shingles that sets left[i] and right[j] share. Rare shingles meet one by one, common ones as matrix columns."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    if not left or not right:
+        return out
+    flat = np.concatenate(left + right)
+    side = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in left + right])
+    cut = sum(map(len, left))
+    _, shingle = np.unique(flat, return_inverse=True)
+    in_left, in_right = (np.bincount(shingle[part], minlength=int(shingle.max()) + 1 if len(shingle) else 0) for part in (slice(None, cut), slice(cut, None)))
+    both = (in_left > 0) & (in_right > 0)
+    often = both & (np.maximum(in_left, in_right) > OFTEN)
+    rows_l, cols_l, rows_r, cols_r = side[:cut], shingle[:cut], side[cut:] - len(left), shingle[cut:]
+    # Rare: every place on the left lists the places on the right that hold the same shingle.
+    rare = both & ~often
+    keep = rare[cols_r]
+    order = np.argsort(cols_r[keep], kind="stable")
+    held, held_by = cols_r[keep][order], rows_r[keep][order]
+    asks = np.flatnonzero(rare[cols_l])
+    for i in range(0, len(asks), 1 << 16):
+        at = asks[i:i + (1 << 16)]
+        lo, n = np.searchsorted(held, cols_l[at]), in_right[cols_l[at]]
+        place = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        pair = np.repeat(rows_l[at], n) * len(right) + held_by[place]
+        out += np.bincount(pair, minlength=out.size).reshape(out.shape)
+    columns = np.cumsum(often) - 1
+    total = int(often.sum())
+    keep_l, keep_r = often[cols_l], often[cols_r]
+    rows_l, cols_l, rows_r, cols_r = rows_l[keep_l], columns[cols_l[keep_l]], rows_r[keep_r], columns[cols_r[keep_r]]
+    for i in range(0, total, 4096):
+        a, b = (np.zeros((n, min(4096, total - i)), np.float32) for n in out.shape)
+        for m, rows, cols in ((a, rows_l, cols_l), (b, rows_r, cols_r)):
+            here = (cols >= i) & (cols < i + 4096)
+            m[rows[here], cols[here] - i] = 1
+        out += (a @ b.T).astype(np.int64)
+    return out
+
+
+def _block_links(percent: int):
+    """Links that join what the linked pairs of one pair of blocks join; without a second block, all pairs within the first."""
+    def fn(group: pa.Table) -> pa.Table:
+        second = np.array(group.column("second").to_pylist(), bool)
+        k1, k2 = (group.column(c).to_numpy() for c in ("k1", "k2"))
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
+        one = np.flatnonzero(~second)
+        two = np.flatnonzero(second) if second.any() else one
+        n = np.array([len(x) for x in sets], np.int64)
+        both = intersections([sets[i] for i in one], [sets[i] for i in two])
+        i, j = np.nonzero(100 * both >= percent * (n[one][:, None] + n[two][None, :] - both))
+        # Places stand for classes: one that lies in both blocks is one place.
+        _, place = np.unique(np.rec.fromarrays([k1, k2]), return_inverse=True)
+        first = np.full(int(place.max()) + 1 if len(place) else 0, -1)
+        first[place[::-1]] = np.arange(len(place))[::-1]
+        label = _joined(len(first), place[one[i]], place[two[j]])
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        a, b = first[label[moved]], first[moved]
+        return pa.table([pa.array(k1[a]), pa.array(k2[a]), pa.array(k1[b]), pa.array(k2[b])], ["a1", "a2", "b1", "b2"])
     return fn
 
 
@@ -228,125 +276,108 @@ def _confirm(percent: int):
     return linked
 
 
+def _keyed(one: str, two: str):
+    return F.struct(F.col(one).alias("k1"), F.col(two).alias("k2"))
+
+
 class ChosenPathJoin:
-    """The join over one table of documents; ``classes`` and ``pairs`` are stored tables."""
+    """The join over one table of documents; ``members`` and ``classes`` are stored tables."""
 
-    def __init__(self, docs: DataFrame, size: int, percent: int, recall: float = RECALL, node_limit: int = NODE_LIMIT, depth: int = DEPTH):
+    def __init__(self, docs: DataFrame, size: int, percent: int, recall: float = RECALL, node_limit: int = NODE_LIMIT, depth: int = DEPTH,
+                 block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES):
         self.docs, self.size, self.percent, self.node_limit, self.depth = docs.select("doc_id", "text"), size, percent, node_limit, depth
+        self.block_rows, self.block_shingles = block_rows, block_shingles
         self.least = _least_agreeing(percent / 100)
         self.trees = trees_for(recall, percent / 100, depth)
         self.members = stored(features(docs, size), "near-features")
         filled = self.members.filter("n > 0")
-        self.classes = stored(filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.first("tokens").alias("tokens")), "near-classes")
+        self.classes = stored(filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "h")).alias("example"), F.min("n").alias("n"),
+                                                              F.first("tokens").alias("tokens")), "near-classes")
 
-    def candidates(self) -> DataFrame:
-        """(a1, a2, b1, b2, agree), distinct."""
+    def groups(self) -> DataFrame:
+        """(gid, k1, k2), distinct: classes to be confirmed together. Also sets ``crowded`` (node, k1, k2, tokens)."""
         roots = F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1)))
         rows = self.classes.select("k1", "k2", "tokens", roots.alias("tree")).withColumn("node", F.xxhash64("tree"))
         found = []
-        for level in range(self.depth):
-            rows = rows.select("k1", "k2", F.explode(_children(F.col("node"))).alias("node"))
-            rows = stored(rows, "near-nodes")
+        for _ in range(self.depth):
+            rows = stored(rows.select("k1", "k2", F.explode(_children(F.col("node"))).alias("node")), "near-nodes")
             counts = rows.groupBy("node").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
-            crowded = stored(rows.join(counts, "node").join(self.classes.select("k1", "k2", "tokens"), ["k1", "k2"]), "near-shared")
-            small = crowded.filter(F.col("c") <= self.node_limit).select("node", "k1", "k2", "tokens")
-            found.append(small.repartition("node").sortWithinPartitions("node").mapInArrow(_node_runs(self.least), _PAIR))
-            rows = crowded.filter(F.col("c") > self.node_limit).select("node", "k1", "k2", "tokens")
-        self.crowded = rows  # nodes that stay crowded below the last level
-        pairs = found[0]
+            shared = stored(rows.join(counts, "node").join(self.classes.select("k1", "k2", "tokens"), ["k1", "k2"]), "near-shared")
+            small = shared.filter(F.col("c") <= self.node_limit).select("node", "k1", "k2", "tokens")
+            found.append(small.repartition("node").sortWithinPartitions("node").mapInArrow(_node_runs(self.least), _GROUP))
+            rows = shared.filter(F.col("c") > self.node_limit).select("node", "k1", "k2", "tokens")
+            if not rows.limit(1).count():
+                break
+        self.crowded = rows
+        out = found[0]
         for more in found[1:]:
-            pairs = pairs.unionByName(more)
-        self.centred = stored(self._centre_pairs(), "near-centred")
-        return stored(pairs.unionByName(self._best(self.centred)).dropDuplicates(["a1", "a2", "b1", "b2"]), "near-pairs")
+            out = out.unionByName(more)
+        return stored(out.distinct(), "near-groups")
 
-    def _centre_pairs(self) -> DataFrame:
-        """(node, k1, k2, agree, c1, c2): every class of a crowded node with the node's centre."""
+    def centred(self) -> DataFrame:
+        """(node, k1, k2, c1, c2): every class of a crowded node with the node's centre."""
         drawn = self.crowded.withColumn("draw", F.xxhash64("k1", "k2", "node"))
         sizes = self.crowded.groupBy("node").agg(F.count(F.lit(1)).alias("c"))
         sample = drawn.join(sizes, "node").filter(F.pmod("draw", F.col("c")) < 256)  # about 256 of each node
         common = sample.select("node", "tokens").groupBy("node").applyInArrow(_consensus, "node long, common array<int>")
         scored = self.crowded.join(common, "node").withColumn("near", _agreeing("tokens", "common"))
         centre = scored.groupBy("node").agg(F.max(F.struct("near", "k1", "k2")).alias("m"))
-        centre = centre.select("node", F.col("m.k1").alias("c1"), F.col("m.k2").alias("c2"))
-        own = self.classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("tokens").alias("centre"))
-        return (self.crowded.join(centre.join(own, ["c1", "c2"]), "node").withColumn("agree", _agreeing("tokens", "centre"))
-                .select("node", "k1", "k2", "c1", "c2", "agree"))
-
-    def _best(self, centred: DataFrame) -> DataFrame:
-        """The best centre of each class, as a pair."""
-        other = centred.filter((F.col("k1") != F.col("c1")) | (F.col("k2") != F.col("c2"))).filter(F.col("agree") >= self.least)
-        best = other.groupBy("k1", "k2").agg(F.max(F.struct("agree", "c1", "c2")).alias("m")).select("k1", "k2", "m.*")
-        first = (F.col("k1") < F.col("c1")) | ((F.col("k1") == F.col("c1")) & (F.col("k2") < F.col("c2")))
-        return best.select(F.when(first, F.col("k1")).otherwise(F.col("c1")).alias("a1"), F.when(first, F.col("k2")).otherwise(F.col("c2")).alias("a2"),
-                           F.when(first, F.col("c1")).otherwise(F.col("k1")).alias("b1"), F.when(first, F.col("c2")).otherwise(F.col("k2")).alias("b2"), "agree")
+        return self.crowded.join(centre.select("node", F.col("m.k1").alias("c1"), F.col("m.k2").alias("c2")), "node").select("node", "k1", "k2", "c1", "c2")
 
     def shingle_sets(self, keys: DataFrame) -> DataFrame:
-        """(k1, k2, shingles) of the wanted classes, from the text of one document each."""
-        wanted = keys.join(self.classes.select("k1", "k2", F.col("doc_id").alias("id")), ["k1", "k2"])
-        texts = self.docs.join(wanted, F.col("doc_id").cast("long").eqNullSafe(F.col("id"))).select("k1", "k2", "text")
+        """(k1, k2, shingles) of the wanted classes, from one text of each; the text's hash goes with its id, which may be null or repeated."""
+        wanted = keys.join(self.classes.select("k1", "k2", "example"), ["k1", "k2"])
+        rows = self.docs.withColumn("h", F.xxhash64("text"))
+        same = (rows["h"] == wanted["example.h"]) & rows["doc_id"].cast("long").eqNullSafe(wanted["example.doc_id"])
+        texts = rows.join(wanted, same).select("k1", "k2", "text")
         return texts.mapInArrow(_set_rows(self.size), "k1 long, k2 long, shingles binary").dropDuplicates(["k1", "k2"])
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose full sets are similar enough, as (a, b) of class keys."""
+        """The pairs (a1, a2, b1, b2) whose full sets are similar enough, as (a, b) of class keys."""
         left = self.sets.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("shingles").alias("sa"))
         right = self.sets.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("shingles").alias("sb"))
         both = pairs.select("a1", "a2", "b1", "b2").join(left, ["a1", "a2"]).join(right, ["b1", "b2"])
-        return both.filter(_confirm(self.percent)("sa", "sb")).select(F.struct(F.col("a1").alias("k1"), F.col("a2").alias("k2")).alias("a"),
-                                                                      F.struct(F.col("b1").alias("k1"), F.col("b2").alias("k2")).alias("b"))
-
-    def _open(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs whose ends are not yet in one component."""
-        a = labels.select(F.col("node.k1").alias("a1"), F.col("node.k2").alias("a2"), F.col("label").alias("la"))
-        b = labels.select(F.col("node.k1").alias("b1"), F.col("node.k2").alias("b2"), F.col("label").alias("lb"))
-        return pairs.join(a, ["a1", "a2"], "left").join(b, ["b1", "b2"], "left").filter("la is null or lb is null or la <> lb").drop("la", "lb")
+        return both.filter(_confirm(self.percent)("sa", "sb")).select(_keyed("a1", "a2").alias("a"), _keyed("b1", "b2").alias("b"))
+
+    def group_links(self, groups: DataFrame) -> DataFrame:
+        """(a, b): links of groups (gid, k1, k2, lead); in each group its leading classes meet all classes."""
+        sized = groups.join(self.classes.select("k1", "k2", "n"), ["k1", "k2"])
+        blocks = lambda rows, shingles: F.greatest(F.ceil(rows / self.block_rows), F.ceil(shingles / self.block_shingles), F.lit(1)).cast("int")
+        led = F.when(F.col("lead"), F.col("n")).otherwise(0)
+        cuts = sized.groupBy("gid").agg(blocks(F.count(F.lit(1)), F.sum("n")).alias("all"), blocks(F.sum(F.col("lead").cast("long")), F.sum(led)).alias("leads"))
+        dealt = sized.join(cuts, "gid")  # "whole": all lead, so a single block holds its pairs
+        draw = lambda c: F.pmod(F.xxhash64("k1", "k2"), F.col(c)).cast("int")
+        place = lambda i, j, second: F.struct(i.alias("i"), j.alias("j"), F.lit(second).alias("second"))
+        every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+        as_lead = F.when(F.col("lead"), F.transform(every("all"), lambda j: place(draw("leads"), j, False))).otherwise(F.array().cast("array<struct<i:int,j:int,second:boolean>>"))
+        as_other = F.transform(every("leads"), lambda i: place(i, draw("all"), True))
+        alone = F.array(place(F.lit(0), F.lit(0), False))
+        spread = dealt.select("gid", "k1", "k2", F.explode(F.when((F.col("all") == 1) & F.col("whole"), alone).otherwise(F.concat(as_lead, as_other))).alias("p")).select("gid", "k1", "k2", "p.*")
+        rows = spread.join(self.sets, ["k1", "k2"]).select("gid", "i", "j", "second", "k1", "k2", "shingles")
+        found = rows.groupBy("gid", "i", "j").applyInArrow(_block_links(self.percent), "a1 long, a2 long, b1 long, b2 long")
+        return found.distinct().select(_keyed("a1", "a2").alias("a"), _keyed("b1", "b2").alias("b"))
 
     def labels(self) -> DataFrame:
         """(node, label): component of each class that has a link, from enough confirmed links to join all that any chain of links joins."""
-        pairs = self.candidates()
-        ends = pairs.select(F.col("a1").alias("k1"), F.col("a2").alias("k2")).unionByName(pairs.select(F.col("b1").alias("k1"), F.col("b2").alias("k2")))
-        loose = self.centred.select("k1", "k2")
-        self.sets = stored(self.shingle_sets(ends.unionByName(loose).distinct()), "near-sets")
-        one = F.struct("agree", "b1", "b2")
-        forth = pairs.groupBy("a1", "a2").agg(F.max(one).alias("m")).select("a1", "a2", "m.b1", "m.b2")
-        other = F.struct("agree", "a1", "a2")
-        back = pairs.groupBy("b1", "b2").agg(F.max(other).alias("m")).select("m.a1", "m.a2", "b1", "b2")
-        best = forth.unionByName(back).unionByName(self._best(self.centred).drop("agree")).distinct()
-        links = stored(self.confirm(best), "near-links")
+        groups = self.groups()
+        crowded = bool(self.crowded.limit(1).count())
+        wanted = groups.select("k1", "k2")
+        self.sets = stored(self.shingle_sets((wanted.unionByName(self.crowded.select("k1", "k2")) if crowded else wanted).distinct()), "near-sets")
+        links = stored(self.group_links(groups.withColumns({"lead": F.lit(True), "whole": F.lit(True)})), "near-links")
+        if not crowded:
+            return components(links)
+        centred = stored(self.centred(), "near-centred")
+        near = self.confirm(centred.filter("k1 <> c1 or k2 <> c2").select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("c1").alias("b1"), F.col("c2").alias("b2")).distinct())
+        links = stored(links.unionByName(near), "near-links")
         labels = components(links)
-        rest = self._open(pairs, labels)
-        links = stored(links.unionByName(self.confirm(rest)), "near-links")
-        return self._crowded_labels(links, components(links, known=labels), pairs.select("a1", "a2", "b1", "b2"))
-
-    def _crowded_labels(self, links: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
-        """Adds the links of classes of crowded nodes that are not in the component of their node's centre; the labels after that."""
-        tokens, ends, k = self.classes.select("k1", "k2", "tokens"), ["a1", "a2", "b1", "b2"], 1
-        names = ["node", "block", "k1", "k2", "tokens", "g"]
-        while True:
-            group = labels.select("node.k1", "node.k2", F.xxhash64("label.k1", "label.k2").alias("g"))
-            centre = group.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("g").alias("gc"))
-            rows = (self.centred.select("node", "k1", "k2", "c1", "c2").join(group, ["k1", "k2"], "left").join(centre, ["c1", "c2"], "left")
-                    .select("node", "k1", "k2", F.coalesce("g", F.xxhash64("k1", "k2")).alias("g"), F.coalesce("gc", F.xxhash64("c1", "c2")).alias("gc")))
-            rows = stored(rows, "near-members")
-            lone = rows.filter("g <> gc")
-            if not lone.limit(1).count():
-                return labels
-            sizes = rows.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-            left = lone.join(sizes, "node").join(tokens, ["k1", "k2"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            right = (rows.join(lone.select("node").distinct(), "node", "left_semi").join(sizes, "node").join(tokens, ["k1", "k2"])
-                     .withColumn("block", F.pmod(F.xxhash64("k1", "k2"), F.col("blocks")).cast("int")))
-            right = right.select(*[F.col(c).alias(c if c in ("node", "block") else f"r_{c}") for c in names])
-            found = stored(left.select(*names).groupBy("node", "block").cogroup(right.groupBy("node", "block"))
-                           .applyInArrow(_block_pairs(self.least, k), _PAIR + ", more boolean"), "near-blocks")
-            new = stored(found.select(*ends).distinct().join(tried, ends, "left_anti"), "near-new")
-            if new.limit(1).count():
-                added = stored(self.confirm(new), "near-links")
-                tried = tried.unionByName(new)
-                if added.limit(1).count():
-                    links = links.unionByName(added)
-                    labels = components(links, known=labels)
-            if not found.filter("more").limit(1).count():
-                return labels
-            k *= 8
+        group = labels.select("node.k1", "node.k2", "label")
+        centre = group.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), F.col("label").alias("centre"))
+        rows = centred.join(group, ["k1", "k2"], "left").join(centre, ["c1", "c2"], "left")
+        outside = F.coalesce("label", F.struct("k1", "k2")) != F.coalesce("centre", F.struct(F.col("c1").alias("k1"), F.col("c2").alias("k2")))
+        rows = stored(rows.select(F.col("node").alias("gid"), "k1", "k2", outside.alias("lead")), "near-members")
+        open_nodes = rows.filter("lead").select("gid").distinct()  # the others are one component each
+        more = self.group_links(rows.join(open_nodes, "gid", "left_semi").withColumn("whole", F.lit(False)))
+        return components(stored(links.unionByName(more), "near-links"), known=labels)
 
     def named(self) -> DataFrame:
         """(k1, k2, doc_id, label): component of every class, its own key if it has no link."""

@@ -158,14 +158,47 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("limit", [64, 3])
-def test_near_duplicates(spark, limit, monkeypatch):
+@pytest.mark.parametrize("limit,block", [(2048, 2048), (64, 5), (3, 7)])
+def test_near_duplicates(spark, limit, block):
     rows = near_rows()
-    join = near_dedup.ChosenPathJoin(docs(spark, rows), 4, 80, node_limit=limit)
+    join = near_dedup.ChosenPathJoin(docs(spark, rows), 4, 80, node_limit=limit, block_rows=block, block_shingles=10_000)
     out = join.membership().select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")))
     assert sorted((tuple(r) for r in out.collect()), key=str) == near_brute(rows, 4, 80)
 
 
+def test_set_intersections(monkeypatch):
+    rng = np.random.default_rng(5)
+    left, right = ([np.unique(rng.integers(0, 400, rng.integers(0, 90)).astype(np.uint64)) for _ in range(n)] for n in (70, 90))
+    want = [[len(set(a.tolist()) & set(b.tolist())) for b in right] for a in left]
+    for often in (0, 10, 1000):
+        monkeypatch.setattr(near_dedup, "OFTEN", often)
+        assert near_dedup.intersections(left, right).tolist() == want
+
+
+def test_near_duplicates_recall(spark):
+    """Pairs just above the threshold, with others just below it around them: what the token filter and the trees lose, measured."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(400):
+        words = [f"g{g}w{i}" for i in range(123)]  # 120 shingles of four words
+        other = list(words)
+        other[40] = other[90] = "x"  # 8 of them differ on each side: 112 / 128 = 0.875
+        third = list(other)
+        third[int(rng.integers(45, 60))] = "y"  # 0.76 from the first, 0.87 from the second
+        rows += [(3 * g, " ".join(words)), (3 * g + 1, " ".join(other)), (3 * g + 2, " ".join(third))]
+    got = near_dedup.near_duplicates(docs(spark, rows), 4, 80).select("doc_id", "component_id").collect()
+    assert {r[0]: r[1] for r in got} == {i: i // 3 * 3 for i in range(1200)}
+
+
+def test_near_duplicates_many_null_and_repeated_ids(spark):
+    texts = [" ".join(f"t{i}w{j}" for j in range(30)) for i in range(150)]
+    rows = [(None, t) for t in texts] + [(None, t + " end") for t in texts] + [(7, t + " END") for t in texts]
+    join = near_dedup.ChosenPathJoin(docs(spark, rows), 4, 80)
+    assert join.shingle_sets(join.classes.select("k1", "k2")).count() == 300
+    got = join.membership().select("k1", "k2", "doc_id", "component_id").collect()
+    assert len(got) == 450 and {r["component_id"] for r in got} == {7}
+
+
 def test_near_duplicates_on_documents(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r[0], r[1]) for r in df.select("doc_id", "text").collect()]
