@@ -29,7 +29,11 @@ def grouped_gram(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
             named = {k: [v] * len(g) for k, v in zip(keys, key)}
             yield pd.DataFrame({**named, "i": np.arange(len(g)), "row": list(g)})
 
-    parts = df.select(*keys, vector).mapInPandas(run, out)
+    return summed_rows(df.select(*keys, vector).mapInPandas(run, out), keys)
+
+
+def summed_rows(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds up the tasks' matrices: one array ``row`` per key and row index ``i``."""
     cells = parts.select(*keys, "i", F.posexplode("row").alias("j", "v")).groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"))
     rows = F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda s: s["v"])  # one matrix row
     return cells.groupBy(*keys, "i").agg(rows.alias("row"))

@@ -8,6 +8,7 @@ from evalspark.operators import ensemble as E
 from evalspark.operators import fusion as U
 from evalspark.operators import joins as J
 from evalspark.operators import linear as L
+from evalspark.operators import logistic as C
 from evalspark.operators import metrics as M
 from evalspark.operators import neighbours as N
 from evalspark.operators import ordering as O
@@ -246,6 +247,61 @@ def k12b(spark, d):
     return rounded(w.drop("alpha"), "weight", "abs_normalized_contribution", digits=4)
 
 
+NEWTON_STEPS = 12
+
+
+def newton_sql(steps: int) -> str:
+    """Newton steps of the penalised log loss with two members and an intercept, for every dataset and fold left out (-1: none)."""
+    det = "(h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02))"
+    adj = [["h11 * h22 - h12 * h12", "h02 * h12 - h01 * h22", "h01 * h12 - h02 * h11"], ["h02 * h12 - h01 * h22", "h00 * h22 - h02 * h02", "h01 * h02 - h00 * h12"],
+           ["h01 * h12 - h02 * h11", "h01 * h02 - h00 * h12", "h00 * h11 - h01 * h01"]]
+    out = ["c0 AS (SELECT dataset, fit, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2 FROM (SELECT dataset, folds FROM plan WHERE method <> 'average') p, LATERAL (SELECT unnest(range(-1, folds)) AS fit))"]
+    x = ["1.0::DOUBLE", "f1", "f2"]
+    for k in range(steps):
+        sums = ", ".join(f"sum(p * (1 - p) * {x[i]} * {x[j]}) + {int(i == j)} AS h{i}{j}" for i in range(3) for j in range(i, 3))
+        grads = ", ".join(f"sum((p - y) * {x[i]}) + min(w{i}) AS g{i}" for i in range(3))
+        out.append(f"""s{k} AS MATERIALIZED (SELECT dataset, fit, min(w0) AS w0, min(w1) AS w1, min(w2) AS w2, {sums}, {grads}
+ FROM (SELECT c.*, y, f1, f2, 1 / (1 + exp(-(w0 + w1 * f1 + w2 * f2))) AS p FROM fitted t JOIN c{k} c ON c.dataset = t.dataset AND c.fit <> t.fold) GROUP BY dataset, fit)""")
+        moved = ", ".join(f"w{i} - ({' + '.join(f'({adj[i][j]}) * g{j}' for j in range(3))}) / {det} AS w{i}" for i in range(3))
+        out.append(f"c{k + 1} AS MATERIALIZED (SELECT dataset, fit, {moved} FROM s{k})")
+    return ",\n".join(out)
+
+
+CLASS_STACK_SQL = f"""b AS (SELECT *, CASE WHEN row_id % 5 = 0 THEN 'test' ELSE 'train' END AS split FROM v_binary),
+x AS (SELECT dataset, split, row_id, min(observed) AS observed, max(predicted) FILTER (model = 'raw') AS f1, max(predicted) FILTER (model = 'unit') AS f2 FROM b GROUP BY ALL),
+n AS (SELECT dataset, count(DISTINCT observed) AS classes, max(observed) AS high, count_if(observed = (SELECT max(observed) FROM x)) AS ones, count(*) AS rows_n FROM x WHERE split = 'train' GROUP BY dataset),
+plan AS (SELECT *, CASE WHEN classes <> 2 THEN 'average' WHEN least(ones, rows_n - ones) < 2 THEN 'no_folds' ELSE 'out_of_fold' END AS method,
+ CASE WHEN classes = 2 AND least(ones, rows_n - ones) >= 2 THEN CAST(least(5, ones, rows_n - ones) AS BIGINT) ELSE 0::BIGINT END AS folds FROM n),
+fitted AS MATERIALIZED (SELECT x.*, plan.method, CAST(observed = high AS INTEGER) AS y, CASE WHEN folds = 0 THEN -2 ELSE (row_number() OVER (PARTITION BY x.dataset ORDER BY observed,
+ CAST('0x' || substr(sha1(concat('42:', CAST(row_id AS VARCHAR))), 1, 12) AS BIGINT), row_id) - 1) % greatest(folds, 1) END AS fold FROM x JOIN plan ON plan.dataset = x.dataset WHERE split = 'train' AND method <> 'average'),
+{newton_sql(NEWTON_STEPS)}"""
+VB = ("v_binary",)
+
+
+def class_stacked(spark, d):
+    p = V.v_binary(spark, d).withColumn("split", F.when(F.col("row_id") % 5 == 0, "test").otherwise("train"))
+    return C.class_stack(p, DS, "row_id")
+
+
+@query("k12_class_stacking", f"""WITH {CLASS_STACK_SQL},
+p AS (SELECT t.dataset, split, row_id, observed, 1 / (1 + exp(-(w0 + w1 * f1 + w2 * f2))) AS predicted, method FROM fitted t JOIN c{NEWTON_STEPS} c ON c.dataset = t.dataset AND c.fit = greatest(t.fold, -1)
+UNION ALL SELECT x.dataset, split, row_id, observed, 1 / (1 + exp(-(w0 + w1 * f1 + w2 * f2))), method FROM x JOIN plan ON plan.dataset = x.dataset JOIN c{NEWTON_STEPS} c ON c.dataset = x.dataset AND c.fit = -1 WHERE split = 'test'
+UNION ALL SELECT x.dataset, split, row_id, observed, (f1 + f2) / 2, method FROM x JOIN plan ON plan.dataset = x.dataset WHERE method = 'average')
+SELECT dataset, split, row_id, observed, round(predicted, 6) AS predicted, method FROM p""", VB)
+def k12c(spark, d):
+    """Labels from two scores: logistic meta model, stratified out-of-fold probabilities."""
+    return rounded(class_stacked(spark, d)[0], "predicted")
+
+
+@query("k12_class_stacking_weights", f"""WITH {CLASS_STACK_SQL},
+w AS (SELECT p.dataset, method, CAST(folds AS BIGINT) AS folds, CASE WHEN method = 'average' THEN 0.5::DOUBLE ELSE w1 END AS w1, CASE WHEN method = 'average' THEN 0.5::DOUBLE ELSE w2 END AS w2
+ FROM plan p LEFT JOIN (SELECT * FROM c{NEWTON_STEPS} WHERE fit = -1) c ON c.dataset = p.dataset),
+l AS (SELECT *, 'raw' AS model, w1 AS weight FROM w UNION ALL SELECT *, 'unit', w2 FROM w)
+SELECT dataset, method, folds, model, round(weight, 6) AS weight, round(abs(weight) / (abs(w1) + abs(w2)), 6) AS abs_normalized_contribution FROM l""", VB)
+def k12d(spark, d):
+    return rounded(class_stacked(spark, d)[1], "weight", "abs_normalized_contribution")
+
+
 FUSION_SQL = f"""c AS (SELECT dataset, split, row_id FROM v_pred GROUP BY ALL HAVING count(*) = 3),
 t AS (SELECT p.* FROM v_pred p JOIN c USING (dataset, split, row_id)),
 l AS (SELECT dataset, model, sqrt(avg((observed - predicted) ** 2)) AS loss FROM t WHERE split = 'train' GROUP BY ALL),
