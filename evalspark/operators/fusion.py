@@ -2,7 +2,8 @@
 
 Fused values are linear in the members' predictions (or ranks) and weights sum to one, so squared-error losses of all
 subsets follow from one table of error products per dataset: a single pass over the rows, whatever the number of
-subsets. Other losses spread each row over the candidates and aggregate map-side.
+subsets. Absolute and threshold losses spread each row over the candidates and aggregate map-side; losses on ranks sort
+the scores of all candidates in one stream.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from evalspark.session import durable
 
 EPS = 1e-12
 VARIANTS = ("ac", "wcp", "wcds")
+ERRORS = ("rmse", "mse", "mae")
+RANKED = ("roc_auc", "auprc")
+THRESHOLDED = ("accuracy", "balanced_accuracy", "mcc")
 
 
 def subset_count(n_models: int, min_models: int = 2, max_models: int | None = None) -> int:
@@ -70,7 +74,12 @@ def profile_diversity(train: DataFrame, keys: Sequence[str], row: Sequence[str],
 def base_strengths(train: DataFrame, keys: Sequence[str], diversity: DataFrame, metric: str = "rmse") -> DataFrame:
     """Loss, 1 / loss and mean diversity per model; diversity counts as 1 where all of it vanishes."""
     e = M.regression_errors(train, [*keys, "model", "idx"])
-    loss = M.as_loss(F.lit(metric), F.col(metric if metric in e.columns else "mae"), F.col("mae"))
+    if metric in ERRORS:
+        loss = M.as_loss(F.lit(metric), F.col(metric), F.col("mae"))
+    else:
+        of = M.ranking_metrics if metric in RANKED else M.confusion_metrics
+        e = key_join(e, of(train, [*keys, "model", "idx"]).select(*keys, "model", "idx", metric), [*keys, "model", "idx"])
+        loss = M.as_loss(F.lit(metric), F.col(metric), F.col("mae"))
     d = diversity.groupBy(*keys, F.col("model_a").alias("model")).agg(F.avg("cd").alias("_d"))
     top = d.groupBy(*keys).agg(F.max("_d").alias("_top"))
     j = key_join(key_join(e, d, [*keys, "model"], "left"), top, keys, "left")
@@ -183,12 +192,50 @@ def absolute_losses(train: DataFrame, candidates: DataFrame, calibrated: DataFra
     return key_join(calibrated.drop("score", "rank"), out, [*keys, "mask", "variant"])
 
 
+def class_losses(train: DataFrame, calibrated: DataFrame, keys: Sequence[str], row: Sequence[str], metric: str,
+                 digits: int = 9) -> DataFrame:
+    """1 - score of every candidate and space for a metric on two classes (MCC mapped to [0, 1] first); 1 where it has none.
+
+    Rows meet the candidates of their dataset and become (candidate, score) counts in their task. Scores are rounded to
+    ``digits``, so that sums of equal parts in another order still tie.
+    """
+    entry = F.array_sort(F.collect_list(F.struct("idx", "predicted", "rank_down")))  # one entry per model
+    ends = train.groupBy(*keys).agg(F.min("observed").alias("_y0"), F.max("observed").alias("_y1"), F.count_if(F.col("observed").isNull()).alias("_none"))
+    g = train.groupBy(*keys, *row).agg(F.min("observed").alias("observed"), entry.alias("_e"))
+    j = key_join(g, ends, keys)
+    label = F.when((F.col("_y0") < F.col("_y1")) & (F.col("_none") == 0), F.when(F.col("observed") == F.col("_y1"), 1).when(F.col("observed") == F.col("_y0"), 0))
+    data = j.select(*keys, label.alias("label"), F.transform("_e", lambda e: e["predicted"]).alias("p"), F.transform("_e", lambda e: e["rank_down"]).alias("r"))
+    spaces = F.array(F.struct(F.lit("score").alias("space"), F.lit(0.0).alias("a"), F.lit(1.0).alias("b")), F.struct(F.lit("rank").alias("space"), F.col("intercept").alias("a"), (-F.col("slope")).alias("b")))
+    entered = calibrated.select(*keys, "mask", "variant", "weights", F.explode(spaces).alias("s")).select(*keys, "mask", "variant", "weights", "s.*")
+    one = [*keys, "mask", "variant", "space"]
+    value = lambda: F.round(F.col("a") + F.col("b") * _dot(F.col("weights"), F.when(F.col("space") == "rank", F.col("r")).otherwise(F.col("p"))), digits)
+    raw = key_join(data, entered, keys).select(*one, "label", value().alias("score"))
+    # Scores outside [0, 1] pass the sigmoid, by candidate: its range decides, one row per candidate.
+    span = durable(raw.groupBy(*one).agg(F.min("score").alias("_p0"), F.max("score").alias("_p1"), F.count_if(F.col("label").isNull()).alias("_bad")))
+    ranged = key_join(data, key_join(entered, span, one), keys).withColumn("v", value())
+    clipped = F.greatest(F.least(F.col("v"), F.lit(30.0)), F.lit(-30.0))
+    scored = ranged.where("_bad = 0").select(*one, "label", F.when((F.col("_p0") >= 0) & (F.col("_p1") <= 1), F.col("v")).otherwise(1 / (1 + F.exp(-clipped))).alias("score"))
+    if metric in RANKED:
+        found = M.streamed_ranking(scored, one).select(*one, metric)
+    else:
+        hit, pos = F.col("score") >= 0.5, F.col("label") == 1
+        counts = scored.groupBy(*one).agg(F.count_if(pos & hit).alias("tp"), F.count_if(~pos & ~hit).alias("tn"), F.count_if(~pos & hit).alias("fp"), F.count_if(pos & ~hit).alias("fn"))
+        found = counts.select(*one, *M.confusion_ratios(F.lit(True))).select(*one, metric)
+    loss = M.as_loss(F.lit(metric), F.col(metric), F.lit(1.0))
+    sides = found.groupBy(*keys, "mask", "variant").agg(F.max(F.when(F.col("space") == "score", loss)).alias("score"), F.max(F.when(F.col("space") == "rank", loss)).alias("rank"))
+    out = key_join(calibrated.drop("score", "rank"), sides, [*keys, "mask", "variant"], "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(1.0)) for c in ("score", "rank")})
+
+
 def candidate_table(pred: DataFrame, keys: Sequence[str], row: Sequence[str], metric: str = "rmse", min_models: int = 2,
                     max_models: int | None = None, rank_space: bool = True, diverse_from: float = 0.15,
                     discount: float = 0.98, table: DataFrame | None = None,
                     rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[DataFrame, DataFrame]:
-    """(candidates with train and adjusted loss, base strengths). ``metric``: rmse, mse or mae; any other name raises."""
-    if metric not in ("rmse", "mse", "mae"):
+    """(candidates with train and adjusted loss, base strengths).
+
+    ``metric``: rmse, mse, mae, or for two classes roc_auc, auprc, accuracy, balanced_accuracy, mcc; any other name raises.
+    """
+    if metric not in (*ERRORS, *RANKED, *THRESHOLDED):
         raise ValueError(f"fusion has no losses for metric {metric!r}")
     t = table if table is not None else durable(fusion_table(pred, keys, row, rows_per_bucket))
     train = t.where("split = 'train'")
@@ -199,6 +246,8 @@ def candidate_table(pred: DataFrame, keys: Sequence[str], row: Sequence[str], me
     losses = squared_losses(train, cand, keys, row)
     if metric == "mae":
         losses = absolute_losses(train, cand, losses, keys, row)
+    elif metric not in ERRORS:
+        losses = class_losses(train, durable(losses), keys, row, metric)
     elif metric == "mse":
         losses = losses.withColumns({"score": F.col("score") * F.col("score"), "rank": F.col("rank") * F.col("rank")})
     j = key_join(losses, subset_diversity(div, base, cand, keys), [*keys, "mask"])

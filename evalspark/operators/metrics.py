@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.cleaning import finite
 from evalspark.operators.ordering import ROWS_PER_BUCKET, checked_join, key_join, prefix_sums, ranks
+from evalspark.session import durable
 
 
 def rmse(y: str, p: str) -> Column:
@@ -97,6 +99,51 @@ def ranking_metrics(df: DataFrame, keys: Sequence[str], y: str = "observed", p:
                     F.when(ok, F.try_divide(F.col("_ap"), F.col("n_pos").cast("double"))).alias("auprc"))
 
 
+def _running_counts(keys: Sequence[str]):
+    """Rows sorted by keys and score: within the partition and key, the counts before each row."""
+    def run(batches):
+        last, pos, neg = None, 0, 0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            ids = list(zip(*(pdf[k] for k in keys)))
+            new = np.array([True] + [a != b for a, b in zip(ids[1:], ids[:-1])])
+            new[0] = ids[0] != last
+            start = np.maximum.accumulate(np.where(new, np.arange(len(ids)), -1))  # -1: the key of the batch before goes on
+            for name, held in (("pos", pos), ("neg", neg)):
+                before = np.concatenate([[0], np.cumsum(pdf[name].to_numpy())])
+                pdf[f"{name}_before"] = before[:-1] - np.where(start < 0, -held, before[start])
+            last, pos, neg = ids[-1], int(pdf["pos_before"].iloc[-1] + pdf["pos"].iloc[-1]), int(pdf["neg_before"].iloc[-1] + pdf["neg"].iloc[-1])
+            yield pdf
+    return run
+
+
+def streamed_ranking(df: DataFrame, keys: Sequence[str], label: str = "label", score: str = "score") -> DataFrame:
+    """ROC-AUC and average precision of very many key groups (such as fusion candidates) from one sorted stream.
+
+    ``label`` is 0 or 1. Equal scores merge before the shuffle; one range partitioning by keys and score serves all groups
+    at any number and size of them, for a group may span partitions: counts run within each partition, and what the
+    partitions before hold of a group (one row per partition and group) is added. Keys must not be null.
+    """
+    merged = df.groupBy(*keys, score).agg(F.sum(label).cast("long").alias("pos"), F.sum(1 - F.col(label)).cast("long").alias("neg"))
+    by_score = merged.repartitionByRange(*keys, score).withColumn("_part", F.spark_partition_id()).sortWithinPartitions(*keys, score)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in by_score.schema.fields)
+    stream = durable(by_score.mapInPandas(_running_counts(keys), f"{fields}, pos_before long, neg_before long"))
+    held = stream.groupBy(*keys, "_part").agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    w = Window.partitionBy(*keys)
+    earlier = w.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = held.select(*keys, "_part", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_off") for c in ("_p", "_n")],
+                          *[F.sum(c).over(w).alias(f"{c}_all") for c in ("_p", "_n")])
+    j = key_join(stream, carried, [*keys, "_part"])
+    tp, fp = F.col("_p_all") - F.col("pos_before") - F.col("_p_off"), F.col("_n_all") - F.col("neg_before") - F.col("_n_off")
+    wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("_n_off") + F.col("neg") / 2))
+    g = j.groupBy(*keys).agg(F.max("_p_all").alias("n_pos"), F.max("_n_all").alias("n_neg"), wins.alias("_wins"),
+                             F.sum(F.col("pos") * F.try_divide(tp, tp + fp)).alias("_ap"))
+    ok = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
+    return g.select(*keys, "n_pos", "n_neg", F.when(ok, F.try_divide(F.col("_wins"), (F.col("n_pos") * F.col("n_neg")).cast("double"))).alias("roc_auc"),
+                    F.when(ok, F.try_divide(F.col("_ap"), F.col("n_pos").cast("double"))).alias("auprc"))
+
+
 def confusion_metrics(df: DataFrame, keys: Sequence[str], y: str = "observed", p: str = "predicted",
                       threshold: float = 0.5) -> DataFrame:
     """Accuracy, balanced accuracy and Matthews correlation at a score threshold."""
@@ -107,16 +154,18 @@ def confusion_metrics(df: DataFrame, keys: Sequence[str], y: str = "observed", p
         F.count_if(one & hit).alias("tp"), F.count_if(zero & ~hit).alias("tn"),
         F.count_if(zero & hit).alias("fp"), F.count_if(one & ~hit).alias("fn"),
         F.count_if(F.col("label").isNull()).alias("_bad"))
+    return g.select(*keys, "tp", "tn", "fp", "fn", *confusion_ratios(F.col("_bad") == 0))
+
+
+def confusion_ratios(ok: Column) -> list[Column]:
+    """Accuracy, balanced accuracy and Matthews correlation from the columns tp, tn, fp and fn; null where not ``ok``."""
     tp, tn, fp, fn = (F.col(c).cast("double") for c in ("tp", "tn", "fp", "fn"))
     sens, spec = F.try_divide(tp, tp + fn), F.try_divide(tn, tn + fp)
     both = (F.coalesce(sens, F.lit(0.0)) + F.coalesce(spec, F.lit(0.0)))
     present = sens.isNotNull().cast("int") + spec.isNotNull().cast("int")
     den = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
-    ok = F.col("_bad") == 0
-    return g.select(*keys, "tp", "tn", "fp", "fn",
-                    F.when(ok, F.try_divide(tp + tn, tp + tn + fp + fn)).alias("accuracy"),
-                    F.when(ok, F.try_divide(both, present)).alias("balanced_accuracy"),
-                    F.when(ok, F.coalesce(F.try_divide(tp * tn - fp * fn, den), F.lit(0.0))).alias("mcc"))
+    return [F.when(ok, F.try_divide(tp + tn, tp + tn + fp + fn)).alias("accuracy"), F.when(ok, F.try_divide(both, present)).alias("balanced_accuracy"),
+            F.when(ok, F.coalesce(F.try_divide(tp * tn - fp * fn, den), F.lit(0.0))).alias("mcc")]
 
 
 def as_loss(metric: Column, value: Column, mae_value: Column) -> Column:

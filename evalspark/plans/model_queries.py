@@ -345,6 +345,52 @@ def k13c(spark, d):
     return best.select("dataset", "models", "variant", r("train_metric").alias("train_metric")).join(rounded(e, "mae"), "dataset")
 
 
+CLASS_FUSION_SQL = """b AS (SELECT * FROM v_binary UNION ALL SELECT DISTINCT dataset, 'hash', row_id, observed, CAST(row_id % 17 AS DOUBLE) / 17 FROM v_binary),
+t AS (SELECT * FROM b WHERE row_id % 5 <> 0 AND dataset IN (SELECT dataset FROM b WHERE row_id % 5 <> 0 GROUP BY dataset HAVING count(DISTINCT observed) = 2)),
+z AS (SELECT *, min(predicted) OVER w AS lo, max(predicted) OVER w AS hi FROM t WINDOW w AS (PARTITION BY dataset, model)),
+u AS (SELECT *, CASE WHEN lo >= 0 AND hi <= 1 THEN predicted ELSE 1 / (1 + exp(-greatest(-30, least(30, predicted)))) END AS score FROM z),
+a AS (SELECT dataset, model, observed, rank() OVER w + (count(*) OVER (PARTITION BY dataset, model, score) - 1) / 2 AS k FROM u WINDOW w AS (PARTITION BY dataset, model ORDER BY score)),
+l AS (SELECT dataset, model, 1 - (sum(k) FILTER (observed = 1) - count_if(observed = 1) * (count_if(observed = 1) + 1) / 2) / (count_if(observed = 1) * count_if(observed = 0)) AS loss FROM a GROUP BY ALL),
+o AS (SELECT dataset, model, row_number() OVER (PARTITION BY dataset, model ORDER BY predicted, row_id) AS i, (predicted - lo) / (hi - lo) AS z FROM z),
+v AS (SELECT a.dataset, a.model, avg((a.z - b.z) ** 2) AS cd FROM o a JOIN o b ON a.dataset = b.dataset AND a.i = b.i AND a.model <> b.model GROUP BY a.dataset, a.model),
+s AS (SELECT * FROM (VALUES ('hash|raw'), ('hash|unit'), ('raw|unit'), ('hash|raw|unit')) x(models)),
+w AS (SELECT l.dataset, s.models, l.model, k.variant, CASE k.variant WHEN 'ac' THEN 1.0::DOUBLE WHEN 'wcp' THEN 1 / loss ELSE cd END AS w
+ FROM l JOIN v ON l.dataset = v.dataset AND l.model = v.model JOIN s ON list_contains(string_split(s.models, '|'), l.model) CROSS JOIN (VALUES ('ac'), ('wcp'), ('wcds')) k(variant)),
+n AS (SELECT *, w / sum(w) OVER (PARTITION BY dataset, models, variant) AS wt FROM w),
+r AS (SELECT *, count(*) OVER (PARTITION BY dataset, model) + 1 - (rank() OVER (PARTITION BY dataset, model ORDER BY predicted) + (count(*) OVER (PARTITION BY dataset, model, predicted) - 1) / 2) AS down FROM t),
+f AS (SELECT r.dataset, models, variant, row_id, min(observed) AS y, sum(wt * predicted) AS p, -sum(wt * down) AS q FROM r JOIN n ON n.dataset = r.dataset AND n.model = r.model GROUP BY ALL),
+g AS (SELECT *, regr_slope(y, q) OVER w AS sl, regr_intercept(y, q) OVER w AS ic FROM f WINDOW w AS (PARTITION BY dataset, models, variant)),
+e AS (SELECT dataset, models, concat('score_', variant) AS variant, y, round(p, 9) AS p FROM g UNION ALL SELECT dataset, models, concat('rank_', variant), y, round(ic + sl * q, 9) FROM g),
+h AS (SELECT *, min(p) OVER w AS lo, max(p) OVER w AS hi FROM e WINDOW w AS (PARTITION BY dataset, models, variant)),
+c AS (SELECT dataset, models, variant, y, CASE WHEN lo >= 0 AND hi <= 1 THEN p ELSE 1 / (1 + exp(-greatest(-30, least(30, p)))) END AS score FROM h),
+d AS (SELECT *, rank() OVER w + (count(*) OVER (PARTITION BY dataset, models, variant, score) - 1) / 2 AS k, sum(y) OVER v AS tp, count(*) OVER v AS up FROM c
+ WINDOW w AS (PARTITION BY dataset, models, variant ORDER BY score), v AS (PARTITION BY dataset, models, variant ORDER BY score DESC))"""
+
+
+def class_candidates(spark, d, metric):
+    b = V.v_binary(spark, d)
+    extra = b.select("dataset", F.lit("hash").alias("model"), "row_id", "observed", ((F.col("row_id") % 17).cast("double") / 17).alias("predicted")).distinct()
+    p = b.unionByName(extra).withColumn("split", F.when(F.col("row_id") % 5 == 0, "test").otherwise("train"))
+    two = p.where("split = 'train'").groupBy("dataset").agg(F.count_distinct("observed").alias("k")).where("k = 2").select("dataset")
+    c, _ = U.candidate_table(p.join(two, "dataset", "left_semi"), DS, ["row_id"], metric)
+    return rounded(c.select("dataset", "models", "variant", "train_metric"), "train_metric")
+
+
+@query("k13_roc_auc_candidates", f"""WITH {CLASS_FUSION_SQL}
+SELECT dataset, models, variant, round(1 - (sum(k) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 6) AS train_metric FROM d GROUP BY ALL""", ("v_binary",))
+def k13d(spark, d):
+    """Every subset of three models in score and rank space by 1 - ROC-AUC."""
+    return class_candidates(spark, d, "roc_auc")
+
+
+@query("k13_auprc_candidates", f"""WITH {CLASS_FUSION_SQL.replace("1 - (sum(k) FILTER (observed = 1) - count_if(observed = 1) * (count_if(observed = 1) + 1) / 2) / (count_if(observed = 1) * count_if(observed = 0)) AS loss FROM a",
+ "1 - sum(tp / up) FILTER (observed = 1) / count_if(observed = 1) AS loss FROM (SELECT dataset, model, observed, sum(observed) OVER w AS tp, count(*) OVER w AS up FROM u WINDOW w AS (PARTITION BY dataset, model ORDER BY score DESC))")}
+SELECT dataset, models, variant, round(1 - sum(tp / up) FILTER (y = 1) / sum(y), 6) AS train_metric FROM d GROUP BY ALL""", ("v_binary",))
+def k13e(spark, d):
+    """The same by 1 - average precision."""
+    return class_candidates(spark, d, "auprc")
+
+
 @query("k14_subset_budget", """
 SELECT event_type AS dataset, count(DISTINCT user_id) // 15 AS n_models, CAST(2 ** (count(DISTINCT user_id) // 15) AS BIGINT) - 1 - count(DISTINCT user_id) // 15 AS subsets FROM events GROUP BY event_type""")
 def k14(spark, d):
