@@ -50,6 +50,10 @@ def class_folds(df: DataFrame, keys: Sequence[str], row_id: str, label: str, fol
     return key_join(df, pos.select(*keys, row_id, F.pmod(F.col("_i"), F.col(folds)).alias("fold")), [*keys, row_id])
 
 
+def _plain(value):
+    return None if pd.isna(value) else value
+
+
 def _sums(keys: Sequence[str]):
     """One pass: per dataset and active fit the rows of (Hessian, gradient, loss) of this task's rows."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -67,7 +71,7 @@ def _sums(keys: Sequence[str]):
                     at = (*key, int(fit["fit"]))
                     sums[at] = sums.get(at, 0.0) + m
         for at, m in sums.items():
-            yield pd.DataFrame({**{k: [v] * len(m) for k, v in zip([*keys, "fit"], at)}, "i": np.arange(len(m)), "row": list(m)})
+            yield pd.DataFrame({**{k: pd.Series([_plain(v)] * len(m), dtype=object) for k, v in zip([*keys, "fit"], at)}, "i": np.arange(len(m)), "row": list(m)})
     return run
 
 
@@ -86,9 +90,9 @@ def _newton(names: Sequence[str], penalty: float, tolerance: float):
             new = w - np.linalg.solve(m[:, :d] + penalty * np.eye(d), m[:, d] + penalty * w)
             best, step = w, np.abs(new - w).max()
         settled = bool(step <= tolerance * (1 + np.abs(new).max()))
-        out = pdf.iloc[[0]][names].copy()
-        out["coef"], out["best"], out["best_loss"], out["steps"], out["settled"] = [new.tolist()], [best.tolist()], loss, first["steps"] + 1, settled
-        return out
+        out = {n: _plain(first[n]) for n in names if n not in ("coef", "best")}
+        out |= {"coef": new.tolist(), "best": best.tolist(), "best_loss": float(loss), "steps": int(first["steps"]) + 1, "settled": settled}
+        return pd.DataFrame([{n: out[n] for n in names}]).astype({n: object for n in names if out[n] is None or isinstance(out[n], str)})
     return run
 
 

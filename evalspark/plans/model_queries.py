@@ -458,6 +458,27 @@ def k1(spark, d):
     return reported(spark, d, regression_models(), False)
 
 
+# The grid of operators.elastic_net.MODEL_ALPHAS and MODEL_L1_RATIOS.
+@query("k1_elastic_net_cv", """WITH b AS (SELECT dataset, row_id, observed AS y, predicted AS x, row_id % 3 AS fold FROM v_pred WHERE model = 'm_k' AND split = 'train'),
+m AS (SELECT dataset, fold, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy, sum(y * y) AS syy FROM b GROUP BY ALL),
+t AS (SELECT dataset, sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy FROM m GROUP BY dataset),
+s AS (SELECT *, sqrt(sxx / n - (sx / n) ** 2) AS sd FROM t),
+g AS (SELECT pow(10, -4 + 4 * i / 11) AS alpha, ratio FROM range(12) r(i), (VALUES (0.4::DOUBLE), (0.8::DOUBLE)) q(ratio)),
+f AS (SELECT m.dataset, fold, m.n AS vn, m.sx AS vx, m.sy AS vy, m.sxx AS vxx, m.sxy AS vxy, m.syy AS vyy, s.n - m.n AS n, (s.sx - m.sx) / (s.n - m.n) AS mx, (s.sy - m.sy) / (s.n - m.n) AS my,
+ (s.sxx - m.sxx) / (s.n - m.n) AS mxx, (s.sxy - m.sxy) / (s.n - m.n) AS mxy, sd FROM m JOIN s ON s.dataset = m.dataset),
+w AS (SELECT f.*, alpha, ratio, sign(mxy - mx * my) * greatest(abs(mxy - mx * my) / sd - alpha * ratio, 0) / ((mxx - mx * mx) / sd ** 2 + alpha * (1 - ratio)) / sd AS w FROM f CROSS JOIN g),
+e AS (SELECT dataset, alpha, ratio, avg((vyy - 2 * w * vxy - 2 * (my - w * mx) * vy + w * w * vxx + 2 * w * (my - w * mx) * vx + vn * (my - w * mx) ** 2) / vn) AS mse FROM w GROUP BY ALL),
+c AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY round(mse, 9), ratio, alpha DESC) AS k FROM e)
+SELECT c.dataset, round(mse, 5) AS cv_mse, round(alpha, 8) AS alpha, ratio AS l1_ratio,
+ round(sign(sxy / n - sx / n * sy / n) * greatest(abs(sxy / n - sx / n * sy / n) / sd - alpha * ratio, 0) / (1 + alpha * (1 - ratio)), 6) AS scaled FROM c JOIN s ON s.dataset = c.dataset WHERE k = 1""", VP)
+def k1b(spark, d):
+    """One feature, so that the path has a closed form; the grid, folds and choice are those of the model table."""
+    from evalspark.operators.elastic_net import elastic_net_cv
+    p = V.v_pred(spark, d).where("model = 'm_k' and split = 'train'").select("dataset", F.array("predicted").alias("x"), F.col("observed").alias("y"), (F.col("row_id") % 3).alias("fold"))
+    out = elastic_net_cv(p, DS, "fold", "x", "y")
+    return rounded(out.select("dataset", r("cv_mse", 5).alias("cv_mse"), r("alpha", 8).alias("alpha"), "l1_ratio", F.col("scaled")[0].alias("scaled")), "scaled")
+
+
 @query("k2_classification_models")
 def k2(spark, d):
     from evalspark.operators.models import classification_models
