@@ -2,12 +2,13 @@
 
 Each shard of about ``SHARD_ROWS`` vectors gets a graph: nodes enter in growing batches, a greedy beam search from the
 central node proposes neighbours, and relaxed distance pruning keeps diverse edges (a candidate goes when a kept one is
-``RELAX`` times closer to it than the node is); reverse edges are pruned the same way. Inner products become distances by one extra component
-that gives all vectors one length. Equal vectors of a shard are one node with its smallest ids. Query blocks meet every shard's
+``RELAX`` times closer to it than the node is); reverse edges are pruned the same way, the nearest 64 where a batch offers a
+node more. Inner products become distances by one extra component that gives all vectors one length. Equal vectors of a shard are one node with its smallest ids. Query blocks meet every shard's
 graph; a beam search finds candidates, exact scores on the original vectors rank them, and a tree merges the lists.
 
 Defined cases: vectors null, zero or holding null or non-finite components take no part; shards with few vectors are
-searched fully; a query's own id is never its candidate; shorter vectors count as padded with zeros; an empty table gives no rows.
+searched fully; a query's own id is never its candidate; rows sharing a query's id are one query, with the smallest of their
+vectors; shorter vectors count as padded with zeros; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm.common import stored
-from evalspark.llm.vectors import deal, matrix, merge_top, parts, spread, valid
+from evalspark.llm.vectors import deal, matrix, merge_top, one_per_id, parts, spread, valid
 
 SHARD_ROWS = 4096
 QUERY_ROWS = 1024
@@ -205,7 +206,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, shard_rows: int =
     graphs = deal(rows.select("vec_id", "v"), shards, "shard", 3).groupBy("shard").applyInArrow(
         _index(longest, k), "shard int, width int, start int, points binary, graph binary, ids binary, offsets binary")
     graphs = stored(graphs, "ann-graphs")
-    queries = spread(deal(rows.filter("is_query").select("vec_id", "v"), blocks, "block", 4), shards, "shard")
+    queries = spread(deal(one_per_id(rows.filter("is_query")), blocks, "block", 4), shards, "shard")
     found = queries.groupBy("shard", "block").cogroup(spread(graphs, blocks, "block").groupBy("shard", "block")).applyInArrow(
         _search(longest, k, beam), "query_id long, vec_id long, score double, tile int")
     return merge_top(found, k)

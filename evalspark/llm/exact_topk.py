@@ -6,7 +6,8 @@ Python numbers beyond.
 
 Defined cases: vectors null or holding null or non-finite components take no part; a query has fewer rows when there are
 fewer candidates; shorter vectors count as padded with zeros; repeated rows are candidates each, and a query's own id is
-never its candidate; an empty table gives no rows. A score beyond 64 bits is reported as the largest 64-bit number.
+never its candidate; rows sharing a query's id are one query, with the smallest of their vectors; an empty table gives no
+rows. A score beyond 64 bits is reported as the largest 64-bit number.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.llm.common import stored
-from evalspark.llm.vectors import TILE_ROWS, deal, matrix, merge_top, parts, spread, top_rows, valid
+from evalspark.llm.vectors import TILE_ROWS, deal, matrix, merge_top, one_per_id, parts, spread, top_rows, valid
 
 _FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("tile", pa.int32())])
 _LARGEST = (1 << 63) - 1
@@ -59,7 +60,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.
     rows = stored(valid(vectors).withColumn("is_query", is_query), "search-rows")
     n = rows.agg(F.count(F.lit(1)).alias("rows"), F.count_if("is_query").alias("queries")).first()
     shards, blocks = parts(n["rows"], tile_rows), parts(n["queries"], tile_rows)
-    queries = spread(deal(rows.filter("is_query").select("vec_id", "v"), blocks, "block", 1), shards, "shard")
+    queries = spread(deal(one_per_id(rows.filter("is_query")), blocks, "block", 1), shards, "shard")
     candidates = spread(deal(rows.select("vec_id", "v"), shards, "shard", 2), blocks, "block")
     candidates = candidates.select(F.col("vec_id").alias("id"), F.col("v").alias("w"), "shard", "block")
     found = queries.groupBy("shard", "block").cogroup(candidates.groupBy("shard", "block")).applyInArrow(

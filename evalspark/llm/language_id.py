@@ -161,11 +161,21 @@ class Model:
         return list(names), score, m[:, -1] if self.names else np.full(n, np.inf)
 
 
-def _drawn(sizes: dict[str, int], per_language: int, seed: int) -> Column:
-    """About ``per_language`` rows of each language, by hash of the id."""
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(per_language / n)) for lang, n in sorted(sizes.items())])
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    return (draw < share) | (share >= 1)
+def _draw(seed: int) -> Column:
+    """A number in [0, 1) by id and text, so that null or repeated ids spread."""
+    return F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
+
+
+def _sizes(labelled: DataFrame, seed: int) -> dict[str, tuple[int, float]]:
+    """Rows of each language and the smallest draw among them."""
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(_draw(seed)).alias("least"))
+    return {r["lang"]: (r["n"], r["least"]) for r in counts.collect()}
+
+
+def _sample(labelled: DataFrame, sizes: dict[str, tuple[int, float]], per_language: int, seed: int) -> DataFrame:
+    """About ``per_language`` rows of each language, at least one; copies of a text (alike in what a draw sees) count once."""
+    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(max(per_language / n, least))) for lang, (n, least) in sorted(sizes.items())])
+    return labelled.filter(_draw(seed) <= share).dropDuplicates(["lang", "doc_id", "text"])
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 17) -> Model:
@@ -174,11 +184,10 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, seed: int = 17) -
     Driver memory: one count per language and 128 KB per binary problem.
     """
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.trim("text") != ""))
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    sizes = {r["lang"]: r["n"] for r in counts.collect()}
+    sizes = _sizes(labelled, seed)
     if not sizes:
         return Model([], {})
-    chosen = labelled.filter(_drawn(sizes, per_language, seed)).select("lang", "text")
+    chosen = _sample(labelled.select("doc_id", "lang", "text"), sizes, per_language, seed).select("lang", "text")
     sample = stored(chosen.mapInArrow(_features, "lang string, index array<int>, value array<float>"), "language-sample")
     langs = sorted(sizes)
     groups: dict[str, list[str]] = {}
@@ -235,10 +244,10 @@ def least_evidence(labelled: DataFrame, model: Model, per_language: int = PER_LA
     Half the evidence that ``CLEAN`` of about ``per_language`` labelled rows reach, which the model must not have learned from.
     """
     labelled = labelled.filter(F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = _sizes(labelled, seed)
     if not sizes:
         return {}
-    right = predict(labelled.filter(_drawn(sizes, per_language, seed)), model).filter(F.col("lang_pred") == F.col("row.lang"))
+    right = predict(_sample(labelled, sizes, per_language, seed), model).filter(F.col("lang_pred") == F.col("row.lang"))
     low = right.groupBy("lang_pred").agg(F.percentile("evidence", F.lit(1 - CLEAN)).alias("m")).collect()
     return {r["lang_pred"]: r["m"] / 2 for r in low}
 

@@ -2,10 +2,12 @@
 
 Documents are tokenized where they are read; only lengths and checksums leave that stage. Pieces are dealt by hash to
 partitions of bounded size, each packed by best fit decreasing. A dual feasible function bound certifies a partition
-whose bin count equals it. As long as the whole corpus has a gap to its bound, partitions give up their emptiest bins
-(more where their own bound shows a gap), and the documents in them are dealt anew and packed together; a group of bins is replaced only when it takes fewer.
+whose bin count equals it. As long as the whole corpus has a gap to its bound, all partitions give up their emptiest bins
+(more where their own bound shows a gap), and the documents in them are dealt anew and packed together; a group of bins is
+replaced only when it takes fewer. Bins settled in one turn take part in the next; a turn that saves no bin is the last.
 
-Defined cases: a null or empty text is one end token; repeated rows are packed once each; an empty table gives no rows.
+Defined cases: a null or empty text is one end token; repeated rows are packed once each, whatever partition they are dealt
+to; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,8 +45,8 @@ class WordCache(dict):
     """Ids of a text as little-endian 32-bit bytes.
 
     The vocabulary drops white space and never joins ids across it, so words are encoded once and looked up afterwards;
-    the cache starts anew when it holds ``CACHE_WORDS`` words. Texts whose normal form could cross that border go
-    through the tokenizer whole.
+    the cache starts anew when it holds ``CACHE_WORDS`` words. Texts whose normal form could cross that border, and texts
+    that may hold an added token (such as ``<|endoftext|>``, one id as the tokenizer is loaded), go through it whole.
     """
 
     ODD = frozenset("\x1c\x1d\x1e\x1fΣİ")
@@ -55,8 +57,8 @@ class WordCache(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.merges = self.tokenizer.model
+        self.heads = {t.content[:2].lower() for t in self.tokenizer.get_added_tokens_decoder().values()}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -77,7 +79,10 @@ class WordCache(dict):
     def encode(self, text: str) -> bytes:
         if not self.ODD.isdisjoint(text) or not unicodedata.is_normalized("NFC", text):
             return self.whole(text)
-        return b"".join(map(self.__getitem__, text.lower().split()))
+        low = text.lower()
+        if any(head in low for head in self.heads):
+            return self.whole(text)
+        return b"".join(map(self.__getitem__, low.split()))
 
 
 def _tokenize(path: str, capacity: int, end_id: int):
@@ -163,14 +168,15 @@ def _pack(capacity: int):
     return fn
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS, rounds: int = 3) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Adds sequence_id and offset to stored pieces of 1 to ``capacity`` ids.
 
     Driver memory: one number per call (rows, bins); histograms have ``capacity`` entries.
     """
     n = pieces.count()
     groups = max(1, math.ceil(n / group_rows))
-    deal = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))
+    # The row's place in the stored table spreads equal rows.
+    deal = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups))
     packed = stored(pieces.withColumn("part", deal).groupBy("part").applyInPandas(_pack(capacity), _PACKED), "packed")
     if n == 0:
         return packed.select(*_names(), F.lit(0).cast("long").alias("sequence_id"), "offset")
@@ -179,37 +185,29 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_RO
     for r in sizes:
         counts[r["length"]] = r["n"]
     bound = least_bins(counts, capacity)
-    done = None
-    for turn in range(rounds + 1):
-        bins = packed.filter(F.col("offset") == 0)
-        parts = bins.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-        held = done.filter(F.col("offset") == 0).count() if done is not None else 0
-        total = held + (parts.agg(F.sum("n")).first()[0] or 0)
-        if total <= bound or turn == rounds:
-            break
+    total, turn = packed.filter(F.col("offset") == 0).count(), 0
+    while total > bound:
         # The emptiest bins of each partition: one, and four more for each bin above the partition's own bound.
-        order = F.row_number().over(_emptiest())
-        give = bins.filter(F.col("fill") < capacity).withColumn("r", order).filter(F.col("r") <= 1 + 4 * F.col("gap")).select("part", "bin")
+        bins = packed.filter((F.col("offset") == 0) & (F.col("fill") < capacity))
+        give = bins.withColumn("r", F.row_number().over(_emptiest())).filter(F.col("r") <= 1 + 4 * F.col("gap")).select("part", "bin")
         marked = packed.join(give.withColumn("give", F.lit(True)), ["part", "bin"], "left")
         pool = stored(marked.filter(F.col("give")).drop("give"), "exchanged")
         rest = marked.filter(F.col("give").isNull()).drop("give")
-        left = pool.filter(F.col("offset") == 0).count()
-        if left < 2:
-            break
         dealt = max(1, math.ceil(pool.count() / group_rows))
-        mixed = pool.withColumn("old", F.struct("part", "bin")).withColumn("part", -1 - F.pmod(F.xxhash64("part", "bin", F.lit(turn)), F.lit(dealt)) - F.lit(turn << 38))
+        mixed = pool.withColumn("old", F.struct("part", "bin")).withColumn("part", -1 - F.pmod(F.xxhash64("part", "bin", F.lit(turn)), F.lit(dealt)) - F.lit(turn << 24))
         before = mixed.filter(F.col("offset") == 0).groupBy("part").agg(F.count(F.lit(1)).alias("before"))
         again = stored(mixed.select(*_names(), "part").groupBy("part").applyInPandas(_pack(capacity), _PACKED), "repacked")
         after = again.filter(F.col("offset") == 0).groupBy("part").agg(F.count(F.lit(1)).alias("after"))
-        better = before.join(after, "part").filter(F.col("after") < F.col("before")).select(F.col("part").alias("ok"))
+        better = stored(before.join(after, "part").filter(F.col("after") < F.col("before")).select(F.col("part").alias("ok"), (F.col("before") - F.col("after")).alias("saved")), "better")
+        saved = better.agg(F.sum("saved")).first()[0] or 0
+        if not saved:
+            break
         kept = mixed.join(better, F.col("part") == F.col("ok"), "left_anti").select(
             *_names(), F.col("old.part").alias("part"), F.col("old.bin").alias("bin"), "offset", "fill", F.lit(0).alias("gap"))
         fresh = again.join(better, F.col("part") == F.col("ok"), "left_semi")
-        settled = rest.select(*packed.columns).unionByName(kept.select(*packed.columns))
-        done = stored(settled if done is None else done.unionByName(settled), "settled")
-        packed = stored(fresh, "fresh")
-    out = packed if done is None else done.unionByName(packed)
-    return out.select(*_names(), (F.col("part") * F.lit(1 << 20) + F.col("bin")).alias("sequence_id"), "offset")
+        packed = stored(rest.select(*packed.columns).unionByName(kept.select(*packed.columns)).unionByName(fresh.select(*packed.columns)), "packed")
+        total, turn = total - saved, turn + 1
+    return packed.select(*_names(), (F.col("part") * F.lit(1 << 20) + F.col("bin")).alias("sequence_id"), "offset")
 
 
 def _names() -> list[str]:

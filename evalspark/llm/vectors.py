@@ -25,6 +25,11 @@ def valid(vectors: DataFrame) -> DataFrame:
             .filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).filter(~odd))
 
 
+def one_per_id(queries: DataFrame) -> DataFrame:
+    """(vec_id, v): rows that share an id are one query, with the smallest of their vectors."""
+    return queries.groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
 def parts(n: int, rows: int = TILE_ROWS) -> int:
     return max(1, math.ceil(n / rows))
 

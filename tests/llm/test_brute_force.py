@@ -226,9 +226,10 @@ def test_keep_one_null_and_repeated_ids(spark):
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
-    rows = hard_rows() + [(50, "Word, WORD. d'été! <|endoftext|> x\x1cy \u0130stanbul \u03a3\u03a3 e\u0301"), (51, "long text " * 5000)]
+    rows = hard_rows() + [(50, "Word, WORD. d'été! <|endoftext|> x\x1cy \u0130stanbul \u03a3\u03a3 e\u0301"), (51, "long text " * 5000),
+                          (52, "x <|endoftext|> y"), (53, "a<|startoftext|>b <|ENDOFTEXT|> <| |>"), (54, "plain words only")]
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
+    assert t.encode("x <|endoftext|> y", add_special_tokens=False).ids == [343, 49407, 344]
     want = []
     for d, text, *_ in rows:
         ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
@@ -247,6 +248,26 @@ def test_packing_round_trip(spark):
     assert len(bins) <= math.ceil(sum(w[3] for w in want) / 2048) + 1
 
 
+def test_equal_rows_are_dealt_apart(spark):
+    pieces = spark.createDataFrame([(None, 0, 0, 700, 5)] * 400, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(4)
+    out = packing.pack(packing.stored(pieces, "equal"), group_rows=20)
+    assert out.select("sequence_id").distinct().count() == 200  # two to a sequence, at best
+    assert out.select((F.col("sequence_id") / (1 << 20)).cast("long")).distinct().count() > 10
+
+
+def test_exchange_goes_on_until_it_saves_nothing(spark):
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(1, 1200, 3000).tolist()
+    pieces = packing.stored(spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], "doc_id long, piece int, start long, length long, ids_crc32 long"), "lengths")
+    out = packing.pack(pieces, group_rows=200).select("sequence_id", "offset", "length").collect()
+    bound = packing.least_bins(np.bincount(lengths, minlength=2049), 2048)
+    assert len({r["sequence_id"] for r in out}) <= bound + 5  # 15 groups, each a bin or more above its share before the exchange
+    fill = defaultdict(list)
+    for r in out:
+        fill[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in v) <= 2048 and sorted(v)[0][0] == 0 for v in fill.values()) and len(out) == 3000
+
+
 def test_least_bins_bounds_best_fit():
     rng = np.random.default_rng(1)
     for _ in range(200):
@@ -280,6 +301,19 @@ def test_exact_search(spark):
     assert {tuple(r) for r in got} == want
 
 
+def test_repeated_query_ids(spark):
+    rng = np.random.default_rng(6)
+    x = [[float(v) for v in r] for r in rng.normal(size=(60, 4))]
+    rows = [(i, v) for i, v in enumerate(x)] + [(20, x[20]), (40, x[3])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for out in (exact_topk.search(df, F.col("vec_id") % 20 == 0, 10), ann.search(df, F.col("vec_id") % 20 == 0, 10)):
+        lists = defaultdict(list)
+        for r in out.collect():
+            lists[r["query_id"]].append(r["vec_id"])
+        assert {q: len(v) for q, v in lists.items()} == {0: 10, 20: 10, 40: 10}
+        assert all(len(set(v)) == 10 for q, v in lists.items() if q != 0)  # 20 and 40 are candidates of 0 twice
+
+
 def test_exact_search_large_numbers(spark):
     df = spark.createDataFrame([(0, [1e7, 3e6]), (1, [2e5, -1e7]), (2, [1e30, 1.0])], "vec_id long, embedding array<double>")
     got = {(r[0], r[2]): r[3] for r in exact_topk.search(df, F.col("vec_id") % 20 == 0).collect()}
@@ -387,6 +421,18 @@ def test_language_edges(spark):
     assert {r[0] for r in one.select("lang_pred").collect()} == {"en"}
 
 
+@pytest.mark.parametrize("per_language", [100, 5])
+def test_language_of_null_and_repeated_ids(spark, per_language):
+    words = {"en": "the and of house tree with".split(), "de": "der und das haus baum mit".split()}
+    rng = np.random.default_rng(7)
+    rows = [(None, " ".join(rng.choice(words[lang], 9)), lang) for lang in ("en", "de") * 300]
+    rows += [(None, "the same text of a house", "en")] * 300 + [(5, "der gleiche text und das haus", "de")] * 300
+    got = language_id.learn_and_predict(docs(spark, rows), per_language).select("row.lang", "lang_pred").collect()
+    assert len(got) == 1200 and np.mean([a == b for a, b in got]) > 0.99
+    copies = language_id.learn_and_predict(docs(spark, [(None, "the same", "en")] * 50 + [(None, "das gleiche", "de")] * 50), 3).select("row.lang", "lang_pred").collect()
+    assert all(a == b for a, b in copies)
+
+
 def test_pipeline_drops_unlearned_languages_and_junk(spark):
     import corpus_pipeline
 
