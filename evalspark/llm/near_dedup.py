@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.common import SPACE, mix64, slices, stored, utf8, words
+from evalspark.llm.common import SPACE, give_back, mix64, slices, stored, utf8, words
 from evalspark.llm.components import components
 
 TOKENS = 64
@@ -39,7 +39,7 @@ BRANCH = 2
 NODE_LIMIT = 2048
 DEPTH = 3
 RECALL = 0.9999
-BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1 << 21
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 19  # a task then works out a million similarities of half a million shingles a side
 OFTEN = 64  # shingles in more sets of a block than this are multiplied as matrix columns
 _MULTIPLIERS = mix64(np.arange(1, TOKENS + 1, dtype=np.uint64)) | np.uint64(1)
 _ADDENDS = mix64(np.arange(1001, TOKENS + 1001, dtype=np.uint64))
@@ -175,6 +175,7 @@ def _node_runs(least: int):
             held = tuple(x[bounds[-1]:] for x in now)
         if held is not None:
             yield _agreeing_groups(*held[1:], least)
+        give_back()
     return fn
 
 
@@ -193,7 +194,7 @@ def _agreeing(a: str, b: str):
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """[i, j]: number of shingles that sets left[i] and right[j] share. Rare shingles meet one by one, common ones as matrix columns."""
-    out = np.zeros((len(left), len(right)), np.int64)
+    out = np.zeros((len(left), len(right)), np.int32)
     if not left or not right:
         return out
     flat = np.concatenate(left + right)
@@ -215,17 +216,17 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
         lo, n = np.searchsorted(held, cols_l[at]), in_right[cols_l[at]]
         place = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         pair = np.repeat(rows_l[at], n) * len(right) + held_by[place]
-        out += np.bincount(pair, minlength=out.size).reshape(out.shape)
+        out += np.bincount(pair, minlength=out.size).reshape(out.shape).astype(np.int32)
     columns = np.cumsum(often) - 1
     total = int(often.sum())
     keep_l, keep_r = often[cols_l], often[cols_r]
     rows_l, cols_l, rows_r, cols_r = rows_l[keep_l], columns[cols_l[keep_l]], rows_r[keep_r], columns[cols_r[keep_r]]
-    for i in range(0, total, 4096):
-        a, b = (np.zeros((n, min(4096, total - i)), np.float32) for n in out.shape)
+    for i in range(0, total, 2048):
+        a, b = (np.zeros((n, min(2048, total - i)), np.float32) for n in out.shape)
         for m, rows, cols in ((a, rows_l, cols_l), (b, rows_r, cols_r)):
-            here = (cols >= i) & (cols < i + 4096)
+            here = (cols >= i) & (cols < i + 2048)
             m[rows[here], cols[here] - i] = 1
-        out += (a @ b.T).astype(np.int64)
+        out += (a @ b.T).astype(np.int32)
     return out
 
 
@@ -239,7 +240,7 @@ def _block_links(percent: int):
         two = np.flatnonzero(second) if second.any() else one
         n = np.array([len(x) for x in sets], np.int64)
         both = intersections([sets[i] for i in one], [sets[i] for i in two])
-        i, j = np.nonzero(100 * both >= percent * (n[one][:, None] + n[two][None, :] - both))
+        i, j = np.nonzero((100 + percent) * both.astype(np.int64) >= percent * (n[one][:, None] + n[two][None, :]))
         # Places stand for classes: one that lies in both blocks is one place.
         _, place = np.unique(np.rec.fromarrays([k1, k2]), return_inverse=True)
         first = np.full(int(place.max()) + 1 if len(place) else 0, -1)
@@ -247,6 +248,7 @@ def _block_links(percent: int):
         label = _joined(len(first), place[one[i]], place[two[j]])
         moved = np.flatnonzero(label != np.arange(len(label)))
         a, b = first[label[moved]], first[moved]
+        give_back()
         return pa.table([pa.array(k1[a]), pa.array(k2[a]), pa.array(k1[b]), pa.array(k2[b])], ["a1", "a2", "b1", "b2"])
     return fn
 
