@@ -106,7 +106,7 @@ def test_subsets_of_many_models(spark):
 
 def test_unknown_fusion_metric_raises(pred):
     with pytest.raises(ValueError):
-        U.candidate_table(pred[1], ["dataset"], ["row_id"], "roc_auc")
+        U.candidate_table(pred[1], ["dataset"], ["row_id"], "f1")
 
 
 def test_penalty_is_chosen_without_the_left_out_fold(spark):
