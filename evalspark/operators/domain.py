@@ -192,3 +192,16 @@ def interpret_rules(df: DataFrame, rules: dict[str, str], others: Sequence[str]
         (n > 0, "Only partial support was found; use this prediction cautiously."),
     ], "All rules flagged this row as out-of-domain.")
     return out.withColumns({"overall_concern": label, "interpretation": text})
+
+
+def domain_metadata(train: DataFrame, features: str = "features", k: int = 5, knn_quantile: float = 0.95,
+                    mahalanobis_quantile: float = 0.975, low_ratio: float = 0.75, **settings: object) -> DataFrame:
+    """One row: the reference's size and settings, and the same as a JSON text ``metadata``.
+
+    Width is that of the widest vector (0 without rows); further settings follow in the JSON in the order given.
+    """
+    size = train.agg(F.count(F.lit(1)).alias("n_training_chemicals"), F.coalesce(F.max(F.size(features)), F.lit(0)).cast("long").alias("n_features"))
+    fixed = {"knn_neighbors": k, "knn_quantile": knn_quantile, "mahalanobis_quantile": mahalanobis_quantile,
+             "low_concern_support_ratio": low_ratio, **settings}
+    out = size.select("*", *[F.lit(v).alias(n) for n, v in fixed.items()])
+    return out.withColumn("metadata", F.to_json(F.struct(*out.columns)))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalspark.functions.cleaning import finite
+from evalspark.operators import linear as L
 from evalspark.operators import metrics as M
 from evalspark.operators.joins import model_pairs
 from evalspark.operators.linear import fold_coefficients, linear_prediction
@@ -24,6 +29,41 @@ def average(pred: DataFrame, keys: Sequence[str]) -> DataFrame:
                                    F.avg("predicted").alias("predicted"))
 
 
+def poisson_weight(row_id: str, seed: int) -> Column:
+    """How often a bootstrap of this seed draws the row: Poisson with mean 1, from the row's own hash (so reruns agree)."""
+    u = F.conv(F.substring(F.sha1(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string"))), 1, 8), 16, 10).cast("double") / 2.0 ** 32
+    steps = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])  # u never exceeds the last step but by rounding
+    return reduce(lambda n, s: n + (u >= float(s)).cast("double"), steps, F.lit(0.0))
+
+
+def seed_ensemble(df: DataFrame, keys: Sequence[str], row_id: str, features: str, target: str, train: Column,
+                  seeds: Sequence[int], alpha: float = 0.0) -> DataFrame:
+    """One linear model per seed and key, fitted on that seed's bootstrap of the train rows; the members' mean for every row.
+
+    All members are fitted from one pass (weighted moment matrices). Rows without features or target are not trained on;
+    a member whose bootstrap is empty takes no part; rows without features or without members get null.
+    """
+    if not seeds:
+        raise ValueError("a seed ensemble needs a seed")
+    whole = F.col(features).isNotNull() & F.col(target).isNotNull() & ~F.exists(features, lambda x: x.isNull() | F.isnan(x))
+    fit = L.with_intercept(df.where(train & whole), features, target).withColumn(
+        "_w", F.array(*[poisson_weight(row_id, s) for s in seeds]))
+    grams = L.weighted_grams(fit, keys, "_x", "_w")
+    schema = T.StructType([*[f for f in df.schema.fields if f.name in keys], T.StructField("coef", T.ArrayType(T.DoubleType()))])
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        gram = np.vstack(pdf.sort_values("i")["row"].to_list())
+        rows = [[pdf[k].iloc[0] for k in keys] + [L.solve_ridge(gram, alpha)]] if gram[0, 0] > 0 else []
+        return pd.DataFrame(rows, columns=[*keys, "coef"])
+
+    members = grams.groupBy(*keys, "member").applyInPandas(solve, schema).groupBy(*keys).agg(F.collect_list("coef").alias("_coefs"))
+    each = F.array_sort(F.transform("_coefs", lambda c: L.linear_prediction(features, c)))  # one order of summing
+    out = key_join(df, members, keys, "left")
+    total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+    return out.withColumn("members", F.coalesce(F.size("_coefs"), F.lit(0)).cast("long")).withColumn(
+        "predicted", F.when(F.col(features).isNotNull(), total / F.size("_coefs"))).drop("_coefs")
+
+
 def aligned_rows(pred: DataFrame, keys: Sequence[str], row: Sequence[str]) -> DataFrame:
     """Predictions of the rows that every member of the dataset predicts; one row per member and row."""
     members = pred.select(*keys, "model").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("_members"))

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +32,29 @@ def grouped_gram(df: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
     return summed_rows(df.select(*keys, vector).mapInPandas(run, out), keys)
 
 
+def weighted_grams(df: DataFrame, keys: Sequence[str], vector: str, weights: str) -> DataFrame:
+    """As ``grouped_gram`` for every entry of the array ``weights``: per key, ``member`` and ``i`` the sums of w * x_i * x_j.
+
+    All members come from one pass over the rows; a task emits one small matrix per key and member.
+    """
+    key_fields = [f for f in df.schema.fields if f.name in keys]
+    out = T.StructType([*key_fields, T.StructField("member", T.LongType()), T.StructField("i", T.LongType()),
+                        T.StructField("row", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple, np.ndarray] = {}
+        for pdf in batches:
+            for key, part in pdf.groupby(list(keys), sort=False, dropna=False):
+                x = np.asarray(part[vector].to_list(), dtype=np.float64)
+                w = np.asarray(part[weights].to_list(), dtype=np.float64)
+                sums[key] = sums.get(key, 0.0) + np.stack([x.T @ (x * w[:, [s]]) for s in range(w.shape[1])])
+        for key, members in sums.items():
+            for s, g in enumerate(members):
+                yield pd.DataFrame({**{k: [v] * len(g) for k, v in zip(keys, key)}, "member": s, "i": np.arange(len(g)), "row": list(g)})
+
+    return summed_rows(df.select(*keys, vector, weights).mapInPandas(run, out), [*keys, "member"])
+
+
 def summed_rows(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Adds up the tasks' matrices: one array ``row`` per key and row index ``i``."""
     cells = parts.select(*keys, "i", F.posexplode("row").alias("j", "v")).groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"))
@@ -95,8 +118,9 @@ def fold_coefficients(df: DataFrame, keys: Sequence[str], fold: str, features: s
     return gram.groupBy(*keys).applyInPandas(run, out)
 
 
-def linear_prediction(features: str = "features", coef: str = "coef"):
+def linear_prediction(features: str = "features", coef: Column | str = "coef"):
     """Intercept plus dot product, inside the JVM."""
+    coef = F.col(coef) if isinstance(coef, str) else coef
     dot = F.aggregate(F.zip_with(F.col(features).cast("array<double>"), F.slice(coef, F.lit(2), F.size(coef)), lambda a, b: a * b),
                       F.lit(0.0), lambda acc, x: acc + x)
     return F.element_at(coef, 1) + dot

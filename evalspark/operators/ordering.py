@@ -216,3 +216,25 @@ def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     within = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     j = key_join(b, carry, [*keys, "_b"])
     return j.withColumn("running_max", F.greatest(F.max(value).over(within), F.col("_carry"))).drop("_b", "_carry")
+
+
+def chained(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str,
+            rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Add ``pos`` (from 0), ``n_rows``, ``first_value`` of the group and ``next_value`` of the following row.
+
+    ``order`` must be unique within the group. The first row of each bucket is carried to the end of the one before, so
+    one group's sequence may span tasks.
+    """
+    b = _bucketed(df, keys, order, rows_per_bucket)
+    whole, by_bucket = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_b")
+    earlier = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
+    heads = b.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_c"), F.min_by(F.struct(value), F.struct(*order)).alias("_h"))
+    heads = heads.select(*keys, "_b", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_o"), F.sum("_c").over(whole).alias("n_rows"),
+                         F.first(f"_h.{value}").over(by_bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+                         .alias("first_value"), F.lead(f"_h.{value}").over(by_bucket).alias("_next"))
+    within = Window.partitionBy(*keys, "_b").orderBy(*order)
+    is_last = F.lead(F.lit(1)).over(within).isNull()
+    return (key_join(b, heads, [*keys, "_b"])
+            .withColumns({"pos": F.row_number().over(within) - 1 + F.col("_o"),
+                          "next_value": F.when(is_last, F.col("_next")).otherwise(F.lead(value).over(within))})
+            .drop("_b", "_o", "_next"))

@@ -16,7 +16,7 @@ from evalspark.functions import columns as K
 from evalspark.functions import taxonomy as T
 from evalspark.functions.cleaning import ERROR_NULL_TOKENS, has_error, null_clean, safe_ratio, strip, to_number
 from evalspark.operators import joins as J
-from evalspark.operators.ordering import best_row, checked_join, first_known, key_join
+from evalspark.operators.ordering import ROWS_PER_BUCKET, best_row, chained, checked_join, first_known, key_join
 from evalspark.session import durable
 
 EPS = 1e-12
@@ -475,3 +475,71 @@ def complete_cases(df: DataFrame, keys: Sequence[str], model: str = "model") ->
     n = pairs.select(model).distinct().agg(F.count(F.lit(1)).alias("_all"))
     g = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("models"))
     return g.crossJoin(F.broadcast(n)).where(F.col("models") == F.col("_all")).drop("_all")  # one-row side
+
+
+# --- progress and budgets --------------------------------------------------------------------------------------
+
+def stage_durations(df: DataFrame, keys: Sequence[str], order: Sequence[str], started: str, stage: str,
+                    rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """A row per stage of each run: how long it took, and how long the stages after it may take.
+
+    A stage ends where the next one of its run starts; the last one is still running and has no duration. ``finished``
+    counts the ended stages up to the row, ``remaining`` those that the run has after them, and the estimate is the mean
+    duration of the finished ones times the remaining ones. ``started`` is in microseconds, so durations are exact; means are whole microseconds, rounded down. Null
+    starts sort first and give null durations.
+    """
+    c = chained(df.select(*keys, *dict.fromkeys([*order, started, stage])), keys, order, started, rows_per_bucket)
+    running = F.col("pos") == F.col("n_rows") - 1
+    finished = F.when(running, F.col("pos")).otherwise(F.col("pos") + 1)
+    span = F.coalesce("next_value", F.when(running, F.col(started))) - F.col("first_value")
+    mean = F.floor(F.try_divide(span, finished))
+    remaining = F.col("n_rows") - finished
+    return c.select(*keys, *[o for o in order if o != started], F.col(stage).alias("stage"),
+                    F.when(running, "running").otherwise("completed").alias("status"),
+                    ((F.col("next_value") - F.col(started)) / 1e6).alias("duration_seconds"), finished.alias("finished"),
+                    remaining.alias("remaining"), (mean / 1e6).alias("mean_seconds"), (mean * remaining / 1e6).alias("eta_seconds"))
+
+
+def token_estimate(sizes: DataFrame, n_rows: str, daily_budget: int, folds: int = 5, test_fraction: float = 0.2,
+                   max_features: int = 0) -> DataFrame:
+    """Cells that a remote model reads per dataset, and whether one day's budget holds them.
+
+    Rows are those of the train side, columns the feature cap or a tenth of the rows (32 at least), and every fold is
+    fitted twice, plus one final fit. Halves round to even.
+    """
+    train = F.greatest(F.rint(F.col(n_rows) * (1.0 - test_fraction)), F.lit(1.0)).cast("long")
+    columns = F.lit(max_features).cast("long") if max_features > 0 else F.greatest(
+        F.rint(0.1 * F.col("estimated_train_rows")).cast("long"), F.lit(32))
+    out = sizes.withColumn("estimated_train_rows", train).withColumn("estimated_columns", columns)
+    out = out.withColumn("estimated_fits", F.lit(max(1, 2 * folds + 1)).cast("long"))
+    out = out.withColumn("estimated_tokens", F.col("estimated_train_rows") * F.col("estimated_columns") * F.col("estimated_fits"))
+    return out.withColumn("fits_daily_budget", F.col("estimated_tokens") <= daily_budget)
+
+
+def reference_run(metrics: DataFrame, newest: Sequence[Column], min_datasets: int = 5) -> DataFrame:
+    """One row: the newest run with enough datasets and tuned rows, else the newest run at all.
+
+    ``newest`` are aggregates over a run's rows, largest first; ties go to the larger run name.
+    """
+    dataset = F.trim(F.col("dataset").cast("string"))
+    tuned = F.coalesce(F.lower(F.trim("workflow")) == "ga_tuned", F.lit(False))
+    runs = metrics.groupBy("run_name").agg(
+        F.count_distinct(dataset).alias("reference_dataset_count"), F.count_if(tuned).alias("reference_tuned_row_count"),
+        F.count(F.lit(1)).alias("reference_rows"), F.struct(*newest).alias("_newest"))
+    fit = (F.col("reference_dataset_count") >= min_datasets) & (F.col("reference_tuned_row_count") > 0)
+    return runs.orderBy(F.desc(fit), F.desc("_newest"), F.desc("run_name")).limit(1).drop("_newest")
+
+
+def resolve_tuned_models(requested: str | None, metrics: DataFrame, keys: Sequence[str], seq: Sequence[Column],
+                         newest: Sequence[Column], min_datasets: int = 5, **limits) -> DataFrame:
+    """Models to tune and why: none if nothing is requested, a stated list, or on ``auto`` what was worth it in an earlier run."""
+    spark = metrics.sparkSession
+    text = (requested or "").strip()
+    schema = "model string, mode string, reference_run string"
+    if text.lower() != "auto":
+        names = dict.fromkeys(n.strip() for n in text.split(",") if n.strip())
+        return spark.createDataFrame([(n, "manual", None) for n in names], schema)
+    run = reference_run(metrics, newest, min_datasets).select("run_name")
+    rows = metrics.join(F.broadcast(run), "run_name")  # one-row side
+    useful = useful_tuned_models(rows, keys, seq, **limits).select(F.col("base_model").alias("model"), F.lit("auto").alias("mode"))
+    return useful.crossJoin(F.broadcast(run.withColumnRenamed("run_name", "reference_run")))  # one-row side

@@ -391,15 +391,29 @@ def e12(spark, d):
 
 
 @query("e13_stage_durations_and_eta", """
-WITH s AS (SELECT user_id, event_id, epoch(ts) AS t, lead(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nt FROM events),
-g AS (SELECT user_id, count(nt) AS finished, avg(nt - t) AS mean_seconds FROM s GROUP BY user_id)
-SELECT user_id, finished, round(mean_seconds, 3) AS mean_seconds, round(mean_seconds * 10, 2) AS eta_seconds FROM g""")
+WITH s AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS t, lead(epoch_us(ts)) OVER w AS nt, first_value(epoch_us(ts)) OVER w AS ft,
+  row_number() OVER w AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+f AS (SELECT *, CASE WHEN pos = n THEN pos - 1 ELSE pos END AS finished FROM s),
+m AS (SELECT *, (coalesce(nt, t) - ft) // nullif(finished, 0) AS mean_us FROM f)
+SELECT user_id, event_id, event_type AS stage, CASE WHEN pos = n THEN 'running' ELSE 'completed' END AS status,
+ round((nt - t)::DOUBLE / 1e6::DOUBLE, 6) AS duration_seconds, finished, n - finished AS remaining, round(mean_us / 1e6::DOUBLE, 6) AS mean_seconds,
+ round(mean_us * (n - finished) / 1e6::DOUBLE, 6) AS eta_seconds FROM m""")
 def e13(spark, d):
-    """The mean gap between consecutive starts telescopes to (last - first) / (n - 1): no ordering is needed."""
-    t = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
-    g = V.table(spark, d, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min(t).alias("a"), F.max(t).alias("b"))
-    mean = C.safe_ratio(F.col("b") - F.col("a"), F.col("n") - 1)
-    return g.select("user_id", (F.col("n") - 1).alias("finished"), r(mean, 3).alias("mean_seconds"), r(mean * 10, 2).alias("eta_seconds"))
+    """Every user's events as the stages of one run: a row per stage, remaining stages counted from the data."""
+    e = V.table(spark, d, "events").withColumn("started", F.unix_micros(F.col("ts").cast("timestamp")))
+    out = R.stage_durations(e, ["user_id"], ["started", "event_id"], "started", "event_type")
+    return rounded(out, "duration_seconds", "mean_seconds", "eta_seconds")
+
+
+@query("b27_token_estimate", """
+WITH s AS (SELECT dataset, count(*) AS n_rows FROM v_entity GROUP BY dataset),
+t AS (SELECT *, greatest(round_even(n_rows * 0.8::DOUBLE, 0), 1)::BIGINT AS estimated_train_rows FROM s),
+c AS (SELECT *, greatest(round_even(0.1::DOUBLE * estimated_train_rows, 0)::BIGINT, 32) AS estimated_columns, 11::BIGINT AS estimated_fits FROM t)
+SELECT *, estimated_train_rows * estimated_columns * estimated_fits AS estimated_tokens,
+ estimated_train_rows * estimated_columns * estimated_fits <= 100000 AS fits_daily_budget FROM c""", ("v_entity",))
+def b27(spark, d):
+    sizes = V.v_entity(spark, d).groupBy("dataset").agg(F.count(F.lit(1)).alias("n_rows"))
+    return R.token_estimate(sizes, "n_rows", 100_000)
 
 
 # --- F: sorts and top-k ---------------------------------------------------------------------------------------------

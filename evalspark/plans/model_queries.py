@@ -187,13 +187,39 @@ def k4(spark, d):
     return rounded(E.average(V.v_pred(spark, d), ["dataset", "split", "row_id"]), "predicted")
 
 
+SEEDS = (0, 1, 2)
+
+
 @query("k9_seed_ensemble", """
-SELECT dataset, row_id, CAST(3 AS BIGINT) AS members, min(observed) AS observed, round(avg(predicted * (1 + s * 0.01::DOUBLE)), 6) AS predicted
-FROM v_pred CROSS JOIN (VALUES (0), (1), (2)) t(s) WHERE model = 'm_lin' GROUP BY dataset, row_id""", VP)
+WITH b AS (SELECT dataset, row_id, observed, predicted AS x, split FROM v_pred WHERE model = 'm_k'),
+u AS (SELECT b.*, seed, ('0x' || substr(sha1(concat(seed, ':', row_id)), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM b CROSS JOIN (VALUES (0), (1), (2)) t(seed) WHERE split = 'train'),
+steps AS (SELECT i, sum(exp(-1::DOUBLE) / factorial(i)::DOUBLE) OVER (ORDER BY i) AS c FROM (SELECT unnest(range(12))::INT AS i)),
+w AS (SELECT u.*, (SELECT count(*) FROM steps WHERE u.u >= c)::DOUBLE AS w FROM u),
+s AS (SELECT dataset, seed, sum(w) AS sw, sum(w * x) / sum(w) AS mx, sum(w * observed) / sum(w) AS my FROM w GROUP BY ALL HAVING sum(w) > 0),
+f AS (SELECT w.dataset, w.seed, coalesce(sum(w * (x - mx) * (observed - my)) / nullif(sum(w * (x - mx) ** 2), 0), 0) AS slope, any_value(mx) AS mx, any_value(my) AS my
+ FROM w JOIN s ON s.dataset = w.dataset AND s.seed = w.seed GROUP BY ALL)
+SELECT b.dataset, row_id, count(*) AS members, min(observed) AS observed, round(avg(my + slope * (x - mx)), 4) AS predicted
+FROM b JOIN f ON f.dataset = b.dataset GROUP BY b.dataset, row_id""", VP)
 def k9(spark, d):
-    p = V.v_pred(spark, d).where("model = 'm_lin'").withColumn("seed", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    p = p.withColumn("predicted", F.col("predicted") * (1 + F.col("seed") * F.lit(0.01)))
-    return rounded(E.average(p, ["dataset", "row_id"]), "predicted")
+    """A model per seed on its own bootstrap of the train rows; the SQL solves the normal equations of one feature."""
+    p = V.v_pred(spark, d).where("model = 'm_k'").withColumn("features", F.array(F.col("predicted"))).drop("predicted")
+    out = E.seed_ensemble(p, DS, "row_id", "features", "observed", F.col("split") == "train", SEEDS)
+    return rounded(out.select("dataset", "row_id", "members", "observed", "predicted"), "predicted", digits=4)
+
+
+@query("k8_tuned_models_from_reference", """
+WITH runs AS (SELECT run_name, count(DISTINCT dataset) AS ds, count(*) FILTER (workflow = 'ga_tuned') AS ga, max(last_order) AS newest FROM v_metrics GROUP BY run_name),
+ref AS (SELECT run_name FROM runs ORDER BY (ds >= 5 AND ga > 0) DESC, newest DESC, run_name DESC LIMIT 1),
+ok AS (SELECT v.*, CASE WHEN primary_metric = 'RMSE' THEN primary_metric_value ELSE -primary_metric_value END AS s FROM v_metrics v JOIN ref ON v.run_name = ref.run_name
+  WHERE error IS NULL OR error = 'nan'),
+o AS (SELECT *, row_number() OVER (PARTITION BY run_name, dataset ORDER BY s, model, attempt) AS rn FROM ok),
+w AS (SELECT DISTINCT replace(model, ' GA', '') AS model FROM o WHERE rn = 1 AND workflow = 'ga_tuned'),
+b AS (SELECT dataset, model, min(s) AS bs FROM ok GROUP BY ALL),
+i AS (SELECT DISTINCT b.model FROM ok g JOIN b ON g.dataset = b.dataset AND replace(g.model, ' GA', '') = b.model
+  WHERE g.workflow = 'ga_tuned' AND bs - s > 0 AND (bs - s) / abs(bs) >= 0.005)
+SELECT model, 'auto' AS mode, run_name AS reference_run FROM (SELECT * FROM w UNION SELECT * FROM i) m CROSS JOIN ref""", ("v_metrics",))
+def k8(spark, d):
+    return R.resolve_tuned_models("auto", V.v_metrics(spark, d), RD, [F.col("model"), F.col("attempt")], [F.max("last_order")])
 
 
 @query("k10_member_filter", """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evalspark.functions import families
 from evalspark.operators import domain as D
 from evalspark.operators import features as X
 from evalspark.operators import joins as J
@@ -150,14 +151,17 @@ def i11(spark, d):
 @query("i12_pooled_subset", """
 WITH u AS (SELECT DISTINCT source_sheet, key, target, fast, slow FROM (
  SELECT 'a' AS source_sheet, md5(text) AS key, CAST(n_chars AS DOUBLE) AS target, CAST(n_chars < 300 AS INT)::DOUBLE AS fast, 0::DOUBLE AS slow FROM documents WHERE lang = 'en'
- UNION ALL SELECT 'b', md5(text), CAST(n_chars AS DOUBLE), 0, CAST(n_chars > 900 AS INT)::DOUBLE FROM documents WHERE lang = 'fr'))
+ UNION ALL SELECT 'b', md5(text), CAST(n_chars AS DOUBLE), 0, CAST(n_chars > 900 AS INT)::DOUBLE FROM documents WHERE lang = 'fr'
+ UNION ALL SELECT 'c', md5(text), CAST(n_chars AS DOUBLE), CAST(n_chars < 300 AS INT)::DOUBLE, CAST(n_chars > 900 AS INT)::DOUBLE FROM documents WHERE lang = 'de'
+ UNION ALL SELECT 'd', md5(text), CAST(n_chars AS DOUBLE), 0, 0 FROM documents WHERE lang = 'es'))
 SELECT source_sheet, count(*) AS n_rows, round(sum(target), 3) AS target_sum, round(sum(fast), 3) AS fast, round(sum(slow), 3) AS slow,
  least(greatest(round_even((SELECT count(*) FROM u) * 0.2::DOUBLE, 0), 1), (SELECT count(*) FROM u) - 1) AS pooled_test_rows FROM u GROUP BY source_sheet""")
 def i12(spark, d):
     docs = V.table(spark, d, "documents").select("lang", F.md5("text").alias("key"), F.col("n_chars").cast("double").alias("target"), "n_chars")
-    a = docs.where("lang = 'en'").select("key", "target", (F.col("n_chars") < 300).cast("int").alias("fast"))
-    b = docs.where("lang = 'fr'").select("key", "target", (F.col("n_chars") > 900).cast("int").alias("slow"))
-    p = S.pooled_subset({"a": a, "b": b}, ["fast", "slow"], "key", 0.2)
+    fast, slow = (F.col("n_chars") < 300).cast("int").alias("fast"), (F.col("n_chars") > 900).cast("int").alias("slow")
+    sheet = lambda lang, *flags: docs.where(F.col("lang") == lang).select("key", "target", *flags)
+    sheets = {"a": sheet("en", fast), "b": sheet("fr", slow), "c": sheet("de", fast, slow), "d": sheet("es")}
+    p = S.pooled_subset(sheets, ["fast", "slow"], "key", 0.2)
     g = p.groupBy("source_sheet").agg(
         F.count(F.lit(1)).alias("n_rows"), r(F.sum("target"), 3).alias("target_sum"), r(F.sum("fast"), 3).alias("fast"),
         r(F.sum("slow"), 3).alias("slow"))
@@ -347,3 +351,28 @@ def l6(spark, d):
                                            word(F.col("event_type") == "click").alias("r3"))
     out = D.interpret_rules(e, {"residual": "r1", "rmse": "r2", "calibration": "r3"})
     return out.drop("r1", "r2", "r3")
+
+
+@query("l7_threshold_metadata", """
+SELECT count(*) AS n_training_chemicals, max(len(embedding)) AS n_features, 5 AS knn_neighbors, 0.95::DOUBLE AS knn_quantile, 0.975::DOUBLE AS mahalanobis_quantile,
+ 0.75::DOUBLE AS low_concern_support_ratio, concat('{"n_training_chemicals":', count(*), ',"n_features":', max(len(embedding)),
+ ',"knn_neighbors":5,"knn_quantile":0.95,"mahalanobis_quantile":0.975,"low_concern_support_ratio":0.75}') AS metadata FROM embeddings WHERE label < 5""")
+def l7(spark, d):
+    return D.domain_metadata(domain_sides(spark, d)[0])
+
+
+@query("j10_family_columns", """
+WITH f AS (SELECT doc_id, n_chars::DOUBLE AS c, (n_chars % 7)::DOUBLE AS c7, len(string_split(text, ' '))::DOUBLE AS w, len(source)::DOUBLE AS s FROM documents)
+SELECT doc_id, 4 AS n_features, 1 AS source_width, 1 AS words_width, 2 AS chars_width, w + 10 * c + 100 * c7 + 1000 * s AS checksum FROM f""")
+def j10(spark, d):
+    """Three families of text columns named with other spellings, repeats and an unknown one, side by side."""
+    docs = V.table(spark, d, "documents")
+    builders = {"chars": F.array(F.col("n_chars"), F.col("n_chars") % 7), "words": F.array(F.size(F.split("text", " ", -1))),
+                "source": F.array(F.length("source"))}
+    chosen = families.selected_families([" Words", "characters", "word", "none", "chars"], ["source", "chars"], builders,
+                                        {"characters": "chars", "word": "words"})
+    out = families.family_columns(docs, ["doc_id"], builders, chosen)
+    weights = F.array(*[F.lit(10.0 ** i) for i in range(4)])
+    total = F.aggregate(F.zip_with("features", weights, lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
+    return out.select("doc_id", F.size("features").alias("n_features"), *[F.col("widths")[n].alias(f"{n}_width") for n in builders],
+                      total.alias("checksum"))

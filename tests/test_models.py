@@ -322,3 +322,41 @@ def test_model_queries_run_the_whole_job(spark, monkeypatch):
     assert set(seen[False]) == set(ops.regression_models()) and set(seen[True]) == set(ops.classification_models(64))
     assert seen[False]["Random Forest"].getNumTrees() == seen[True]["Random Forest"].getNumTrees() == 400
     assert seen["j5"] == (("fold", 3), {}) and seen["k7"] == (("fold",), {})
+
+
+def test_seed_ensemble_against_weighted_least_squares(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for ds in ("a", "b"):
+        x = rng.normal(size=(90, 3))
+        y = x @ [1.0, -2.0, 0.5] + rng.normal(scale=0.4, size=90)
+        rows += [(ds, i, [float(v) for v in x[i]], float(y[i]), i < 70) for i in range(90)]
+    rows += [("a", 500, None, 1.0, True), ("a", 501, [1.0, float("nan"), 0.0], 1.0, True), ("lone", 1, [1.0, 2.0, 3.0], None, True)]
+    df = spark.createDataFrame(rows, "dataset string, row_id int, features array<double>, y double, train boolean")
+    seeds = (3, 11, 40)
+    got = {(r.dataset, r.row_id): r for r in E.seed_ensemble(df, ["dataset"], "row_id", "features", "y", F.col("train"), seeds).collect()}
+    assert len(got) == len(rows)
+    drawn = df.select("row_id", *[E.poisson_weight("row_id", s).alias(str(s)) for s in seeds]).distinct().toPandas().set_index("row_id")
+    assert 0.7 < drawn.to_numpy().mean() < 1.3 and (drawn["3"] != drawn["11"]).any()
+    for ds in ("a", "b"):
+        part = [r for r in rows if r[0] == ds and r[1] < 90]
+        x = np.c_[np.ones(90), [r[2] for r in part]]
+        y, want = np.array([r[3] for r in part]), 0.0
+        for s in seeds:
+            w = drawn.loc[range(70), str(s)].to_numpy()
+            root = np.sqrt(w)[:, None]
+            want = want + x @ np.linalg.lstsq(x[:70] * root, y[:70] * root[:, 0], rcond=None)[0] / len(seeds)
+        assert np.allclose([got[ds, i].predicted for i in range(90)], want, atol=1e-9)
+        assert got[ds, 0].members == 3
+    assert got["a", 500].predicted is None and got["lone", 1].members == 0 and got["lone", 1].predicted is None
+    with pytest.raises(ValueError):
+        E.seed_ensemble(df, ["dataset"], "row_id", "features", "y", F.col("train"), [])
+    assert E.seed_ensemble(df.limit(0), ["dataset"], "row_id", "features", "y", F.col("train"), seeds).count() == 0
+
+
+def test_domain_metadata(spark):
+    df = spark.createDataFrame([([1.0, 2.0],), ([3.0, 4.0],)], "features array<double>")
+    one = D.domain_metadata(df, k=3, method="knn").first()
+    assert (one.n_training_chemicals, one.n_features) == (2, 2)
+    assert one.metadata.startswith('{"n_training_chemicals":2,"n_features":2,"knn_neighbors":3,') and one.metadata.endswith('"method":"knn"}')
+    assert D.domain_metadata(df.limit(0)).first().n_features == 0

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions import cleaning as C
 from evalspark.functions import columns as K
+from evalspark.functions import families
 from evalspark.functions import taxonomy as T
 from evalspark.operators import joins as J
 from evalspark.operators import reports as R
@@ -142,3 +143,111 @@ def test_stage_sink_latest_wins(spark, tmp_path):
     sinks.append_stage(str(tmp_path / "s"), df(1), 1)
     sinks.append_stage(str(tmp_path / "s"), df(2), 2)
     assert sinks.read_latest(spark, str(tmp_path / "s"), ["dataset", "model"]).first().v == 2
+
+
+def keys_frame(spark, *k):
+    return spark.createDataFrame([(x,) for x in k], "entity_key string")
+
+
+def lengths(df):
+    return df.select("entity_key", F.array(F.length("entity_key").cast("float")).alias("features"))
+
+
+def test_cache_keeps_first_copy_and_ignores_uncommitted_shards(spark, tmp_path):
+    store = cache.FeatureCache(spark, str(tmp_path), "r", buckets=4)
+    store.fetch(keys_frame(spark, "a", "bb"), lengths)
+    later = lambda df: df.select("entity_key", F.array(F.lit(99.0).cast("float")).alias("features"))
+    store._commit(store._write(later(keys_frame(spark, "a", "ccc"))), lengths(keys_frame(spark, "a")).schema)  # a second writer
+    store._write(later(keys_frame(spark, "dddd")))  # its job died before the commit
+    got, fresh = store.fetch(keys_frame(spark, "a", "ccc", "dddd", None), lengths)
+    assert [r[0] for r in fresh.collect()] == ["dddd"]
+    want = {"a": 1.0, "ccc": 99.0, "dddd": 4.0, None: None}
+    assert {r.entity_key: r.features and r.features[0] for r in got.collect()} == want
+
+
+def test_cache_writes_nothing_when_nothing_is_missing(spark, tmp_path):
+    store = cache.FeatureCache(spark, str(tmp_path), "r")
+    store.fetch(keys_frame(spark, "a", "bb"), lengths)
+    before = sorted(p for _, _, files in os.walk(tmp_path) for p in files)
+    got, fresh = store.fetch(keys_frame(spark, "bb"), lengths)
+    assert fresh.count() == 0 and got.first().features == [2.0]
+    assert sorted(p for _, _, files in os.walk(tmp_path) for p in files) == before
+    empty, fresh = store.fetch(keys_frame(spark, "a").limit(0), lengths)
+    assert empty.count() == 0 and fresh.count() == 0
+
+
+def test_cache_after_failed_compute_and_compaction(spark, tmp_path):
+    store = cache.FeatureCache(spark, str(tmp_path), "r", buckets=4)
+
+    @F.udf("array<float>")
+    def broken(key):
+        raise ValueError("no features today")
+
+    with pytest.raises(Exception, match="no features today"):
+        store.fetch(keys_frame(spark, "a"), lambda df: df.select("entity_key", broken("entity_key").alias("features")))
+    assert store.commits() == [] and store.stored() is None and store.compact() is None
+    for names in (["a", "bb"], ["bb", "ccc"], ["a", "dddd"]):
+        store.fetch(keys_frame(spark, *names), lengths)
+    before = sorted(store.stored().collect())
+    store.compact()
+    assert [c.compacts for c in store.commits()] == [True] and sorted(store.stored().collect()) == before
+    _, fresh = store.fetch(keys_frame(spark, "a", "e"), lengths)
+    assert [r[0] for r in fresh.collect()] == ["e"] and len(store.commits()) == 2
+    with pytest.raises(RuntimeError):
+        store._commit("shard=x", store.stored().schema, compacts_after=0)
+
+
+def test_cache_reads_only_requested_buckets(spark, tmp_path):
+    store = cache.FeatureCache(spark, str(tmp_path), "r", buckets=64)
+    store.fetch(keys_frame(spark, *[f"k{i}" for i in range(200)]), lengths)
+    keys = keys_frame(spark, "k7").withColumn("bucket", store._bucket())
+    known = store._known(keys, store.commits())
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    number = keys.first().bucket
+    assert known.count() == 1 and f"= {number})" in plan[plan.index("PartitionFilters"):]
+
+
+def test_stage_durations_carry_over_buckets(spark):
+    rows = [("r", i, i * i * 1_000_000, f"s{i}") for i in range(40)] + [("one", 0, 5, "only"), (None, 1, 3_000_000, "b"), (None, 0, None, "a")]
+    df = spark.createDataFrame(rows, "run string, id int, started long, stage string").repartition(5)
+    for size in (1, 3, 1_000_000):
+        got = {(x.run, x.stage): x for x in R.stage_durations(df, ["run"], ["started", "id"], "started", "stage", size).collect()}
+        assert len(got) == len(rows)
+        for i in range(39):
+            x = got["r", f"s{i}"]
+            mean = (i + 1) ** 2 * 1_000_000 // (i + 1) / 1e6
+            assert (x.duration_seconds, x.finished, x.remaining, x.status) == (2 * i + 1, i + 1, 39 - i, "completed")
+            assert x.mean_seconds == mean and x.eta_seconds == pytest.approx(mean * (39 - i))
+        last, only = got["r", "s39"], got["one", "only"]
+        assert (last.status, last.duration_seconds, last.finished, last.remaining, last.mean_seconds) == ("running", None, 39, 1, 39.0)
+        assert (only.status, only.finished, only.mean_seconds, only.eta_seconds) == ("running", 0, None, None)
+        assert got[None, "a"].duration_seconds is None and got[None, "b"].status == "running"
+
+
+def test_token_estimate(spark):
+    sizes = spark.createDataFrame([("none", 0), ("small", 10), ("big", 5_000)], "dataset string, n long")
+    got = {x.dataset: x for x in R.token_estimate(sizes, "n", 1_000_000).collect()}
+    assert (got["none"].estimated_train_rows, got["none"].estimated_columns) == (1, 32)
+    assert got["small"].estimated_tokens == 8 * 32 * 11 and got["small"].fits_daily_budget
+    assert got["big"].estimated_tokens == 4_000 * 400 * 11 and not got["big"].fits_daily_budget
+    assert R.token_estimate(sizes, "n", 1, max_features=7).first().estimated_columns == 7
+
+
+def test_reference_run_prefers_runs_with_tuned_rows(spark):
+    rows = [("new", "d1", "plain", 9), ("mid", "d1", "GA_tuned ", 5), ("mid", "d2", None, 5), ("old", "d1", "ga_tuned", 1), ("old", "d2", "x", 1)]
+    df = spark.createDataFrame(rows, "run_name string, dataset string, workflow string, at int")
+    pick = lambda n, d=df: [x.run_name for x in R.reference_run(d, [F.max("at")], n).collect()]
+    assert pick(2) == ["mid"] and pick(5) == ["new"] and pick(1, df.limit(0)) == []
+    manual = R.resolve_tuned_models(" SVR, KNN,,SVR", df, ["run_name"], [], []).collect()
+    assert [x.model for x in manual] == ["SVR", "KNN"] and {x.mode for x in manual} == {"manual"}
+    assert R.resolve_tuned_models(None, df, ["run_name"], [], []).count() == 0
+
+
+def test_feature_families(spark):
+    assert families.selected_families(["TT", "morgan", "nothing", " Morgan "], ["maccs", "morgan"]) == ["topological_torsion", "morgan", "maccs"]
+    df = spark.createDataFrame([(1, [1.0], [2.0, 3.0]), (2, None, [4.0, 5.0])], "id int, a array<double>, b array<double>")
+    got = families.family_columns(df, ["id"], {"x": F.col("a"), "y": F.col("b")}, ["y", "x"]).orderBy("id").collect()
+    assert got[0].features == [2.0, 3.0, 1.0] and got[0].widths == {"y": 2, "x": 1} and got[1].features is None
+    for chosen in (["z"], []):
+        with pytest.raises(ValueError):
+            families.family_columns(df, ["id"], {"x": F.col("a")}, chosen)
