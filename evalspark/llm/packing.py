@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import os
+import re
 import struct
 import unicodedata
 import zlib
@@ -41,12 +42,19 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+# The pieces that the vocabulary's pattern cuts, for lower-case ASCII words, and its byte alphabet.
+ASCII_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in SHOWN)}
+
+
 class WordCache(dict):
     """Ids of a text as little-endian 32-bit bytes.
 
-    The vocabulary drops white space and never joins ids across it, so words are encoded once and looked up afterwards;
-    the cache starts anew when it holds ``CACHE_WORDS`` words. Texts whose normal form could cross that border, and texts
-    that may hold an added token (such as ``<|endoftext|>``, one id as the tokenizer is loaded), go through it whole.
+    The vocabulary drops white space and never joins ids across it, so words are encoded once and looked up afterwards.
+    When the cache holds ``CACHE_WORDS`` words it becomes the older of two, from which words still in use are taken over; the
+    one before goes. Texts whose normal form could cross white space, and texts that may hold an added token (such as
+    ``<|endoftext|>``, one id as the tokenizer is loaded), go through it whole.
     """
 
     ODD = frozenset("\x1c\x1d\x1e\x1fΣİ")
@@ -59,20 +67,33 @@ class WordCache(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = self.tokenizer.model
         self.heads = {t.content[:2].lower() for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.older: dict[str, bytes] = {}
+        self.packed = [struct.pack("<I", i) for i in range(self.tokenizer.get_vocab_size())]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def piece(self, text: str) -> bytes:
+        """Ids of a piece that the pattern does not cut further: only the merges are left to do."""
+        if not (text.isascii() and text.isprintable()):
+            text = text.encode().decode("latin-1").translate(BYTE_ALPHABET)
+        return b"".join([self.packed[t.id] for t in self.merges.tokenize(text)])
+
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_WORDS:
+            self.older = dict(self)
             self.clear()
-        if len(word) > 1 and word[-1] in ".,;:!?|" and word[-2].isalnum():  # such a mark is a token of its own
-            ids = self[word[:-1]] + self[word[-1]]
-        elif word.isascii() and word.isalpha():  # one piece as it stands: only the merges are left to do
-            found = self.merges.tokenize(word)
-            ids = struct.pack(f"<{len(found)}I", *[t.id for t in found])
-        else:
-            ids = self.whole(word)
+        ids = self.older.get(word)
+        if ids is None:
+            if word.isalpha() and (word.isascii() or max(word) < "\u0250" and word.islower()):  # one run of letters
+                ids = self.piece(word)
+            elif len(word) > 1 and word[-1] in ".,;:!?|" and word[-2].isalnum():  # such a mark is a token of its own
+                ids = self[word[:-1]] + self[word[-1]]
+            elif word.isascii() and word.lower() == word:
+                pieces = ASCII_PIECES.findall(word)
+                ids = self.piece(word) if len(pieces) == 1 else b"".join(map(self.__getitem__, pieces))
+            else:
+                ids = self.whole(word)
         self[word] = ids
         return ids
 
