@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import defaultdict
 
@@ -491,3 +492,15 @@ def test_empty_tables(spark):
     assert exact_topk.search(vec, F.col("vec_id") % 20 == 0).count() == ann.search(vec, F.col("vec_id") % 20 == 0).count() == 0
     assert url_rules.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_word_cache_gives_the_ids_of_whole_texts(monkeypatch):
+    """Words looked up one by one, with a cache that fills up often, against the tokenizer on the whole text."""
+    rng = random.Random(9)
+    monkeypatch.setattr(packing, "CACHE_WORDS", 50)
+    words = packing.WordCache(packing.tokenizer_path())
+    alphabets = ["abcXYZ ,.'", "don't'll've 're'd'm's", "0123456789ab-_. ", "éàçßÿøÆÐđŁłńžğıſŉƒǅǆɏ abc", "<|endoftext|> a",
+                 "\x00\x01\x7f\x85\xa0\xad a1'", "²³¼ªº·¬ab ", "中文字 あア한 a", "𝔘𐐀😀👍🏽 a", "é̀ ö", "ΣςİIi \x1c"]
+    for i in range(6_000):
+        text = "".join(rng.choice(alphabets[i % len(alphabets)]) for _ in range(rng.randint(0, 24)))
+        assert words.encode(text) == words.whole(text), text
