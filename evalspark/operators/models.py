@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import itertools
-import random
 import time
 from collections.abc import Callable, Sequence
+from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Model, Pipeline
@@ -23,6 +23,8 @@ from evalspark.operators.elastic_net import ElasticNetCV, elastic_net_cv, impute
 from evalspark.operators.features import cap_selection
 from evalspark.operators.linear import fold_coefficients, linear_prediction
 from evalspark.operators.ordering import key_join
+from evalspark.operators.search import Space, group_losses, known_metric, mean_losses
+from evalspark.operators.search import generations as search
 from evalspark.operators.splits import group_kfold, subgroup_plan
 from evalspark.session import durable
 
@@ -174,69 +176,25 @@ def principal_components(df: DataFrame, k: int = 2) -> DataFrame:
 
 # --- evolutionary search -------------------------------------------------------------------------------------------
 
-Space = dict[str, tuple[str, tuple]]
-
-
-def _draw(space: Space, rng: random.Random) -> dict:
-    out = {}
-    for name, (kind, args) in space.items():
-        out[name] = rng.choice(args) if kind == "choice" else rng.randint(*args) if kind == "int" else rng.uniform(*args)
-    return out
-
-
-def _mutate(ind: dict, space: Space, rng: random.Random, rate: float) -> dict:
-    out = dict(ind)
-    for name, (kind, args) in space.items():
-        if rng.random() >= rate:
-            continue
-        if kind == "choice":
-            out[name] = rng.choice(args)
-        else:
-            low, high = args
-            moved = min(max(rng.gauss(out[name], 0.2 * (high - low)), low), high)
-            out[name] = int(round(moved)) if kind == "int" else moved
-    return out
-
-
 def evolve(df: DataFrame, build: Callable[[dict], Estimator], space: Space, fold: str, population: int = 16,
-           generations: int = 12, elites: int = 2, mutation: float = 0.35, seed: int = 42, parallelism: int = 8) -> DataFrame:
-    """Search history, one row per generation and individual (``loss`` = mean fold RMSE on train rows).
+           generations: int = 12, elites: int = 2, mutation: float = 0.35, seed: int = 42, parallelism: int = 8, metric: str = "rmse") -> DataFrame:
+    """Search history over any MLlib estimators (``loss``: mean fold loss on train rows by ``metric``).
 
-    All new (individual, fold) fits of a generation run as parallel Spark jobs on one checkpointed frame; an individual
-    seen before is not fitted again.
+    The fits of a generation's new individuals run as parallel Spark jobs on one checkpointed frame, and one aggregate
+    scores all of them. ``search.evolve_elastic_net`` needs no job per fit.
     """
-    spark = df.sparkSession
+    known_metric(metric)
     train = durable(df.where("split = 'train'"))
     folds = sorted(r[0] for r in train.select(fold).distinct().collect())
-    rng = random.Random(seed)
-    known: dict[tuple, float] = {}
-    evaluator = RegressionEvaluator(metricName="rmse")
-
-    def fold_loss(job):
-        params, f = job
-        model = build(dict(params)).fit(train.where(F.col(fold) != f))
-        return evaluator.evaluate(model.transform(train.where(F.col(fold) == f)))
-
-    current = [_draw(space, rng) for _ in range(population)]
-    history = []
-    for gen in range(generations):
-        keys = [tuple(sorted(i.items())) for i in current]
-        fresh = [k for k in dict.fromkeys(keys) if k not in known]
+
+    def losses(individuals: list[dict]) -> list[float]:
+        jobs = list(itertools.product(range(len(individuals)), folds))
         with ThreadPool(parallelism) as pool:
-            losses = pool.map(fold_loss, list(itertools.product(fresh, folds)))
-        for i, k in enumerate(fresh):
-            part = losses[i * len(folds):(i + 1) * len(folds)]
-            known[k] = sum(part) / len(part)
-        ranked = sorted(zip(keys, current), key=lambda kc: (known[kc[0]], str(kc[0])))
-        history += [(gen, r, known[k], str(dict(k))) for r, (k, _) in enumerate(ranked)]
-        nxt = [dict(c) for _, c in ranked[:elites]]
-        parents = [c for _, c in ranked[:max(2, population // 2)]]
-        while len(nxt) < population:
-            a, b = rng.sample(parents, 2)
-            child = {n: (a if rng.random() < 0.5 else b)[n] for n in space}
-            nxt.append(_mutate(child, space, rng, mutation))
-        current = nxt
-    return spark.createDataFrame(history, "generation int, place int, loss double, params string")
+            fits = pool.map(lambda job: build(individuals[job[0]]).fit(train.where(F.col(fold) != job[1])), jobs)
+        parts = [predict(m, train.where(F.col(fold) == f), [fold]).withColumn("candidate", F.lit(c)) for (c, f), m in zip(jobs, fits)]
+        return mean_losses(group_losses(reduce(DataFrame.unionByName, parts), ["candidate", fold], metric), len(individuals), len(folds))
+
+    return search(df.sparkSession, losses, space, population, generations, elites, mutation, seed)
 
 
 # --- grouped stack with global fallback ----------------------------------------------------------------------------

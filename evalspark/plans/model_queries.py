@@ -545,6 +545,38 @@ def k7(spark, d):
     return rounded(h, "loss", digits=4)
 
 
+# The individuals of the next query.
+INDIVIDUALS = ((-3.0, 0.5), (-2.0, 0.0), (-1.5, 1.0), (1.0, 1.0))
+
+
+@query("k7_generation_losses", f"""WITH b AS (SELECT row_id % 3 AS fold, predicted AS x, observed AS y FROM v_binary WHERE model = 'raw'),
+m AS (SELECT fold, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM b GROUP BY fold),
+t AS (SELECT sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(sxx) AS sxx, sum(sxy) AS sxy FROM m),
+f AS (SELECT fold, sqrt(t.sxx / t.n - (t.sx / t.n) ** 2) AS sd, (t.sx - m.sx) / (t.n - m.n) AS mx, (t.sy - m.sy) / (t.n - m.n) AS my,
+ (t.sxx - m.sxx) / (t.n - m.n) AS mxx, (t.sxy - m.sxy) / (t.n - m.n) AS mxy FROM m CROSS JOIN t),
+g AS (SELECT CAST(c AS INTEGER) AS candidate, pow(10, a) AS alpha, ratio FROM (VALUES {", ".join(f"({i}, {a}::DOUBLE, {q}::DOUBLE)" for i, (a, q) in enumerate(INDIVIDUALS))}) x(c, a, ratio)),
+w AS (SELECT candidate, fold, mx, my, sign(mxy - mx * my) * greatest(abs(mxy - mx * my) / sd - alpha * ratio, 0) / ((mxx - mx * mx) / sd ** 2 + alpha * (1 - ratio)) / sd AS w FROM f CROSS JOIN g),
+p AS (SELECT candidate, b.fold, y, w * x + my - w * mx AS p, round(w * x + my - w * mx, 9) AS s FROM b JOIN w ON w.fold = b.fold),
+k AS (SELECT *, rank() OVER (PARTITION BY candidate, fold ORDER BY s) + (count(*) OVER (PARTITION BY candidate, fold, s) - 1) / 2.0::DOUBLE AS k FROM p),
+e AS (SELECT candidate, fold, sqrt(avg((y - p) ** 2)) AS rmse, avg(abs(y - p)) AS mae,
+ -(sum(k) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) AS roc_auc FROM k GROUP BY ALL)
+SELECT candidate, metric, round(avg(loss), 6) AS loss FROM (UNPIVOT e ON rmse, mae, roc_auc INTO NAME metric VALUE loss) GROUP BY ALL""", ("v_binary",))
+def k7b(spark, d):
+    """Mean fold losses of one generation by three metrics; one feature, so that the fits have a closed form."""
+    from evalspark.operators.search import elastic_net_losses
+    b = durable(V.v_binary(spark, d).where("model = 'raw'").select((F.col("row_id") % 3).alias("fold"), F.array("predicted").alias("x"), F.col("observed").alias("y")))
+    wanted = [{"log_alpha": a, "l1_ratio": q} for a, q in INDIVIDUALS]
+    rows = [(i, m, loss) for m in ("rmse", "mae", "roc_auc") for i, loss in enumerate(elastic_net_losses(b, "fold", "x", "y", m)(wanted))]
+    return rounded(spark.createDataFrame(rows, "candidate int, metric string, loss double"), "loss")
+
+
+@query("k7_roc_auc_search")
+def k7c(spark, d):
+    """Elastic nets on the embeddings by ROC-AUC: one pass over the rows a generation."""
+    from evalspark.operators.search import evolve_elastic_net
+    return rounded(evolve_elastic_net(vectors(spark, d, True), "fold", "x", "label", "roc_auc"), "loss", digits=4)
+
+
 @query("k16_grouped_stack")
 def k16(spark, d):
     from evalspark.operators.models import grouped_stack
