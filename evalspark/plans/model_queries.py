@@ -437,21 +437,27 @@ def k15(spark, d):
 
 
 @query("k17_metrics_with_leaderboard_columns", """
-WITH rf AS (SELECT dataset, CASE leaderboard_metric_name WHEN 'RMSE' THEN 'rmse' WHEN 'AUROC' THEN 'roc_auc' ELSE 'spearman' END AS kind, metric_value_numeric AS v, model FROM v_ref),
+WITH rf AS (SELECT dataset, model, leaderboard_metric_name AS metric, metric_value, CASE leaderboard_metric_name WHEN 'RMSE' THEN 'rmse' WHEN 'AUROC' THEN 'roc_auc' ELSE 'spearman' END AS kind,
+ CASE WHEN leaderboard_metric_name = 'RMSE' THEN metric_value_numeric ELSE -metric_value_numeric END AS s FROM v_ref),
+o AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY s, model, metric_value) AS k FROM rf),
+t AS (SELECT dataset, min(metric) AS metric, min(kind) AS kind, list(s ORDER BY k) AS vals, min(model) FILTER (k = 1) AS first_model, min(metric_value) FILTER (k = 1) AS first_value,
+ CAST(to_json(list(struct_pack(rank := k, model := model, metric_name := metric, metric_value := metric_value) ORDER BY k)) AS VARCHAR) AS entries FROM o WHERE k <= 10 GROUP BY dataset),
 m AS (SELECT run_name, dataset, model, attempt, primary_metric_value AS x, CASE primary_metric WHEN 'RMSE' THEN 'rmse' WHEN 'ROC-AUC' THEN 'roc_auc' ELSE 'spearman' END AS kind FROM v_metrics),
-t AS (SELECT dataset, kind, arg_min(model, (CASE WHEN kind = 'rmse' THEN v ELSE -v END, model)) AS leaderboard_model, min(CASE WHEN kind = 'rmse' THEN v ELSE -v END) AS s FROM rf GROUP BY ALL)
-SELECT m.run_name, m.dataset, m.model, m.attempt, t.leaderboard_model, abs(t.s) AS leaderboard_metric_reference,
- round(m.x - abs(t.s), 6) AS leaderboard_delta_primary FROM m LEFT JOIN t ON t.dataset = m.dataset AND t.kind = m.kind""", ("v_metrics", "v_ref"))
+j AS (SELECT m.*, t.* EXCLUDE (dataset, kind), t.kind AS board, coalesce(t.kind = m.kind, false) AS same, CASE WHEN t.kind = 'rmse' THEN x ELSE -x END AS score FROM m LEFT JOIN t ON t.dataset = m.dataset)
+SELECT run_name, dataset, model, attempt, first_model AS leaderboard_model, metric AS leaderboard_metric_name, first_value AS leaderboard_metric_value,
+ CASE WHEN vals IS NOT NULL THEN 1::INTEGER END AS leaderboard_rank, CAST(coalesce(len(vals), 0) AS INTEGER) AS leaderboard_top10_count, coalesce(entries, '[]') AS leaderboard_top10_json,
+ board AS leaderboard_metric_normalized, board = 'rmse' AS leaderboard_lower_is_better, CASE WHEN same THEN abs(vals[1]) END AS leaderboard_metric_reference,
+ CASE WHEN same THEN round(x - abs(vals[1]), 6) END AS leaderboard_delta_primary, CASE WHEN same THEN abs(vals[1]) END AS leaderboard_top10_best_reference,
+ CASE WHEN same THEN round(x - abs(vals[1]), 6) END AS leaderboard_delta_top10_best,
+ CASE WHEN same AND x IS NOT NULL THEN CAST(1 + len(list_filter(vals, lambda v: v < score)) AS INTEGER) END AS leaderboard_estimated_rank_vs_top10,
+ CASE WHEN same AND x IS NOT NULL THEN 1 + len(list_filter(vals, lambda v: v < score)) <= 10 END AS leaderboard_estimated_in_top10,
+ CASE WHEN same AND x IS NOT NULL THEN round(score - vals[-1], 6) END AS leaderboard_gap_to_top10_cutoff,
+ CASE WHEN same AND x IS NOT NULL THEN abs(vals[-1]) END AS leaderboard_top10_cutoff_value FROM j""", ("v_metrics", "v_ref"))
 def k17(spark, d):
-    from evalspark.functions import taxonomy as T
-    from evalspark.plans.report_queries import refs
-    m = V.v_metrics(spark, d).select("run_name", "dataset", "model", "attempt", "primary_metric_value",
-                                     T.leaderboard_metric_kind("primary_metric").alias("kind"))
-    top = O.best_row(R.reference_scores(refs(spark, d)), ["dataset", "kind"], [F.col("score"), F.col("model")]).select(
-        "dataset", "kind", F.col("model").alias("leaderboard_model"), F.col("value").alias("leaderboard_metric_reference"))
-    j = m.join(top, ["dataset", "kind"], "left")
-    return j.select("run_name", "dataset", "model", "attempt", "leaderboard_model", "leaderboard_metric_reference",
-                    r(F.col("primary_metric_value") - F.col("leaderboard_metric_reference")).alias("leaderboard_delta_primary"))
+    from evalspark.operators.leaderboards import with_leaderboard_columns
+    m = V.v_metrics(spark, d).select("run_name", "dataset", "model", "attempt", "primary_metric", "primary_metric_value")
+    out = with_leaderboard_columns(m, V.v_ref(spark, d)).drop("primary_metric", "primary_metric_value")
+    return rounded(out, "leaderboard_delta_primary", "leaderboard_delta_top10_best", "leaderboard_gap_to_top10_cutoff")
 
 
 # --- K: fitted models ------------------------------------------------------------------------------------------------
