@@ -13,13 +13,13 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Li
                                        MultilayerPerceptronClassifier, RandomForestClassifier)
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import (DecisionTreeRegressor, FMRegressor, GBTRegressor, LinearRegression,
+from pyspark.ml.regression import (DecisionTreeRegressor, FMRegressor, GBTRegressor,
                                    RandomForestRegressor)
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.operators import metrics as M
 from evalspark.operators.elastic_net import ElasticNetCV, elastic_net_cv, impute_medians
+from evalspark.operators.evaluation import evaluation_rows
 from evalspark.operators.features import cap_selection
 from evalspark.operators.linear import fold_coefficients, linear_prediction
 from evalspark.operators.ordering import key_join
@@ -111,23 +111,13 @@ def evaluate_model(name: str, estimator: Estimator, df: DataFrame, fold: str, ro
             "fit_seconds", F.lit(None).cast("double"))
 
 
-def model_report(pred: DataFrame, fold: str, classification: bool = False) -> DataFrame:
-    """One row per model: mean fold scores, train and test metrics, timing and error text."""
+def model_report(pred: DataFrame, fold: str, classification: bool = False, primary_metric: str | None = None) -> DataFrame:
+    """One row per model: all metrics of ``evaluation_rows``, row counts, timing and error text (a failed model has nothing else)."""
     ok = pred.where("error IS NULL")
-    cv = M.mean_fold_scores(ok.where("part = 'cv'"), ["model"], fold).select("model", "n_folds", "cv_rmse", "cv_r2")
-    side = lambda part: M.regression_errors(ok.where(F.col("part") == part), ["model"]).select(
-        "model", F.col("n_rows").alias(f"n_{part}"), F.col("rmse").alias(f"{part}_rmse"), F.col("mae").alias(f"{part}_mae"),
-        F.col("r2").alias(f"{part}_r2"))
-    out = pred.groupBy("model").agg(F.max("error").alias("error"), F.max("fit_seconds").alias("elapsed_seconds"))
-    for part in (cv, side("train"), side("test")):
-        out = out.join(part, "model", "left")
-    if classification:
-        test = ok.where("part = 'test'")
-        out = out.join(M.ranking_metrics(test, ["model"]).select("model", F.col("roc_auc").alias("test_roc_auc"),
-                                                                 F.col("auprc").alias("test_auprc")), "model", "left")
-        out = out.join(M.confusion_metrics(test, ["model"]).select(
-            "model", F.col("balanced_accuracy").alias("test_balanced_accuracy"), F.col("mcc").alias("test_mcc")), "model", "left")
-    return out
+    rows = evaluation_rows(ok, ["model"], fold, primary_metric or ("roc_auc" if classification else "rmse"), classification)
+    size = lambda part: F.count_if(F.col("part") == part).alias(f"n_{part}")
+    out = pred.groupBy("model").agg(F.max("error").alias("error"), F.max("fit_seconds").alias("elapsed_seconds"), size("train"), size("test"))
+    return out.join(rows, "model", "left")
 
 
 # --- selection ---------------------------------------------------------------------------------------------------

@@ -7,7 +7,6 @@ for the whole search; errors of squares follow from the held-out matrices, other
 
 from __future__ import annotations
 
-import itertools
 import random
 from collections.abc import Callable, Sequence
 

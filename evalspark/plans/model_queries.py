@@ -480,7 +480,7 @@ def reported(spark, d, models, binary):
         p = evaluate_model(name, est, df, "fold", "vec_id", binary, 4)
         pred = p if pred is None else pred.unionByName(p)
     rep = model_report(durable(pred), "fold", binary)
-    shown = [c for c in rep.columns if c.startswith(("cv_", "train_", "test_"))]
+    shown = [c for c in rep.columns if c.startswith(("cv_", "train_", "test_", "primary_metric_value")) and c != "cv_folds"]
     return rounded(rep.drop("elapsed_seconds"), *shown, digits=3)
 
 
@@ -526,6 +526,52 @@ def k5(spark, d):
     return rep.withColumn("error", F.col("error").isNotNull())
 
 
+# Parts and folds of stored predictions for the next two queries.
+PARTS_SQL = "CASE row_id % 4 WHEN 0 THEN 'test' WHEN 1 THEN 'train' ELSE 'cv' END AS part, CASE WHEN row_id % 4 > 1 THEN row_id % 3 ELSE -1 END AS fold"
+
+
+def in_parts(p):
+    part = F.when(F.col("row_id") % 4 == 0, "test").when(F.col("row_id") % 4 == 1, "train").otherwise("cv")
+    return p.withColumns({"part": part, "fold": F.col("row_id") % 3})
+
+
+def parts_sql(table: str, names: tuple[str, ...], primary: str) -> str:
+    """The rows of ``evaluation_rows`` from a table of metrics per dataset, model, part and fold."""
+    cv = [f"CASE WHEN count({m}) FILTER (part = 'cv') = count(*) FILTER (part = 'cv') THEN round(avg({m}) FILTER (part = 'cv'), 6) END AS cv_{m}" for m in names]
+    sides = [f"round(max({m}) FILTER (part = '{s}'), 6) AS {s}_{m}" for s in ("train", "test") for m in names]
+    return (f"SELECT *, '{primary}' AS primary_metric, cv_{primary} AS cv_primary, test_{primary} AS primary_metric_value FROM "
+            f"(SELECT dataset, model, count(*) FILTER (part = 'cv') AS cv_folds, {', '.join(cv + sides)} FROM {table} GROUP BY dataset, model)")
+
+
+def evaluated(p, primary, classification):
+    from evalspark.operators.evaluation import evaluation_rows
+    out = evaluation_rows(in_parts(p), ["dataset", "model"], "fold", primary, classification)
+    return rounded(out, *[c for c in out.columns if c.startswith(("cv_", "train_", "test_", "primary_metric_value")) and c != "cv_folds"])
+
+
+@query("k5_evaluation_rows", f"""WITH p AS (SELECT dataset, model, observed AS y, predicted AS x, {PARTS_SQL} FROM v_pred),
+k AS (SELECT *, {AVG_RANK.format(p='dataset, model, part, fold', v='y')} AS ry, {AVG_RANK.format(p='dataset, model, part, fold', v='x')} AS rx FROM p),
+g AS (SELECT dataset, model, part, fold, 1 - sum((y - x) ** 2) / (var_pop(y) * count(*)) AS r2, sqrt(avg((y - x) ** 2)) AS rmse, avg(abs(y - x)) AS mae, corr(ry, rx) AS spearman FROM k GROUP BY ALL)
+{parts_sql("g", ("r2", "rmse", "mae", "spearman"), "rmse")}""", VP)
+def k5b(spark, d):
+    """All regression metrics of cv folds, train and test, by dataset and model."""
+    return evaluated(V.v_pred(spark, d), "rmse", False)
+
+
+@query("k5_evaluation_rows_of_classes", f"""WITH p AS (SELECT dataset, model, observed AS y, CASE WHEN min(predicted) OVER w >= 0 AND max(predicted) OVER w <= 1 THEN predicted
+ ELSE 1 / (1 + exp(-greatest(least(predicted, 30), -30))) END AS x, part, fold FROM (SELECT *, {PARTS_SQL} FROM v_binary) WINDOW w AS (PARTITION BY dataset, model, part, fold)),
+k AS (SELECT *, {AVG_RANK.format(p='dataset, model, part, fold', v='x')} AS rx, sum(y) OVER w AS tp, count(*) OVER w AS up FROM p WINDOW w AS (PARTITION BY dataset, model, part, fold ORDER BY x DESC)),
+c AS (SELECT dataset, model, part, fold, CAST(count(*) FILTER (y = 1) AS DOUBLE) AS n1, CAST(count(*) FILTER (y = 0) AS DOUBLE) AS n0, sum(rx) FILTER (y = 1) AS s, sum(tp / up) FILTER (y = 1) AS ap,
+ CAST(count(*) FILTER (y = 1 AND x >= 0.5) AS DOUBLE) AS tp, CAST(count(*) FILTER (y = 0 AND x >= 0.5) AS DOUBLE) AS fp FROM k GROUP BY ALL),
+g AS (SELECT dataset, model, part, fold, (s - n1 * (n1 + 1) / 2) / (n1 * n0) AS roc_auc, ap / n1 AS auprc, (tp / n1 + (n0 - fp) / n0) / 2 AS balanced_accuracy,
+ coalesce((tp * (n0 - fp) - fp * (n1 - tp)) / nullif(sqrt((tp + fp) * n1 * n0 * (n0 - fp + n1 - tp)), 0), 0) AS mcc FROM c WHERE n1 > 0 AND n0 > 0
+ UNION ALL SELECT dataset, model, part, fold, NULL, NULL, NULL, NULL FROM c WHERE n1 = 0 OR n0 = 0)
+{parts_sql("g", ("roc_auc", "auprc", "balanced_accuracy", "mcc"), "roc_auc")}""", VB)
+def k5c(spark, d):
+    """All classification metrics of cv folds, train and test, by dataset and model."""
+    return evaluated(V.v_binary(spark, d), "roc_auc", True)
+
+
 @query("k6_score_source_order")
 def k6(spark, d):
     from pyspark.ml.classification import LinearSVC, LogisticRegression
