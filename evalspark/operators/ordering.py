@@ -157,16 +157,15 @@ def neighbours_known(df: DataFrame, keys: Sequence[str], order: str, column: str
     work = work.withColumn("_blk", F.floor(F.col("_pos") / rows_per_block))
     known = F.when(F.col(column).isNotNull(), F.struct(F.col("_pos").alias("p"), F.col(column).alias("v")))
     ends = work.groupBy(*keys, "_blk").agg(F.max(known).alias("_last"), F.min(known).alias("_first"))
-    w = Window.partitionBy(*keys).orderBy("_blk")
-    ends = ends.select(
-        *keys, "_blk",
-        F.last("_last", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_cp"),
-        F.first("_first", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("_cn"))
-    inside = Window.partitionBy(*keys, "_blk").orderBy("_pos")
+    before = lambda *order: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*keys, "_blk", F.last("_last", True).over(before("_blk")).alias("_cp"),
+                       F.last("_first", True).over(before(F.desc("_blk"))).alias("_cn"))
+    # A frame that only grows: one from the current row to the end is scanned anew for every row.
+    sofar = lambda *order: Window.partitionBy(*keys, "_blk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = (key_join(work, ends, [*keys, "_blk"])
-           .withColumn("_lk", F.coalesce(F.last(known, True).over(inside.rowsBetween(Window.unboundedPreceding, 0)),
+           .withColumn("_lk", F.coalesce(F.last(known, True).over(sofar("_pos")),
                                          F.col("_cp")))
-           .withColumn("_nk", F.coalesce(F.first(known, True).over(inside.rowsBetween(0, Window.unboundedFollowing)),
+           .withColumn("_nk", F.coalesce(F.last(known, True).over(sofar(F.desc("_pos"))),
                                          F.col("_cn"))))
     return (out.withColumns({"_prev": F.col("_lk.v"), "_prev_pos": F.col("_lk.p"), "_next": F.col("_nk.v"),
                              "_next_pos": F.col("_nk.p")}).drop("_lk", "_nk", "_cp", "_cn", "_blk"))

@@ -104,3 +104,10 @@ def test_best_and_first_known(spark):
     mixed = O.first_known(df, ["k"], [F.col("o")], ["v", "t"]).first()
     assert (mixed.v, mixed.t) == (7, "y")
     assert O.dedupe(df, ["k"], ["o"], "last").first().t == "z"
+
+
+def test_known_neighbours_use_frames_that_only_grow(data, spark):
+    """A frame up to the end of a block is scanned anew for every row: quadratic in the block."""
+    df = spark.range(100).selectExpr("id % 2 AS k", "id", "IF(id % 7 = 0, id * 1.0D, NULL) AS v")
+    plan = O.neighbours_known(df, ["k"], "id", "v", 20)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
