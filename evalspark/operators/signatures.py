@@ -31,9 +31,18 @@ def ordered_signature(df: DataFrame, keys: Sequence[str], seq: str, texts: dict[
 
 
 def order_free_signature(df: DataFrame, keys: Sequence[str], parts: Sequence[Column]) -> DataFrame:
-    """Count, xor and sum of 48-bit row digests: mergeable, so any dataset size works; row order does not matter."""
+    """Count, xor and sum of 48-bit row digests: mergeable, so any dataset size works; row order does not matter.
+
+    The sum is taken modulo 2^64 as a signed number: 32,768 digests may already leave the range. Its two halves of 24
+    bits are added apart, which holds for 5 * 10^11 rows.
+    """
     h = F.conv(F.substring(F.sha1(F.concat_ws("|", *parts)), 1, 12), 16, 10).cast("long")
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(h).alias("sig_xor"), F.sum(h).alias("sig_sum"))
+    g = df.select(*keys, h.alias("_h")).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.bit_xor("_h").alias("sig_xor"),
+        F.sum(F.shiftright("_h", 24)).alias("_high"), F.sum(F.col("_h").bitwiseAND((1 << 24) - 1)).alias("_low"))
+    carried = F.col("_high") + F.shiftright("_low", 24)  # the low half's overflow
+    total = F.shiftleft(carried, 24).bitwiseOR(F.col("_low").bitwiseAND((1 << 24) - 1))
+    return g.select(*keys, "n_rows", "sig_xor", total.alias("sig_sum"))
 
 
 def options_signature(options: dict, length: int = 16) -> str:
