@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.operators import metrics as M
@@ -35,6 +35,12 @@ def subset_count(n_models: int, min_models: int = 2, max_models: int | None = No
     return sum(math.comb(n_models, k) for k in range(low, high + 1))
 
 
+def subset_total(n_models: str) -> Column:
+    """Number of subsets of two models or more, exact; null where it does not fit a long (from 63 models on)."""
+    n = F.col(n_models)
+    return F.when(n < 63, F.expr(f"shiftleft(1L, CAST(`{n_models}` AS INT))") - 1 - n)
+
+
 def max_models_for_budget(n_models: int, min_models: int = 2, requested: int | None = None,
                           budget: int | None = None) -> tuple[int, int]:
     """Largest subset size whose subset count stays within ``budget`` (never below ``min_models``)."""

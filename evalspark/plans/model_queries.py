@@ -421,8 +421,7 @@ def k13e(spark, d):
 SELECT event_type AS dataset, count(DISTINCT user_id) // 15 AS n_models, CAST(2 ** (count(DISTINCT user_id) // 15) AS BIGINT) - 1 - count(DISTINCT user_id) // 15 AS subsets FROM events GROUP BY event_type""")
 def k14(spark, d):
     g = V.table(spark, d, "events").groupBy(F.col("event_type").alias("dataset")).agg(F.count_distinct("user_id").alias("u"))
-    n = F.floor(F.col("u") / 15)
-    return g.select("dataset", n.alias("n_models"), (F.pow(F.lit(2.0), n) - 1 - n).cast("long").alias("subsets"))
+    return g.select("dataset", F.floor(F.col("u") / 15).alias("n_models")).withColumn("subsets", U.subset_total("n_models"))
 
 
 @query("k15_fusion_inputs", """

@@ -51,3 +51,8 @@ def test_sum_of_digests_goes_beyond_a_long(spark):
     want = sum(h) % 2**64
     assert sum(h) >= 2**63 and got.sig_sum == (want - 2**64 if want >= 2**63 else want)
     assert got.n_rows == n
+
+
+def test_subset_total_is_exact_and_null_beyond_a_long(spark):
+    got = {r.n: r.s for r in spark.range(1, 130).select(F.col("id").alias("n"), U.subset_total("id").alias("s")).collect()}
+    assert all(got[n] == (2**n - 1 - n if n < 63 else None) for n in got)
