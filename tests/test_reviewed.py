@@ -56,3 +56,7 @@ def test_sum_of_digests_goes_beyond_a_long(spark):
 def test_subset_total_is_exact_and_null_beyond_a_long(spark):
     got = {r.n: r.s for r in spark.range(1, 130).select(F.col("id").alias("n"), U.subset_total("id").alias("s")).collect()}
     assert all(got[n] == (2**n - 1 - n if n < 63 else None) for n in got)
+
+
+def test_reference_values_round_and_print_as_in_sql(spark, suppliers):
+    same_as_sql(spark, suppliers, "g2_combine_reference_frames")
