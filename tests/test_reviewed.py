@@ -60,3 +60,7 @@ def test_subset_total_is_exact_and_null_beyond_a_long(spark):
 
 def test_reference_values_round_and_print_as_in_sql(spark, suppliers):
     same_as_sql(spark, suppliers, "g2_combine_reference_frames")
+
+
+def test_ranks_of_values_next_to_a_half(spark, suppliers):
+    same_as_sql(spark, suppliers, "e8_fill_missing_ranks")
