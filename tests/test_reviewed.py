@@ -64,3 +64,7 @@ def test_reference_values_round_and_print_as_in_sql(spark, suppliers):
 
 def test_ranks_of_values_next_to_a_half(spark, suppliers):
     same_as_sql(spark, suppliers, "e8_fill_missing_ranks")
+
+
+def test_leaderboard_columns_of_small_values(spark, suppliers):
+    same_as_sql(spark, suppliers, "k17_metrics_with_leaderboard_columns")
