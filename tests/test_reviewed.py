@@ -72,3 +72,8 @@ def test_leaderboard_columns_of_small_values(spark, suppliers):
 
 def test_equal_entries_of_a_list_all_stay(spark, suppliers):
     same_as_sql(spark, suppliers, "a17_reference_cache_bootstrap")
+
+
+def test_names_in_both_splits_come_from_one_aggregate(spark):
+    plan = plan_of(entry.queries()["g3_names_in_both"](spark, SMALL))
+    assert "Join" not in plan and plan.count("Relation") == 1
