@@ -77,3 +77,12 @@ def test_equal_entries_of_a_list_all_stay(spark, suppliers):
 def test_names_in_both_splits_come_from_one_aggregate(spark):
     plan = plan_of(entry.queries()["g3_names_in_both"](spark, SMALL))
     assert "Join" not in plan and plan.count("Relation") == 1
+
+
+def below_the_counts(spark, name):
+    return plan_of(entry.queries()[name](spark, SMALL)).split("+-", 1)[1]
+
+
+@pytest.mark.parametrize("name", ["b7_metric_names_of_runs", "b8_metric_names_of_leaderboards"])
+def test_name_rules_run_once_a_spelling(spark, name):
+    assert "CASE WHEN" not in below_the_counts(spark, name)
