@@ -86,3 +86,7 @@ def below_the_counts(spark, name):
 @pytest.mark.parametrize("name", ["b7_metric_names_of_runs", "b8_metric_names_of_leaderboards"])
 def test_name_rules_run_once_a_spelling(spark, name):
     assert "CASE WHEN" not in below_the_counts(spark, name)
+
+
+def test_direction_rules_run_once_a_spelling(spark):
+    assert "CASE WHEN" not in below_the_counts(spark, "b9_metric_direction")
