@@ -219,7 +219,8 @@ i AS (SELECT DISTINCT b.model FROM ok g JOIN b ON g.dataset = b.dataset AND repl
   WHERE g.workflow = 'ga_tuned' AND bs - s > 0 AND (bs - s) / abs(bs) >= 0.005)
 SELECT model, 'auto' AS mode, run_name AS reference_run FROM (SELECT * FROM w UNION SELECT * FROM i) m CROSS JOIN ref""", ("v_metrics",))
 def k8(spark, d):
-    return R.resolve_tuned_models("auto", V.v_metrics(spark, d), RD, [F.col("model"), F.col("attempt")], [F.max("last_order")])
+    m = durable(V.v_metrics(spark, d))  # a row per run, dataset, model and attempt; several steps read it
+    return R.resolve_tuned_models("auto", m, RD, [F.col("model"), F.col("attempt")], [F.max("last_order")])
 
 
 @query("k10_member_filter", """

@@ -90,3 +90,8 @@ def test_name_rules_run_once_a_spelling(spark, name):
 
 def test_direction_rules_run_once_a_spelling(spark):
     assert "CASE WHEN" not in below_the_counts(spark, "b9_metric_direction")
+
+
+def test_metric_rows_are_made_once(spark):
+    df = entry.queries()["k8_tuned_models_from_reference"](spark, SMALL)
+    assert "lineitem" not in df._jdf.queryExecution().simpleString() and df.count()
