@@ -92,6 +92,17 @@ def test_direction_rules_run_once_a_spelling(spark):
     assert "CASE WHEN" not in below_the_counts(spark, "b9_metric_direction")
 
 
+def test_float_text_rounds_the_exact_value(spark):
+    """Next to a half of the twelfth digit the exact double decides, not its shortest text."""
+    from evalspark.functions.cleaning import stable_float_text
+
+    x = [1.0 + (10 * k + 5) / 1e12 for k in range(300)] + [0.0, -0.0, 1e-5, 123456.75, 1e300, float("inf"), float("nan"), None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, x double").withColumn("t", stable_float_text("x"))
+    got = {r.i: r.t for r in df.collect()}
+    assert [got[i] for i in range(302 + 3)] == [f"{v + 0.0:.12g}" for v in x[:305]]
+    assert [got[i] for i in range(305, 308)] == ["nan"] * 3
+
+
 def test_metric_rows_are_made_once(spark):
     df = entry.queries()["k8_tuned_models_from_reference"](spark, SMALL)
     assert "lineitem" not in df._jdf.queryExecution().simpleString() and df.count()
