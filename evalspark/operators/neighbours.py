@@ -39,6 +39,36 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _nearest(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, distance) of the k nearest rows of b for every row of a; ties go to the earlier row.
+
+    Products give squared distances up to a known error; only pairs that this error leaves open are measured by plain
+    differences. Works in tiles of bounded size.
+    """
+    k, width = min(k, len(b)), b.shape[1]
+    sa, sb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    error = 4 * (width + 8) * np.finfo(float).eps * (sa + sb.max())
+    step, pairs = max(1, _BATCH_CELLS // len(b)), max(1, _BATCH_CELLS // max(1, width))
+    found = []
+    for i in range(0, len(a), step):
+        near = sa[i:i + step, None] + sb - 2 * (a[i:i + step] @ b.T)
+        if np.isfinite(near).all():
+            last = np.partition(near, k - 1, axis=1)[:, k - 1]
+            r, c = np.nonzero(near <= (last + 2 * error[i:i + step])[:, None])
+        else:
+            r, c = (x.ravel() for x in np.indices(near.shape))
+        del near
+        dist = np.empty(len(r))
+        for j in range(0, len(r), pairs):
+            diff = a[i + r[j:j + pairs]] - b[c[j:j + pairs]]
+            dist[j:j + pairs] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+        order = np.lexsort((c, dist, r))
+        r, c, dist = r[order], c[order], dist[order]
+        kept = np.arange(len(r)) - np.searchsorted(r, r) < k
+        found.append((i + r[kept], c[kept], dist[kept]))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def choose_pivots(train: DataFrame, row_id: str, features: str, n: int) -> np.ndarray:
     """A fixed number of vectors, picked by hash of (id, vector).
 
@@ -113,11 +143,8 @@ def nearest_neighbours(queries: DataFrame, train: DataFrame, query_id: str, trai
         if a.empty or b.empty:
             return pd.DataFrame({"qid": a["qid"].iloc[:0], "tid": b["tid"].iloc[:0], "distance": pd.Series(dtype=float)})
         b = b.sort_values("tid", kind="stable")
-        dist = _distances(_matrix(a["v"]), _matrix(b["v"]))
-        order = np.argsort(dist, axis=1, kind="stable")[:, :k]
-        width = order.shape[1]
-        return pd.DataFrame({"qid": np.repeat(a["qid"].to_numpy(), width), "tid": b["tid"].to_numpy()[order.ravel()],
-                             "distance": np.take_along_axis(dist, order, axis=1).ravel()})
+        mine, other, dist = _nearest(_matrix(a["v"]), _matrix(b["v"]), k)
+        return pd.DataFrame({"qid": a["qid"].to_numpy()[mine], "tid": b["tid"].to_numpy()[other], "distance": dist})
 
     by = ["qcell", "chunk", "block"]
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(best, schema)

@@ -103,6 +103,29 @@ def test_float_text_rounds_the_exact_value(spark):
     assert [got[i] for i in range(305, 308)] == ["nan"] * 3
 
 
+def test_nearest_rows_match_brute_force_in_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from evalspark.operators import neighbours as N
+
+    rng = np.random.default_rng(3)
+    b = np.round(rng.normal(size=(3000, 8)), 1)
+    b[1000:1400] = b[7]
+    a = np.concatenate([b[:40], rng.normal(size=(40, 8)), [[np.nan] * 8]])
+    mine, other, dist = N._nearest(a, b, 5)
+    want = N._distances(a, b)
+    order = np.argsort(want, axis=1, kind="stable")[:, :5]
+    assert (other.reshape(-1, 5) == order).all() and (mine == np.repeat(np.arange(81), 5)).all()
+    np.testing.assert_allclose(dist, np.take_along_axis(want, order, 1).ravel())
+    q, t = rng.normal(size=(2048, 64)), rng.normal(size=(20_000, 64))
+    tracemalloc.start()
+    N._nearest(q, t, 3)
+    assert tracemalloc.get_traced_memory()[1] < 200e6  # the distances of all pairs alone would take 328 MB
+    tracemalloc.stop()
+
+
 def test_metric_rows_are_made_once(spark):
     df = entry.queries()["k8_tuned_models_from_reference"](spark, SMALL)
     assert "lineitem" not in df._jdf.queryExecution().simpleString() and df.count()
