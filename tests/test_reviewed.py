@@ -126,6 +126,25 @@ def test_nearest_rows_match_brute_force_in_bounded_memory():
     tracemalloc.stop()
 
 
+def test_least_evidence_counts_every_labelled_row(spark):
+    """A hundredth of the rows decides: with 5,000 rows of a language a sample of a fifth gives another value."""
+    import numpy as np
+
+    from evalspark.llm import language_id as L
+
+    rng = np.random.default_rng(2)
+    words = {"en": ["the", "house", "with", "there"], "de": ["das", "haus", "und", "nicht"]}
+    rows = [(i, " ".join(rng.choice(words[lang], 6)) + " " + "".join(rng.choice(list("qxzjvkw"), i % 90)), lang) for i, lang in enumerate(["en", "de"] * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = L.fit(docs.filter("doc_id < 200"))
+    got = L.least_evidence(docs.filter("doc_id >= 200"), model)
+    seen = L.predict(docs.filter("doc_id >= 200"), model).filter("lang_pred = row.lang").select("lang_pred", "evidence").toPandas()
+    want = seen.groupby("lang_pred").evidence.quantile(1 - L.CLEAN) / 2
+    assert set(got) == set(want.index) == {"en", "de"}
+    for lang, m in got.items():
+        assert m == pytest.approx(want[lang], rel=1e-12)
+
+
 def test_metric_rows_are_made_once(spark):
     df = entry.queries()["k8_tuned_models_from_reference"](spark, SMALL)
     assert "lineitem" not in df._jdf.queryExecution().simpleString() and df.count()
