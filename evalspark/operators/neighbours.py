@@ -4,7 +4,7 @@ Vectors are assigned to the nearest of a few pivots. From the per-cell radii and
 upper bound on the k-th neighbour distance follows for every query cell, and by the triangle inequality a training
 row can matter to a cell only when its pivot distance lies in a known interval; only those rows are sent there. Cells
 are cut into query chunks and candidate blocks, so one crowded cell is spread over many tasks; each task emits the k
-best per query, never its pairs.
+best per query, never its pairs. Where the intervals let most rows through, all rows are cut into one such grid.
 """
 
 from __future__ import annotations
@@ -20,9 +20,12 @@ from pyspark.sql import types as T
 from evalspark.operators.ordering import top_rows
 from evalspark.session import durable
 
-QUERY_CHUNK = 2_048
-CANDIDATE_BLOCK = 20_000
+QUERY_CHUNK = 16_384
+CANDIDATE_BLOCK = 16_384
+UNPARTED = 0.5  # share of all pairs from which on cells only repeat rows
 _BATCH_CELLS = 4_000_000
+_GROUP = 64
+_SINGLE_LIMIT = 1e30
 
 
 def _matrix(col: pd.Series) -> np.ndarray:
@@ -39,25 +42,54 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _open_double(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row of a, row of b) of the pairs that products in double precision cannot rule out as one of the k nearest."""
+    sa, sb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    near = sa[:, None] + sb - 2 * (a @ b.T)
+    if not np.isfinite(near).all():
+        return tuple(x.ravel() for x in np.indices(near.shape))
+    error = 4 * (b.shape[1] + 8) * np.finfo(float).eps * (sa + sb.max())
+    last = np.partition(near, k - 1, axis=1)[:, k - 1]
+    return np.nonzero(near <= (last + 2 * error)[:, None])
+
+
+def _open_single(a: np.ndarray, sides: np.ndarray, sb: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same by single precision. ``sides`` holds the rows of b and their squared lengths as columns, padded to whole groups.
+
+    The k-th smallest of the groups' minima is at least the k-th smallest value, so only groups below it are looked into.
+    """
+    groups = sides.shape[1] // _GROUP
+    near = np.column_stack([-2 * a, np.ones(len(a))]).astype(np.float32) @ sides
+    near = near.reshape(len(a), _GROUP, groups)
+    least = near.min(axis=1)
+    single = np.finfo(np.float32)
+    error = (len(sides) + 8) * (float(single.eps) * (np.einsum("ij,ij->i", a, a) + sb) + 4 * float(single.tiny))
+    limit = np.partition(least, k - 1, axis=1)[:, k - 1] + 2 * error
+    r, g = np.nonzero(least <= limit[:, None])
+    hit, place = np.nonzero(near[r, :, g] <= limit[r][:, None])
+    r, c = r[hit], place * groups + g[hit]
+    return r[c < n], c[c < n]
+
+
 def _nearest(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of a, row of b, distance) of the k nearest rows of b for every row of a; ties go to the earlier row.
 
-    Products give squared distances up to a known error; only pairs that this error leaves open are measured by plain
-    differences. Works in tiles of bounded size.
+    Products give squared distances up to a known error, first in single precision and, where that leaves too many pairs,
+    in double; only pairs that this error leaves open are measured by plain differences. Works in tiles of bounded size.
     """
     k, width = min(k, len(b)), b.shape[1]
     sa, sb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
-    error = 4 * (width + 8) * np.finfo(float).eps * (sa + sb.max())
     step, pairs = max(1, _BATCH_CELLS // len(b)), max(1, _BATCH_CELLS // max(1, width))
+    sides = None
+    if len(b) >= _GROUP * k and sa.max(initial=0) + sb.max() < _SINGLE_LIMIT:  # false if a value is not finite
+        sides = np.zeros((width + 1, -(-len(b) // _GROUP) * _GROUP), dtype=np.float32)
+        sides[:-1, :len(b)], sides[-1, :len(b)], sides[-1, len(b):] = b.T, sb, np.inf
     found = []
     for i in range(0, len(a), step):
-        near = sa[i:i + step, None] + sb - 2 * (a[i:i + step] @ b.T)
-        if np.isfinite(near).all():
-            last = np.partition(near, k - 1, axis=1)[:, k - 1]
-            r, c = np.nonzero(near <= (last + 2 * error[i:i + step])[:, None])
-        else:
-            r, c = (x.ravel() for x in np.indices(near.shape))
-        del near
+        tile = a[i:i + step]
+        r, c = _open_single(tile, sides, float(sb.max()), len(b), k) if sides is not None else ((), ())
+        if sides is None or len(r) > len(tile) * (4 * k + 32):
+            r, c = _open_double(tile, b, k)
         dist = np.empty(len(r))
         for j in range(0, len(r), pairs):
             diff = a[i + r[j:j + pairs]] - b[c[j:j + pairs]]
@@ -127,6 +159,11 @@ def nearest_neighbours(queries: DataFrame, train: DataFrame, query_id: str, trai
     bounds = F.broadcast(spark.createDataFrame(rows, "qcell int, cell int, lo double, hi double"))  # n_pivots^2 rows
     sent = t.join(bounds, "cell").where(F.col("pivot_distance").between(F.col("lo"), F.col("hi"))).select("qcell", "tid", "v")
     counts = {r[0]: r[1] for r in sent.groupBy("qcell").count().collect()}
+    n_q, n_t = sum(n for _, n in cells.values()), t.count()
+    if sum(n * counts.get(c, 0) for c, (_, n) in cells.items()) > UNPARTED * n_q * n_t:
+        # The pivots part little: one cell of all rows, so that a row travels once a block and not once a cell.
+        q, sent = q.withColumn("cell", F.lit(0)), t.select(F.lit(0).alias("qcell"), "tid", "v")
+        cells, counts = {0: (None, n_q)}, {0: n_t}
     plan = [(c, -(-n // chunk), -(-counts.get(c, 0) // block)) for c, (_, n) in cells.items()]
     grid = F.broadcast(spark.createDataFrame(plan, "qcell int, chunks long, blocks long"))  # n_pivots rows
     part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))

@@ -148,3 +148,42 @@ def test_least_evidence_counts_every_labelled_row(spark):
 def test_metric_rows_are_made_once(spark):
     df = entry.queries()["k8_tuned_models_from_reference"](spark, SMALL)
     assert "lineitem" not in df._jdf.queryExecution().simpleString() and df.count()
+
+
+def shuffled_rows(spark):
+    store = spark._jsparkSession.sparkContext().statusStore()
+    stages = store.stageList(None, *[getattr(store, f"stageList$default${i}")() for i in range(2, 6)])
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_rows_no_pivot_parts_travel_once_a_block(spark):
+    import numpy as np
+
+    from evalspark.operators import neighbours as N
+
+    x = np.random.default_rng(5).normal(size=(1500, 64))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").localCheckpoint()
+    before = shuffled_rows(spark)
+    got = N.nearest_neighbours(rows, rows, "id", "id", "v", 3).toPandas()
+    assert shuffled_rows(spark) - before < 20_000  # 32 cells would send 48,000 rows
+    want = np.argsort(N._distances(x, x), axis=1, kind="stable")[:, :3]
+    assert (got.sort_values(["id", "neighbour_rank"]).neighbour_id.to_numpy().reshape(-1, 3) == want).all()
+
+
+def test_single_precision_never_decides():
+    """Far from zero, far apart, next to nothing, copies and rows without a number: as by plain differences."""
+    import numpy as np
+
+    from evalspark.operators import neighbours as N
+
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(60, 16)), rng.normal(size=(2000, 16))
+    copies = np.repeat(rng.normal(size=(9, 16)), 300, axis=0)
+    cases = [(a, b), (a + 1e6, b + 1e6), (a * 1e20, b * 1e20), (a * 1e-20, b * 1e-20), (a * 1e-30, b * 1e-30),
+             (copies[::50], copies), (np.vstack([a, np.full((1, 16), np.nan)]), b), (a * 0, b * 0)]
+    for x, y in cases:
+        _, other, dist = N._nearest(x, y, 5)
+        want = N._distances(x, y)
+        order = np.argsort(want, axis=1, kind="stable")[:, :5]
+        assert (other.reshape(-1, 5) == order).all()
+        np.testing.assert_array_equal(dist, np.take_along_axis(want, order, 1).ravel())
