@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evalspark.functions.cleaning import finite_feature
-from evalspark.operators.ordering import ROWS_PER_BUCKET, checked_join, quantiles, row_numbers, top_rows
+from evalspark.operators.ordering import BROADCAST_ROWS, ROWS_PER_BUCKET, checked_join, key_join, quantiles, row_numbers, top_rows
+from evalspark.session import durable
+
+_BATCH_CELLS = 1_000_000
 
 
 def to_long(df: DataFrame, features: str, position: str = "pos", value: str = "x") -> DataFrame:
@@ -135,11 +141,36 @@ def hashed_presence(grams: Column, n_bits: int) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.array_distinct(grams), bit)))
 
 
+def _bit_counts(df: DataFrame, keys: Sequence[str], n_bits: int) -> DataFrame:
+    """(keys, bit, n) of every single row of ``df`` (keys, _bits), in its task."""
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField("bit", T.IntegerType()), T.StructField("n", T.LongType())])
+    step = max(1, _BATCH_CELLS // n_bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, step):
+                rows = batch.slice(i, step)
+                bits = rows.column("_bits")
+                sizes = bits.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                n = np.bincount(np.repeat(np.arange(len(sizes)) * n_bits, sizes) + bits.flatten().to_numpy(zero_copy_only=False))
+                cell = np.flatnonzero(n)
+                at = pa.array(cell // n_bits)
+                yield pa.RecordBatch.from_arrays([*[rows.column(k).take(at) for k in keys], pa.array((cell % n_bits).astype("int32")),
+                                                  pa.array(n[cell].astype("int64"))], names=[*keys, "bit", "n"])
+    return df.mapInArrow(run, schema)
+
+
 def hashed_counts(df: DataFrame, keys: Sequence[str], grams: Column, n_bits: int) -> DataFrame:
-    """Long counts (keys, bit, n): grams leave each text as rows, so that one long text is spread over tasks."""
-    bit = F.pmod(F.conv(F.substring(F.sha1("gram"), 1, 12), 16, 10).cast("long"), F.lit(n_bits)).cast("int")
-    return (df.select(*keys, F.explode(grams).alias("gram")).groupBy(*keys, bit.alias("bit"))
-            .agg(F.count(F.lit(1)).alias("n")))
+    """Long counts (keys, bit, n). A row is counted in its task; only keys held by several rows meet in a shuffle."""
+    bit = lambda g: F.pmod(F.conv(F.substring(F.sha1(g), 1, 12), 16, 10).cast("long"), F.lit(n_bits)).cast("int")
+    repeated = durable(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys))
+    several = repeated.count()
+    counted = lambda rows: _bit_counts(rows.select(*keys, F.transform(grams, bit).alias("_bits")), keys, n_bits)
+    if not several:
+        return counted(df)
+    meet = lambda how: key_join(df, repeated, keys, how, bounded=several <= BROADCAST_ROWS)
+    summed = counted(meet("left_semi")).groupBy(*keys, "bit").agg(F.sum("n").alias("n"))
+    return counted(meet("left_anti")).unionByName(summed)
 
 
 def one_hot(df: DataFrame, column: str, values: Sequence[str], prefix: str) -> DataFrame:

@@ -187,3 +187,24 @@ def test_single_precision_never_decides():
         order = np.argsort(want, axis=1, kind="stable")[:, :5]
         assert (other.reshape(-1, 5) == order).all()
         np.testing.assert_array_equal(dist, np.take_along_axis(want, order, 1).ravel())
+
+
+def test_hashed_counts_leave_their_task_without_an_aggregate(spark):
+    df = entry.queries()["j9_hashed_count_features"](spark, SMALL)
+    assert "Aggregate" not in plan_of(df) and df.count()
+
+
+def test_hashed_counts_sum_rows_of_one_key(spark):
+    from collections import Counter
+
+    from evalspark.operators import features as X
+
+    texts = [(1, "a b a b"), (2, "x  y z"), (1, "b a b"), (None, "p q"), (None, "p q r"), (3, "one"), (4, None), (5, ""), (6, "m n " * 3000)]
+    df = spark.createDataFrame(texts, "k long, text string").repartition(4)
+    want = Counter()
+    for k, t in texts:
+        w = (t or "").split()
+        for a, b in zip(w, w[1:]):
+            want[k, int(hashlib.sha1(f"{a} {b}".encode()).hexdigest()[:12], 16) % 16] += 1
+    got = X.hashed_counts(df, ["k"], X.token_ngrams("text", 2), 16).collect()
+    assert len(got) == len(want) and {(r.k, r.bit): r.n for r in got} == want
