@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,6 +65,12 @@ def fusion_table(pred: DataFrame, keys: Sequence[str], row: Sequence[str], rows_
     return key_join(long, r, [*keys, "split", "model", "predicted"])
 
 
+def aligned_rows(table: DataFrame, keys: Sequence[str], row: Sequence[str]) -> DataFrame:
+    """One row per split and row of a fusion table: ``observed`` and the members ``_e`` by model index."""
+    entry = F.array_sort(F.collect_list(F.struct("idx", "predicted", "rank_down")))  # one entry per model
+    return table.groupBy(*keys, "split", *row).agg(F.min("observed").alias("observed"), entry.alias("_e"))
+
+
 def profile_diversity(train: DataFrame, keys: Sequence[str], row: Sequence[str],
                       rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Mean squared distance of the sorted, min-max scaled predictions of every model pair (both directions)."""
@@ -148,6 +155,12 @@ def _dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _short_dot(a: Column, b: Column, width: int) -> Column:
+    """The same sum for arrays of at most ``width`` entries, written out: it is compiled, a lambda is not."""
+    term = lambda i: F.when(F.size(a) > i, F.get(a, F.lit(i)) * F.get(b, F.lit(i))).otherwise(0.0)
+    return reduce(lambda acc, i: acc + term(i), range(width), F.lit(0.0))
+
+
 def _quadratic(w, matrix):
     return _dot(w, F.transform(matrix, lambda row: _dot(row, w)))
 
@@ -157,11 +170,12 @@ def _matrix_rows(pairs: DataFrame, keys: Sequence[str], value: str) -> DataFrame
     return rows.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "r"))), lambda s: s["r"]).alias(value))
 
 
-def squared_losses(train: DataFrame, candidates: DataFrame, keys: Sequence[str], row: Sequence[str]) -> DataFrame:
-    """RMSE of every candidate in both spaces from error products and rank covariances, plus the rank calibration."""
-    entry = F.array_sort(F.collect_list(F.struct("idx", "predicted", "rank_down")))  # one entry per model
-    g = train.groupBy(*keys, *row).agg(F.min("observed").alias("observed"), entry.alias("_e"))
-    both = g.select(*keys, "observed", F.explode("_e").alias("a"), "_e").select(
+def squared_losses(train: DataFrame, candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """RMSE of every candidate in both spaces from error products and rank covariances, plus the rank calibration.
+
+    ``train`` holds aligned rows.
+    """
+    both = train.select(*keys, "observed", F.explode("_e").alias("a"), "_e").select(
         *keys, "observed", "a", F.explode("_e").alias("b"))
     y = F.col("observed")
     mom = durable(both.groupBy(*keys, F.col("a.idx").alias("i"), F.col("b.idx").alias("j")).agg(
@@ -184,31 +198,27 @@ def squared_losses(train: DataFrame, candidates: DataFrame, keys: Sequence[str],
                     slope.alias("slope"), (F.col("ymean") - slope * F.col("_sm")).alias("intercept"))
 
 
-def absolute_losses(train: DataFrame, candidates: DataFrame, calibrated: DataFrame, keys: Sequence[str],
-                    row: Sequence[str]) -> DataFrame:
-    """MAE of every candidate: rows meet the candidate list and are averaged map-side (no row leaves its task)."""
-    entry = F.array_sort(F.collect_list(F.struct("idx", "predicted", "rank_down")))
-    g = train.groupBy(*keys, *row).agg(F.min("observed").alias("observed"), entry.alias("_e")).select(
+def absolute_losses(train: DataFrame, calibrated: DataFrame, keys: Sequence[str], n_models: int) -> DataFrame:
+    """MAE of every candidate of at most ``n_models`` models: aligned rows meet the candidate list and are averaged
+    map-side (no row leaves its task)."""
+    g = train.select(
         *keys, "observed", F.transform("_e", lambda e: e["predicted"]).alias("p"), F.transform("_e", lambda e: e["rank_down"]).alias("r"))
     j = key_join(g, calibrated.select(*keys, "mask", "variant", "weights", "slope", "intercept"), keys)
-    fused = _dot(F.col("weights"), F.col("p"))
-    ranked = F.col("intercept") - F.col("slope") * _dot(F.col("weights"), F.col("r"))
+    fused = _short_dot(F.col("weights"), F.col("p"), n_models)
+    ranked = F.col("intercept") - F.col("slope") * _short_dot(F.col("weights"), F.col("r"), n_models)
     out = j.groupBy(*keys, "mask", "variant").agg(F.avg(F.abs(F.col("observed") - fused)).alias("score"),
                                                   F.avg(F.abs(F.col("observed") - ranked)).alias("rank"))
     return key_join(calibrated.drop("score", "rank"), out, [*keys, "mask", "variant"])
 
 
-def class_losses(train: DataFrame, calibrated: DataFrame, keys: Sequence[str], row: Sequence[str], metric: str,
-                 digits: int = 9) -> DataFrame:
+def class_losses(train: DataFrame, calibrated: DataFrame, keys: Sequence[str], metric: str, digits: int = 9) -> DataFrame:
     """1 - score of every candidate and space for a metric on two classes (MCC mapped to [0, 1] first); 1 where it has none.
 
-    Rows meet the candidates of their dataset and become (candidate, score) counts in their task. Scores are rounded to
+    Aligned rows meet the candidates of their dataset and become (candidate, score) counts in their task. Scores are rounded to
     ``digits``, so that sums of equal parts in another order still tie.
     """
-    entry = F.array_sort(F.collect_list(F.struct("idx", "predicted", "rank_down")))  # one entry per model
     ends = train.groupBy(*keys).agg(F.min("observed").alias("_y0"), F.max("observed").alias("_y1"), F.count_if(F.col("observed").isNull()).alias("_none"))
-    g = train.groupBy(*keys, *row).agg(F.min("observed").alias("observed"), entry.alias("_e"))
-    j = key_join(g, ends, keys)
+    j = key_join(train, ends, keys)
     label = F.when((F.col("_y0") < F.col("_y1")) & (F.col("_none") == 0), F.when(F.col("observed") == F.col("_y1"), 1).when(F.col("observed") == F.col("_y0"), 0))
     data = j.select(*keys, label.alias("label"), F.transform("_e", lambda e: e["predicted"]).alias("p"), F.transform("_e", lambda e: e["rank_down"]).alias("r"))
     spaces = F.array(F.struct(F.lit("score").alias("space"), F.lit(0.0).alias("a"), F.lit(1.0).alias("b")), F.struct(F.lit("rank").alias("space"), F.col("intercept").alias("a"), (-F.col("slope")).alias("b")))
@@ -236,8 +246,8 @@ def class_losses(train: DataFrame, calibrated: DataFrame, keys: Sequence[str], r
 def candidate_table(pred: DataFrame, keys: Sequence[str], row: Sequence[str], metric: str = "rmse", min_models: int = 2,
                     max_models: int | None = None, rank_space: bool = True, diverse_from: float = 0.15,
                     discount: float = 0.98, table: DataFrame | None = None,
-                    rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[DataFrame, DataFrame]:
-    """(candidates with train and adjusted loss, base strengths).
+                    rows_per_bucket: int = ROWS_PER_BUCKET, rows: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(candidates with train and adjusted loss, base strengths). ``rows`` may be the stored aligned rows of ``table``.
 
     ``metric``: rmse, mse, mae, or for two classes roc_auc, auprc, accuracy, balanced_accuracy, mcc; any other name raises.
     """
@@ -249,11 +259,15 @@ def candidate_table(pred: DataFrame, keys: Sequence[str], row: Sequence[str], me
     div = durable(profile_diversity(train, keys, row, rows_per_bucket))
     base = durable(base_strengths(train, keys, div, metric))
     cand = subset_weights(base, keys, min_models, max_models)
-    losses = squared_losses(train, cand, keys, row)
+    if rows is None:
+        rows = aligned_rows(train, keys, row)
+        rows = rows if metric in ("rmse", "mse") else durable(rows)  # read once, else several times
+    train_rows = rows.where("split = 'train'").select(*keys, *row, "observed", "_e")
+    losses = squared_losses(train_rows, cand, keys)
     if metric == "mae":
-        losses = absolute_losses(train, cand, losses, keys, row)
+        losses = absolute_losses(train_rows, losses, keys, (base.agg(F.max("idx")).first()[0] or 0) + 1)
     elif metric not in ERRORS:
-        losses = class_losses(train, durable(losses), keys, row, metric)
+        losses = class_losses(train_rows, durable(losses), keys, metric)
     elif metric == "mse":
         losses = losses.withColumns({"score": F.col("score") * F.col("score"), "rank": F.col("rank") * F.col("rank")})
     j = key_join(losses, subset_diversity(div, base, cand, keys), [*keys, "mask"])
@@ -276,10 +290,9 @@ def choose(candidates: DataFrame, keys: Sequence[str], digits: int | None = None
                                        F.col("variant"), F.col("models")])
 
 
-def fuse(table: DataFrame, chosen: DataFrame, keys: Sequence[str], row: Sequence[str]) -> DataFrame:
-    """Predictions of the chosen candidate for train and test rows."""
-    entry = F.array_sort(F.collect_list(F.struct("idx", "predicted", "rank_down")))
-    g = table.groupBy(*keys, "split", *row).agg(F.min("observed").alias("observed"), entry.alias("_e"))
+def fuse(table: DataFrame, chosen: DataFrame, keys: Sequence[str], row: Sequence[str], rows: DataFrame | None = None) -> DataFrame:
+    """Predictions of the chosen candidate for train and test rows. ``rows`` may be the stored aligned rows of ``table``."""
+    g = rows if rows is not None else aligned_rows(table, keys, row)
     j = key_join(g, chosen.select(*keys, "combination_space", "weights", "slope", "intercept"), keys)
     p, r = F.transform("_e", lambda e: e["predicted"]), F.transform("_e", lambda e: e["rank_down"])
     value = F.when(F.col("combination_space") == "rank", F.col("intercept") - F.col("slope") * _dot(F.col("weights"), r)).otherwise(

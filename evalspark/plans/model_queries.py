@@ -366,9 +366,10 @@ def k13c(spark, d):
     """Both spaces by mean absolute error; the winner's test error and combination."""
     p = V.v_pred(spark, d)
     t = durable(U.fusion_table(p, DS, ["row_id"]))
-    c, _ = U.candidate_table(p, DS, ["row_id"], "mae", table=t)
+    rows = durable(U.aligned_rows(t, DS, ["row_id"]))
+    c, _ = U.candidate_table(p, DS, ["row_id"], "mae", table=t, rows=rows)
     best = durable(U.choose(c, DS, 9))
-    e = M.regression_errors(U.fuse(t, best, DS, ["row_id"]), ["dataset", "split"]).select("dataset", "split", "mae")
+    e = M.regression_errors(U.fuse(t, best, DS, ["row_id"], rows), ["dataset", "split"]).select("dataset", "split", "mae")
     return best.select("dataset", "models", "variant", r("train_metric").alias("train_metric")).join(rounded(e, "mae"), "dataset")
 
 

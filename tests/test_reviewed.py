@@ -208,3 +208,17 @@ def test_hashed_counts_sum_rows_of_one_key(spark):
             want[k, int(hashlib.sha1(f"{a} {b}".encode()).hexdigest()[:12], 16) % 16] += 1
     got = X.hashed_counts(df, ["k"], X.token_ngrams("text", 2), 16).collect()
     assert len(got) == len(want) and {(r.k, r.bit): r.n for r in got} == want
+
+
+def test_pattern_of_predictions_runs_once_an_event(spark):
+    from evalspark.plans import views as V
+
+    assert plan_of(V.v_pred(spark, SMALL)).count("regexp_extract(") == 1
+
+
+def test_written_out_sum_equals_the_lambda(spark):
+    rows = [([0.1, 0.2, 0.7], [3.0, 1e9, -2.5]), ([0.5], [7.0]), ([], []), ([0.5, 0.5], [1.0, None])]
+    df = spark.createDataFrame(rows, "a array<double>, b array<double>")
+    both = df.select(U._dot("a", "b").alias("x"), U._short_dot(F.col("a"), F.col("b"), 3).alias("y"))
+    assert all(r.x == r.y for r in both.collect())
+    assert "lambda" not in plan_of(both.select("y"))
